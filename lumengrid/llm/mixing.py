@@ -24,7 +24,7 @@ SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 #: The most sources for which the targets are sent to every task; beyond, they are joined by key.
 BROADCAST_SOURCES = 20_000
 #: Rows that a slot holds about.
-SLOT_ROWS = 20_000
+SLOT_ROWS = 5_000
 DEFAULT_QUALITY = 0.5
 U = 2**52
 
@@ -57,18 +57,23 @@ def targets(totals: DataFrame, cycle: int = 3, cap: int = 3) -> DataFrame:
     return w.withColumn("target", F.round(F.when(level.isNull(), F.col("most")).otherwise(F.least(F.col("most"), level * F.col("weight"))), 6)).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, epochs, taken."""
-    good = F.lit(DEFAULT_QUALITY) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(DEFAULT_QUALITY)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("tie"), good.alias("quality"))
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", ratings: DataFrame | None = None) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, epochs, taken. ratings: (doc_id, quality)."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("tie"))
+    if ratings is None:
+        rows = rows.withColumn("quality", F.lit(DEFAULT_QUALITY))
+    else:  # only ids and sizes are joined, never texts
+        rated = ratings.groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("quality").cast("double").alias("quality"))
+        rows = rows.join(rated, F.col("doc_id") == F.col("rated_id"), "left").drop("rated_id")
+        rows = rows.withColumn("quality", F.when(F.col("quality") > 0, F.col("quality")).otherwise(DEFAULT_QUALITY))
     rows = rows.withColumn("draw", -F.log(uniform(F.col("doc_id"))) / F.col("quality"))
     rows = stored(rows, "mix")  # texts are read and counted once
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(totals.select("source", "source_size"))
     n = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("sources")).first()
-    slots = max(16, n["rows"] // SLOT_ROWS)
-    # The share of unit exponential draws below this one, so slots follow the order of the draws and have about equal size.
-    rows = rows.withColumn("slot", F.floor((1 - F.exp(-F.col("draw"))) * slots).cast("int"))
+    slots = max(256, n["rows"] // SLOT_ROWS)
+    # Slots follow the order of the draws and spread them, whatever the quality.
+    rows = rows.withColumn("slot", F.floor(F.col("draw") / (1 + F.col("draw")) * slots).cast("int"))
     parts = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     run = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("slots_before", F.coalesce(F.sum("slot_size").over(run), F.lit(0)))
@@ -85,7 +90,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return joined.select(F.col("r.doc_id").alias("doc_id"), F.col("r.source").alias("source"), F.col("r.size").alias("size"), F.col("t.source_size").alias("source_size"), F.col("t.target").alias("target"), epochs.cast("long").alias("epochs"), (epochs * F.col("r.size") + part).cast("long").alias("taken"))
 
 
-#: The mix of `documents` by DuckDB; quality weights as in registry.quality_weights.
+#: The mix of `documents` by DuckDB; quality weights as in registry.ratings.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

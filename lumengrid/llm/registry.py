@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing
+from . import decontamination, language_id, mixing
 from .common import table
 
 
@@ -20,24 +20,28 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (fold(3) == 1).alias("held_out"), language_id.predict(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with a sampling weight: 1 for good, 0.25 for bad, 0.5 for unrated documents."""
-    rated = labels.groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("quality").alias("rating"))
-    joined = docs.join(rated, F.col("doc_id") == F.col("rated_id"), "left")
-    return joined.withColumn("mix_quality", F.when(F.col("rating").isNull(), 0.5).when(F.col("rating") > 0, 1.0).otherwise(0.25)).drop("rated_id", "rating")
+def ratings(labels: DataFrame) -> DataFrame:
+    """Sampling weights: 1 for good and 0.25 for bad documents; what isn't rated gets the default."""
+    return labels.where(F.col("quality").isNotNull()).select("doc_id", F.when(F.col("quality") > 0, 1.0).otherwise(0.25).alias("quality"))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rated = quality_weights(docs, table(spark, sf_dir, "labels"))
-    return mixing.mix(rated, quality=F.col("mix_quality")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), ratings=ratings(table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", decontamination.occurrences(docs, table(spark, sf_dir, "benchmark")).alias("f"))
+    f = F.col("f")
+    return found.select("doc_id", f["n_words"].alias("n_words"), f["n_hit"].alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), decontamination.contaminated(f).alias("contaminated"))
 
 
 def queries() -> dict:
     from corpus_pipeline import run
 
-    return {f.__name__: f for f in (op1_language_id, op4_source_mix)} | {"pipeline": run}
+    return {f.__name__: f for f in (op1_language_id, op4_source_mix, op8_decontamination)} | {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {"op4_source_mix": mixing.ORACLE}
+    return {"op4_source_mix": mixing.ORACLE, "op8_decontamination": decontamination.ORACLE}
