@@ -59,3 +59,24 @@ def bucket(*cols: str | Column, buckets: int, salt: int = 0) -> Column:
 
 def struct_array(fields: dict[str, pa.Array]) -> pa.StructArray:
     return pa.StructArray.from_arrays(list(fields.values()), list(fields))
+
+
+def runs(batches, keys: list[str]):
+    """(key, table) for each run of rows with equal keys; rows must come sorted by them. A run may span batches."""
+    held, current = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        begin = 0
+        for at in range(1, len(rows) + 1):
+            if at < len(rows) and rows[at] == rows[begin]:
+                continue
+            if held and rows[begin] != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = rows[begin]
+            held.append(batch.slice(begin, at - begin))
+            begin = at
+    if held:
+        yield current, pa.Table.from_batches(held)

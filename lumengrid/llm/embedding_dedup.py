@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, bucket, stored
+from .common import bound_batches, bucket, runs, stored
 from .components import components
 
 #: Points of a block at most, about; a task holds two blocks.
@@ -35,45 +36,63 @@ SLACK = 1e-7
 
 
 class CoverTree:
-    """Levels of nodes over unit vectors: level k's nodes cover all points within `radii[k]`, half that of the level above."""
+    """Levels of nodes over unit vectors: a node is within its level's radius of all points below it, each level halves it.
 
-    LEAST = 2.0**-7
+    `order` lists the points so that a node's points are order[start:stop], at every level; its children are the nodes
+    first_child[k] to first_child[k + 1] of the next level. Nodes of few points aren't split further.
+    """
+
+    LEAST, FEW, BLOCK = 2.0**-7, 8, 256
 
     def __init__(self, points: np.ndarray):
-        self.points = points
         n = len(points)
-        centres, owner = np.array([0]), np.zeros(n, np.int64)
-        self.centres, self.children, self.members = [centres], [], []
-        radius = 2.0
-        while radius > self.LEAST and len(centres) < n:
+        self.order = np.arange(n)
+        self.centres, self.starts, self.first_child, self.radius = [], [], [], []
+        centres, starts, radius = np.array([0]), np.array([0, n]), 2.0
+        self._level(points, centres, starts)
+        while radius > self.LEAST and (np.diff(starts) > self.FEW).any():
             radius /= 2
-            found, new_owner = [], np.zeros(n, np.int64)
-            by = np.argsort(owner, kind="stable")
-            cuts = np.searchsorted(owner[by], np.arange(len(centres) + 1))
-            kids = []
+            new_centres, new_starts, first = [], [0], [0]
             for k in range(len(centres)):
-                rest, mine = by[cuts[k] : cuts[k + 1]], []
-                first = centres[k]
-                while len(rest):
-                    near = distances(points[[first]], points[rest])[0] <= radius
-                    near |= rest == first
-                    new_owner[rest[near]] = len(found)
-                    mine.append(len(found))
-                    found.append(first)
-                    rest = rest[~near]
-                    first = rest[0] if len(rest) else 0
-                kids.append(np.array(mine))
-            centres, owner = np.array(found), new_owner
-            self.centres.append(centres)
-            self.children.append(kids)
-        by = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[by], np.arange(len(centres) + 1))
-        self.leaves = [by[cuts[k] : cuts[k + 1]] for k in range(len(centres))]
-        self.members = [None] * len(self.centres)
-        self.members[-1] = self.leaves
-        for level in range(len(self.children) - 1, -1, -1):
-            self.members[level] = [np.concatenate([self.members[level + 1][c] for c in kids]) for kids in self.children[level]]
-        self.radius = [np.array([distances(points[[c]], points[m]).max() for c, m in zip(cs, ms, strict=True)]) for cs, ms in zip(self.centres, self.members, strict=True)]
+                mine = self.order[starts[k] : starts[k + 1]]
+                if len(mine) <= self.FEW:
+                    new_centres.append(centres[k])
+                    new_starts.append(starts[k + 1])
+                else:
+                    owner, found = self._split(points, mine, centres[k], radius)
+                    by = np.argsort(owner, kind="stable")
+                    self.order[starts[k] : starts[k + 1]] = mine[by]
+                    new_centres += found
+                    new_starts += (starts[k] + np.cumsum(np.bincount(owner, minlength=len(found)))).tolist()
+                first.append(len(new_centres))
+            self.first_child.append(np.array(first))
+            centres, starts = np.array(new_centres), np.array(new_starts)
+            self._level(points, centres, starts)
+
+    def _level(self, points: np.ndarray, centres: np.ndarray, starts: np.ndarray) -> None:
+        """Keeps a level, with each node's true covering radius."""
+        own = np.repeat(centres, np.diff(starts))
+        d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", points[own], points[self.order])))
+        self.centres.append(centres)
+        self.starts.append(starts)
+        self.radius.append(np.maximum.reduceat(d, starts[:-1]))
+
+    def _split(self, points: np.ndarray, mine: np.ndarray, first: int, radius: float) -> tuple[np.ndarray, list[int]]:
+        """Greedy centres, the parent's first: a point goes to the first centre within the radius."""
+        owner, found = np.full(len(mine), -1), []
+        rest = np.concatenate([np.flatnonzero(mine == first), np.flatnonzero(mine != first)])
+        while len(rest):
+            near = distances(points[mine[rest[: self.BLOCK]]], points[mine[rest]]) <= radius
+            free = np.ones(len(rest), bool)
+            for i in range(len(near)):
+                if free[i]:
+                    got = near[i] & free
+                    got[i] = True
+                    owner[rest[got]] = len(found)
+                    found.append(int(mine[rest[i]]))
+                    free &= ~got
+            rest = rest[free]
+        return owner, found
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,45 +115,52 @@ class Joined:
 
     def _descend(self, ta: CoverTree, tb: CoverTree) -> None:
         """Level by level all pairs of nodes that the bounds leave; both trees go down together."""
-        depth = max(len(ta.centres), len(tb.centres))
         pa, pb = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        for level in range(depth):
+        deepest = max(len(ta.centres), len(tb.centres)) - 1
+        for level in range(deepest + 1):
             la, lb = min(level, len(ta.centres) - 1), min(level, len(tb.centres) - 1)
             pa, pb = self._pruned(ta, tb, la, lb, pa, pb)
-            if not len(pa) or level == depth - 1:
-                break
-            if la < len(ta.children):
-                kids = [ta.children[la][i] for i in pa]
-                pb = np.repeat(pb, [len(k) for k in kids])
-                pa = np.concatenate(kids)
-            if lb < len(tb.children):
-                kids = [tb.children[lb][i] for i in pb]
-                pa = np.repeat(pa, [len(k) for k in kids])
-                pb = np.concatenate(kids)
-            if self.same:
-                once = pa <= pb
-                pa, pb = pa[once], pb[once]
+            if level < deepest:
+                if la < len(ta.first_child):
+                    pa, pb = _spread(ta.first_child[la], pa, pb)
+                if lb < len(tb.first_child):
+                    pb, pa = _spread(tb.first_child[lb], pb, pa)
+                if self.same:
+                    once = pa <= pb
+                    pa, pb = pa[once], pb[once]
+        if self.same:
+            more = (pa != pb) | (np.diff(ta.starts[-1])[pa] > 1)
+            pa, pb = pa[more], pb[more]
         self._leaves(ta, tb, pa, pb)
 
     def _pruned(self, ta, tb, la, lb, pa, pb):
+        """The pairs of nodes whose points can be within the threshold."""
+        ca, cb = self.a[ta.centres[la]], self.b[tb.centres[lb]]
+        by = np.argsort(pa, kind="stable")
+        pa, pb = pa[by], pb[by]
         keep = np.zeros(len(pa), bool)
-        ca, cb = ta.centres[la], tb.centres[lb]
-        for at in range(0, len(pa), 1 << 16):
-            i, j = pa[at : at + (1 << 16)], pb[at : at + (1 << 16)]
-            d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.a[ca[i]], self.b[cb[j]])))
-            keep[at : at + (1 << 16)] = d <= self.t + ta.radius[la][i] + tb.radius[lb][j] + SLACK
+        for at in range(0, len(ca), 512):
+            begin, end = np.searchsorted(pa, [at, at + 512])
+            i, j = pa[begin:end], pb[begin:end]
+            if 32 * len(i) > min(512, len(ca) - at) * len(cb):
+                dots = (ca[at : at + 512] @ cb.T)[i - at, j]
+            else:
+                dots = np.einsum("ij,ij->i", ca[i], cb[j])
+            keep[begin:end] = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= self.t + ta.radius[la][i] + tb.radius[lb][j] + SLACK
         return pa[keep], pb[keep]
 
     def _leaves(self, ta, tb, pa, pb) -> None:
-        if not len(pa):
-            return
+        """Cosines of all points of the pairs of leaves, one leaf of the left tree at a time."""
         by = np.argsort(pa, kind="stable")
         pa, pb = pa[by], pb[by]
-        cuts = np.flatnonzero(np.append(True, pa[1:] != pa[:-1]))
-        for begin, end in zip(cuts, np.append(cuts[1:], len(pa)), strict=True):
-            i, others = ta.leaves[pa[begin]], pb[begin:end]
-            j = np.concatenate([tb.leaves[o] for o in others])
-            inner = np.repeat(others == pa[begin], [len(tb.leaves[o]) for o in others]) if self.same else None
+        cuts = np.flatnonzero(np.concatenate([[True], pa[1:] != pa[:-1], [True]])) if len(pa) else np.zeros(1, np.int64)
+        sa, sb = ta.starts[-1], tb.starts[-1]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            leaf, others = pa[begin], pb[begin:end]
+            i = ta.order[sa[leaf] : sa[leaf + 1]]
+            sizes = sb[others + 1] - sb[others]
+            j = tb.order[np.repeat(sb[others] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            inner = np.repeat(others == leaf, sizes)
             for at in range(0, len(i), 512):
                 rows = i[at : at + 512]
                 hit = self.a[rows] @ self.b[j].T >= self.cosine
@@ -144,12 +170,25 @@ class Joined:
                     continue
                 self.links_a[rows] += hit @ self.wb[j]
                 self.links_b[j] += self.wa[rows] @ hit
-                first = hit.argmax(1)  # each row to its first partner, and each partner to its first row, hold the same sets together
-                some = np.flatnonzero(hit.any(1))
-                self.edges.append(np.stack([rows[some], j[first[some]]], 1))
-                top = hit.argmax(0)
-                cols = np.flatnonzero(hit.any(0))
-                self.edges.append(np.stack([rows[top[cols]], j[cols]], 1))
+                r, c = np.nonzero(hit)
+                if len(r) > 4 * sum(hit.shape):  # a spanning forest is enough
+                    label = spanning(len(rows) + len(j), np.stack([r, len(rows) + c], 1))
+                    ids = np.concatenate([rows, j + len(self.a)])
+                    self.edges.append(np.stack([ids, ids[label]], 1)[label != np.arange(len(label))])
+                else:
+                    self.edges.append(np.stack([rows[r], j[c] + len(self.a)], 1))
+
+    def roots(self) -> np.ndarray:
+        """For each point of left, then of right, the first point that links lead to."""
+        edges = [np.stack([np.arange(len(self.b)), np.arange(len(self.b)) + len(self.a)], 1)] if self.same else []
+        every = np.concatenate(edges + self.edges) if edges or self.edges else np.zeros((0, 2), np.int64)
+        return spanning(len(self.a) + len(self.b), every)
+
+
+def _spread(first_child: np.ndarray, parents: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All children of parents, each with its parent's other."""
+    count = first_child[parents + 1] - first_child[parents]
+    return np.repeat(first_child[parents] - np.cumsum(count) + count, count) + np.arange(count.sum()), np.repeat(others, count)
 
 
 def spanning(n: int, edges: np.ndarray) -> np.ndarray:
@@ -164,3 +203,119 @@ def spanning(n: int, edges: np.ndarray) -> np.ndarray:
         if (label == before).all():
             break
     return label
+
+
+def _unit(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    v = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _valid(vector: str) -> F.Column:
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0)
+
+
+def _cells(reps: DataFrame, t: float) -> tuple[DataFrame, DataFrame | None]:
+    """reps with cell and sub, and, for labels of several blocks, (label, dim, cell, sub) with the tasks that need them."""
+    spark = reps.sparkSession
+    sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).collect()
+    if not sizes:
+        return reps.withColumns({"cell": F.lit(0), "sub": F.lit(0)}), None
+    # Pivots: the points of least hash, a bounded number in all.
+    share = min(1.0, 16_384 / sum(min(MAX_PIVOTS, r["m"] // CELL) for r in sizes))
+    wanted = {(r["label"], r["dim"]): max(1, int(share * min(MAX_PIVOTS, r["m"] // CELL))) for r in sizes}
+    rates = spark.createDataFrame([(r["label"], r["dim"], 2.0 * wanted[r["label"], r["dim"]] / r["m"]) for r in sizes], f"label {dict(reps.dtypes)['label']}, dim int, rate double")
+    drawn = reps.join(F.broadcast(rates), ["label", "dim"]).where(bucket("rep", buckets=1 << 30) < F.col("rate") * (1 << 30)).select("label", "dim", "rep", "vector").orderBy("label", "dim", "rep").collect()
+    pivots: dict[tuple, np.ndarray] = {}
+    for r in drawn:
+        have = pivots.setdefault((r["label"], r["dim"]), [])
+        if len(have) < wanted[r["label"], r["dim"]]:
+            have.append(np.array(r["vector"], np.float64) / np.linalg.norm(r["vector"]))
+    pivots = {k: np.array(v) for k, v in pivots.items()}
+    shared = spark.sparkContext.broadcast(pivots)
+    schema = T.StructType([*reps.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
+            cell, far = np.zeros(len(keys), np.int32), np.zeros(len(keys))
+            for key in set(keys) & set(shared.value):
+                rows = np.array([i for i, k in enumerate(keys) if k == key])
+                d = distances(_unit(batch.column("vector").take(pa.array(rows)), key[1]), shared.value[key])
+                cell[rows], far[rows] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+    placed = stored(reps.mapInArrow(nearest, schema), "cells")
+    big = F.broadcast(rates.select("label", "dim", F.lit(True).alias("big")))
+    found = placed.join(big, ["label", "dim"]).groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("far")).collect()
+    by_label: dict[tuple, list] = {}
+    for r in found:
+        by_label.setdefault((r["label"], r["dim"]), []).append((r["cell"], -(-r["m"] // BLOCK), r["far"]))
+    pairs = []  # of cells that the bounds leave; their blocks are paired on the executors
+    for (label, dim), cells in by_label.items():
+        p = pivots.get((label, dim))
+        for x, (c, subs, far) in enumerate(cells):
+            for d, other, far_d in cells[x:]:
+                if p is None or distances(p[[c]], p[[d]])[0, 0] <= far + far_d + t + SLACK:
+                    pairs.append((label, dim, c, subs, d, other))
+    kind = f"label {dict(reps.dtypes)['label']}, dim int, c int, cn int, d int, dn int"
+    pairs = spark.createDataFrame(pairs, kind).withColumn("cs", F.explode(F.sequence(F.lit(0), F.col("cn") - 1))).withColumn("ds", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
+    pairs = pairs.where("c <> d OR cs <= ds").withColumn("task", F.concat_ws(",", "c", "cs", "d", "ds"))
+    left = pairs.select("label", "dim", F.col("c").alias("cell"), F.col("cs").alias("sub"), "task", F.lit(0).alias("side"))
+    right = pairs.where("c <> d OR cs <> ds").select("label", "dim", F.col("d").alias("cell"), F.col("ds").alias("sub"), "task", F.lit(1).alias("side"))
+    counts = spark.createDataFrame([(*k, c, n) for k, cells in by_label.items() for c, n, _ in cells], f"label {dict(reps.dtypes)['label']}, dim int, cell int, subs int")
+    placed = placed.join(F.broadcast(counts), ["label", "dim", "cell"], "left").withColumn("sub", F.when(F.col("subs") > 1, bucket("rep", buckets=1 << 20, salt=3) % F.col("subs")).otherwise(0).cast("int"))
+    return placed.drop("far", "subs"), left.unionAll(right)
+
+
+def links(vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """One row for each vector: vec_id, n_links, component_id, kept."""
+    if not 0.5 <= cosine < 1:
+        raise ValueError("cosine must be from 0.5 to 1")
+    bound_batches(vectors.sparkSession, 4096)
+    rows = vectors.select(F.col(key).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    valid = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _valid("vector"))
+    reps = valid.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("vector"))
+    reps = stored(reps.select("label", "dim", "rep", "n", "vector"), "vectors")
+    placed, tasks = _cells(reps, float(np.sqrt(2 - 2 * cosine)))
+    if tasks is None:
+        dealt = placed.withColumns({"task": F.lit("0,0,0,0"), "side": F.lit(0)})
+    else:
+        dealt = placed.join(tasks, ["label", "dim", "cell", "sub"], "left").withColumns({"task": F.coalesce("task", F.lit("0,0,0,0")), "side": F.coalesce("side", F.lit(0))})
+    keys = ["label", "dim", "task"]
+    dealt = dealt.select(*keys, "side", "rep", "n", "vector").repartition(*keys).sortWithinPartitions(*keys, "side", "rep")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, dim, _), rows in runs(batches, keys):
+            ids, n = rows["rep"].to_numpy(), rows["n"].to_numpy()
+            unit, left = _unit(rows["vector"], dim), int((rows["side"].to_numpy() == 0).sum())
+            if left == len(ids):
+                done = Joined(unit, unit, (n, n), cosine, True)
+                count, root = done.links_a + done.links_b, done.roots()[: len(ids)]
+            else:
+                done = Joined(unit[:left], unit[left:], (n[:left], n[left:]), cosine, False)
+                count, root = np.concatenate([done.links_a, done.links_b]), done.roots()
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count), pa.array(ids[root])], names=["rep", "links", "root"])
+
+    counted = stored(dealt.mapInArrow(join, "rep long, links long, root long").where("links > 0"), "links")
+    degree = counted.groupBy("rep").agg(F.sum("links").alias("links"))
+    parts = components(counted, "rep", "root").withColumnRenamed("id", "rep")
+    known = reps.select("label", "vector", "rep", "n").join(degree, "rep", "left").join(parts, "rep", "left")
+    out = rows.join(known, ["label", "vector"], "left").withColumn("own", F.col("rep").isNotNull() & F.col("vec_id").isNotNull())
+    component = F.when(F.col("own"), F.coalesce("component", "rep")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.when(F.col("own"), F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
+      AND list_dot_product(a.e, b.e) >= 0.93 * a.norm * b.norm),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, least(a, min(b)) AS component FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing
+from . import decontamination, embedding_dedup, jaccard_join, language_id, mixing
 from .common import table
 
 
@@ -37,11 +37,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", f["n_words"].alias("n_words"), f["n_hit"].alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), decontamination.contaminated(f).alias("contaminated"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "component_id", "kept")
+
+
 def queries() -> dict:
     from corpus_pipeline import run
 
-    return {f.__name__: f for f in (op1_language_id, op4_source_mix, op8_decontamination)} | {"pipeline": run}
+    return {f.__name__: f for f in (op1_language_id, op4_source_mix, op8_decontamination, op9_embedding_dedup, op10_jaccard_join)} | {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {"op4_source_mix": mixing.ORACLE, "op8_decontamination": decontamination.ORACLE}
+    return {"op4_source_mix": mixing.ORACLE, "op8_decontamination": decontamination.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
