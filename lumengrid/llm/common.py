@@ -80,3 +80,11 @@ def runs(batches, keys: list[str]):
             begin = at
     if held:
         yield current, pa.Table.from_batches(held)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, such that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

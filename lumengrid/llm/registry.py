@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, jaccard_join, language_id, mixing
+from . import decontamination, embedding_dedup, jaccard_join, language_id, licenses, mixing, preferences, quality, token_counts, toxicity
 from .common import table
 
 
@@ -20,6 +20,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (fold(3) == 1).alias("held_out"), language_id.predict(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def _spans(mask: str) -> Column:
+    return F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",").alias(mask)
+
+
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = preferences.pairs(turns, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 1)
+    return pairs.select("pair_id", "n_prompt", "prompt", "chosen", "rejected", _spans("chosen_mask"), _spans("rejected_mask"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", licenses.licences(docs, licenses.train(docs)).alias("found"))
+    sure = F.filter("found", lambda x: x["confirmed"])
+    return found.select("doc_id", F.size("found").cast("long").alias("n_paragraphs"), F.size(sure).cast("long").alias("n_confirmed"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), F.coalesce(F.array_max(F.transform(sure, lambda x: x["probability"])), F.lit(0.0)).alias("score"))
+
+
 def ratings(labels: DataFrame) -> DataFrame:
     """Sampling weights: 1 for good and 0.25 for bad documents; what isn't rated gets the default."""
     return labels.where(F.col("quality").isNotNull()).select("doc_id", F.when(F.col("quality") > 0, 1.0).otherwise(0.25).alias("quality"))
@@ -30,6 +48,26 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", token_counts.counts(docs).alias("t")).select("doc_id", "t.n_words", "t.n_tokens")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "quality.perplexity", "quality.nll", "quality.threshold", "quality.kept")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    settings = toxicity.Settings()
+    rows = toxicity.sample(docs, table(spark, sf_dir, "labels"), fold(4, "rated_id") != 2, settings)
+    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows], settings)
+    scored = docs.select("doc_id", (fold(4) == 2).alias("held_out"), toxicity.predict(docs, model).alias("score"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", decontamination.occurrences(docs, table(spark, sf_dir, "benchmark")).alias("f"))
@@ -48,8 +86,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     from corpus_pipeline import run
 
-    return {f.__name__: f for f in (op1_language_id, op4_source_mix, op8_decontamination, op9_embedding_dedup, op10_jaccard_join)} | {"pipeline": run}
+    ops = (op1_language_id, op2_preference_pairs, op3_license_scan, op4_source_mix, op5_token_counts, op6_quality_classifier, op7_toxicity, op8_decontamination, op9_embedding_dedup, op10_jaccard_join)
+    return {f.__name__: f for f in ops} | {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {"op4_source_mix": mixing.ORACLE, "op8_decontamination": decontamination.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
+    return {"op2_preference_pairs": preferences.ORACLE, "op4_source_mix": mixing.ORACLE, "op8_decontamination": decontamination.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
