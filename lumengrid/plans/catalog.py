@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from . import file_queries, image_queries
+
+    return image_queries.QUERIES | file_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import file_queries, image_queries
+
+    return image_queries.ORACLES | file_queries.ORACLES
