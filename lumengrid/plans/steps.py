@@ -234,7 +234,11 @@ def job_lines(script: DataFrame, text: str = "value") -> DataFrame:
 
 @dataclass
 class BatchJob:
-    """A fluent description of one batch; run() plans it over a table of files and stays lazy."""
+    """A fluent description of one batch; run() plans it over a table of files and stays lazy.
+
+    The task scheduler takes the place of a thread count; a caller that wants to cancel tags its jobs with
+    SparkContext.addJobTag and ends them with cancelJobsWithTag, and progress is the status tracker's.
+    """
 
     files: list[str] = field(default_factory=list)
     output: str | None = None
@@ -292,6 +296,7 @@ def apply_operation(px, operation: tuple):
     if name == "resize":
         width = int(v["width"])
         keep = v.get("keep_aspect", True)
+        keep = parse_bool(keep) if isinstance(keep, str) else keep
         return kernels.resize(px, width, kernels.aspect_height(px, width) if keep else int(v["height"]))
     if name == "crop":
         return kernels.crop(px, *(int(v[k]) for k in ("x", "y", "width", "height")))

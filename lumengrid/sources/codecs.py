@@ -419,10 +419,46 @@ def luma_gradient(width: int, height: int) -> Image:
     return Image.of(((x + y) * 255 // (width + height)).astype(np.uint8)[:, :, None].repeat(3, 2))
 
 
+def encode_webp(image: Image) -> bytes:
+    """A lossless stream of literals: every channel has a flat code of eight bits, an opaque alpha a code of none."""
+    px = image.pixels
+    px = np.repeat(px, 3, 2) if px.shape[2] == 1 else px
+    bits: list[np.ndarray] = []
+
+    def put(value: int, n: int) -> None:
+        bits.append(np.array([value >> k & 1 for k in range(n)], np.uint8))
+
+    def lengths(used: dict[int, int]) -> None:
+        """The code of code lengths; its symbols come in the format's order, of which the first twelve hold 0 and 8."""
+        put(0, 1)
+        put(12 - 4, 4)
+        for symbol in (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8):
+            put(used.get(symbol, 0), 3)
+        put(0, 1)
+
+    alpha = px.shape[2] == 4
+    for value, n in ((0x2F, 8), (image.width - 1, 14), (image.height - 1, 14), (int(alpha), 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+        put(value, n)
+    lengths({0: 1, 8: 1})  # green: 256 literals of 8 bits, 24 unused copies
+    bits.append(np.repeat(np.array([1, 0], np.uint8), [256, 24]))
+    for _ in range(2 + alpha):
+        lengths({8: 1})  # the only symbol takes no bits
+    if not alpha:
+        for value, n in ((1, 1), (0, 1), (1, 1), (255, 8)):
+            put(value, n)
+    for value in (1, 0, 0, 0):  # distance: one symbol, 0
+        put(value, 1)
+    order = [1, 0, 2, 3] if alpha else [1, 0, 2]
+    bits.append(np.unpackbits(np.ascontiguousarray(px[:, :, order])))  # codes stand highest bit first
+    stream = np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+    body = b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
 from .jpeg import decode_jpeg, encode_jpeg  # noqa: E402
 
 DECODERS = {"bmp": decode_bmp, "png": decode_png, "jpeg": decode_jpeg, "tiff": decode_tiff, "gif": decode_gif}
-ENCODERS = {"bmp": encode_bmp, "png": encode_png, "jpeg": encode_jpeg}
+ENCODERS = {"bmp": encode_bmp, "png": encode_png, "jpeg": encode_jpeg, "webp": encode_webp}
 
 
 def decode(content: bytes, synthetic: bool = False) -> Image:

@@ -67,17 +67,22 @@ def decode(files: DataFrame, synthetic: bool = False) -> DataFrame:
 def encode(images: DataFrame, kind: str) -> DataFrame:
     """(path, content, error) of images as files of a kind."""
 
+    images = images if "error" in images.columns else images.withColumn("error", F.lit(None).cast("string"))
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
+                if r["error"] is not None:
+                    rows.append((None, r["error"]))
+                    continue
                 try:
                     rows.append((codecs.encode(codecs.Image(r["width"], r["height"], r["format"], r["data"]), kind), None))
                 except codecs.CodecError as bad:
                     rows.append((None, bad.code))
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["path", "content", "error"])
 
-    return images.select("path", "width", "height", "format", "data").mapInArrow(write, "path string, content binary, error string")
+    return images.select("path", "width", "height", "format", "data", "error").mapInArrow(write, "path string, content binary, error string")
 
 
 def frames(files: DataFrame) -> DataFrame:
@@ -164,6 +169,112 @@ def map_images(images: DataFrame, operation) -> DataFrame:
     return images.select("path", "width", "height", "format", "data", "error").mapInArrow(work, IMAGE)
 
 
+# --- files by name -----------------------------------------------------------------------------------------------------
+def check_path(path: str) -> str:
+    """A local path that can be read, or the stable code of what is wrong with it."""
+    import os
+
+    if not path:
+        raise codecs.CodecError("EmptyPath")
+    if len(path) > 4096:
+        raise codecs.CodecError("PathTooLong")
+    if not os.path.exists(path):
+        raise codecs.CodecError("FileNotFound")
+    if os.path.isdir(path):
+        raise codecs.CodecError("PathIsDirectory")
+    if not os.access(path, os.R_OK):
+        raise codecs.CodecError("AccessDenied")
+    return path
+
+
+def inputs(spark: SparkSession, tokens: list[str], recursive: bool = False) -> DataFrame:
+    """(path, content) of files, folders and globs; a file named twice comes once."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return reader.load(tokens).select(F.regexp_replace("path", "^file:", "").alias("path"), "content").dropDuplicates(["path"])
+
+
+def write_files(files: DataFrame, path: str = "output_path", content: str = "content") -> None:
+    """Writes each row's bytes to its path, in a folder that every executor sees; a file is complete or absent."""
+
+    def write(rows) -> None:
+        import os
+
+        for r in rows:
+            if r[content] is not None:
+                os.makedirs(os.path.dirname(r[path]) or ".", exist_ok=True)
+                with open(f"{r[path]}.part", "wb") as f:
+                    f.write(bytes(r[content]))
+                os.replace(f"{r[path]}.part", r[path])
+
+    files.select(path, content).foreachPartition(write)
+
+
+class Pictures:
+    """Fluent operators over decoded images of any size; each is one Arrow stage, lazy until written."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+
+    def map(self, operation) -> Pictures:
+        return Pictures(map_images(self.frame, operation))
+
+    def _kernel(self, name: str, *values) -> Pictures:
+        from ..functions import kernels
+
+        return self.map(lambda px: getattr(kernels, name)(px, *values))
+
+    def resize(self, width: int, height: int) -> Pictures:
+        return self._kernel("resize", width, height)
+
+    def crop(self, x: int, y: int, width: int, height: int) -> Pictures:
+        return self._kernel("crop", x, y, width, height)
+
+    def blur(self, radius: int) -> Pictures:
+        return self._kernel("blur", radius)
+
+    def gaussian_blur(self, sigma: float) -> Pictures:
+        return self._kernel("gaussian", sigma)
+
+    def sharpen(self) -> Pictures:
+        return self._kernel("sharpen")
+
+    def sobel(self) -> Pictures:
+        return self._kernel("sobel")
+
+    def equalise(self) -> Pictures:
+        return self._kernel("equalise")
+
+    def brightness(self, amount: int) -> Pictures:
+        return self._kernel("brightness", amount)
+
+    def contrast(self, factor: float) -> Pictures:
+        return self._kernel("contrast", factor)
+
+    def gamma(self, value: float) -> Pictures:
+        return self._kernel("gamma", value)
+
+    def white_balance(self, temperature: float, tint: float) -> Pictures:
+        return self._kernel("white_balance", temperature, tint)
+
+    def grayscale(self) -> Pictures:
+        return self._kernel("grey")
+
+    def rotate90(self) -> Pictures:
+        return self._kernel("rotate90")
+
+    def rotate(self, degrees: float) -> Pictures:
+        return self._kernel("rotate", degrees)
+
+    def flip_horizontal(self) -> Pictures:
+        return self.map(lambda px: px[:, ::-1])
+
+    def flip_vertical(self) -> Pictures:
+        return self.map(lambda px: px[::-1])
+
+    def encode(self, kind: str) -> DataFrame:
+        return encode(self.frame, kind)
+
+
 # --- data source -----------------------------------------------------------------------------------------------------
 class _File(InputPartition):
     def __init__(self, path: str):

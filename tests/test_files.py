@@ -55,6 +55,22 @@ def test_png_filters():
     assert np.array_equal(codecs.decode(content).pixels, px)
 
 
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_webp_stream(channels):
+    """Header, code tables and literals, read by the format's rules for such streams."""
+    image = picture(13, 6, channels)
+    content = codecs.encode(image, "webp")
+    assert codecs.webp_header(content) == (13, 6, True)
+    bits = np.unpackbits(np.frombuffer(content, np.uint8, offset=20), bitorder="little")
+    alpha = channels == 4
+    table = 1 + 4 + 36 + 1
+    at = 8 + 14 + 14 + 1 + 3 + 3 + table + 280 + table * (2 + alpha) + (0 if alpha else 11) + 4
+    n = 4 if alpha else 3
+    px = np.packbits(bits[at : at + 8 * n * 13 * 6]).reshape(6, 13, n)
+    px = px[:, :, [1, 0, 2, 3] if alpha else [1, 0, 2]]
+    assert np.array_equal(px, image.pixels if channels > 1 else image.pixels.repeat(3, 2))
+
+
 def test_jpeg_round_trip():
     y, x = np.mgrid[0:8, 0:8]
     image = Image.of(np.stack([x * 255 // 7, y * 255 // 7, np.full_like(x, 128)], 2))
@@ -164,6 +180,39 @@ def test_files_on_disk(spark, tmp_path):
     assert spark.table("arrived").count() == 4
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from lumengrid.__main__ import main
+
+    source = tmp_path / "in.bmp"
+    source.write_bytes(codecs.encode(picture(4, 4, 3), "bmp"))
+    assert main(["pipeline", str(source), "resize:2x2", "format:bmp", f"save:{tmp_path}/small.bmp"]) == 0
+    assert codecs.decode((tmp_path / "small.bmp").read_bytes()).width == 2
+    assert main(["convert", str(source), str(tmp_path / "out.png")]) == 0
+    assert codecs.sniff((tmp_path / "out.png").read_bytes()) == "png"
+    script = tmp_path / "jobs.txt"
+    script.write_text(f"# jobs\njob op=blur radius=1 input={source} output={tmp_path}/done\njob op=sparkle input=/a output=/b\n")
+    assert main(["batch", str(script)]) == 1
+    assert (tmp_path / "done" / "in.bmp").exists()
+    assert main(["pipeline", str(source), "sparkle:1"]) == 2
+    assert main(["convert", str(source), "-"]) == 2
+    out = capsys.readouterr().err
+    assert "InvalidPipelineStep" in out and "MissingFormatForStdout" in out and "InvalidBatchSpec" in out
+
+
+def test_path_errors(tmp_path):
+    for path, code in (("", "EmptyPath"), ("x" * 5000, "PathTooLong"), (str(tmp_path / "none.png"), "FileNotFound"), (str(tmp_path), "PathIsDirectory")):
+        with pytest.raises(CodecError, match=code):
+            images.check_path(path)
+
+
+def test_fluent_images(spark):
+    made = spark.createDataFrame([("a", bytearray(codecs.encode(picture(6, 4, 3), "png"))), ("b", bytearray(b"?"))], "path string, content binary")
+    done = images.Pictures(images.decode(made)).resize(3, 2).blur(1).grayscale().brightness(5).encode("png")
+    rows = {r["path"]: r for r in done.collect()}
+    small = codecs.decode(bytes(rows["a"]["content"]))
+    assert (small.width, small.height, small.format) == (3, 2, "grayscale") and rows["b"]["error"] == "UnknownFormat"
+
+
 def test_pixels_round_trip(spark):
     px = RNG.integers(0, 256, (4, 5, 3)).astype(np.uint8)
     made = spark.createDataFrame([(1, 5, 4, "rgb", bytearray(px.tobytes()))], "image_id long, width int, height int, format string, data binary")
