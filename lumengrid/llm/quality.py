@@ -240,7 +240,8 @@ def _scorer(shared, shard: int, shards: int, unknown: float):
                 chars += np.bincount(own, minlength=len(batch))
             yield struct_array({"logp": pa.array(logp), "chars": pa.array(chars)})
 
-    return score
+    # Called so, it is run once for each row, though several expressions and a filter read its fields.
+    return score.asNondeterministic()
 
 
 def _sent(model: Model, shard: int):
@@ -267,7 +268,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "lm")
 def thresholds(trusted: DataFrame, lang: str = "lang", name: str = "lm") -> DataFrame:
     """(lang_key, median, threshold) of scored trusted documents; the row of null lang_key is that of all."""
     x = trusted.where(F.col(name)["chars"] > 0).select(F.coalesce(F.col(lang), F.lit("")).alias("lang_key"), F.floor(-F.col(name)["logp"] / F.col(name)["chars"] / BIN).alias("bin"))
-    bins = x.groupBy("lang_key", "bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = stored(x.groupBy("lang_key", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")  # used twice, scored once
     bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lang_key", F.lit(None).cast("string")))
     run = Window.partitionBy("lang_key").orderBy("bin")
     bins = bins.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(Window.partitionBy("lang_key"))})
