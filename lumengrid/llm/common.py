@@ -37,10 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lumengrid-{tag}-{uuid.uuid4().hex}"
+    """Writes df to the shared folder and reads it again, which cuts its lineage and survives lost executors.
+
+    The files go when the session's JVM ends, or by discard().
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lumengrid-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a stored table that nothing reads any more."""
+    system, place = _file_system(df.sparkSession, df.stored_at)
+    system.delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -32,5 +32,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok"))
     e = stored(e.where("ok AND u <> v").select("u", "v").distinct(), "edges")
     while not _is_forest_of_stars(e):
-        e = stored(_small_star(_large_star(e)), "edges")
+        before, e = e, stored(_small_star(_large_star(e)), "edges")
+        discard(before)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
