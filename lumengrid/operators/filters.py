@@ -1,6 +1,7 @@
 """Neighbourhood filters over pixel relations of known size.
 
-The separable box blur is two RANGE windows on one partitioning by image. A kernel filter scatters: each pixel gives its
+The separable box blur is two RANGE windows, by row and by column of an image: two shuffles, so that no task holds a whole
+image, however large one is. A kernel filter scatters: each pixel gives its
 weighted value to the target pixels around it, by exploding a constant array of offsets, and one aggregation by target
 pixel, partial first, adds them up. No join is made, and the sums are of integers (weights are in fixed point), so they
 do not depend on the order of rows.
@@ -31,8 +32,6 @@ def box_blur(px: DataFrame, radius: int) -> DataFrame:
     if radius == 0:
         return px
     names = channels(px)
-    px = px.repartition("image_id")  # both windows use this partitioning
-
     for axis, other in (("x", "y"), ("y", "x")):
         w = Window.partitionBy("image_id", other).orderBy(axis).rangeBetween(-radius, radius)
         sums = px.withColumns({f"sum_{c}": F.sum(c).over(w) for c in names} | {"n": F.count(F.lit(1)).over(w)})
