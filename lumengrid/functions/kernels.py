@@ -11,6 +11,7 @@ import math
 import numpy as np
 
 from ..operators import filters, geometry
+from .formulas import PROFILES
 from ..operators.geometry import CropOutOfBounds, InvalidDimensions, check_dimensions
 from ..operators.point import InvalidContrastFactor, InvalidGamma
 
@@ -149,6 +150,42 @@ def equalise(px: np.ndarray) -> np.ndarray:
     return _bytes((cdf - least).astype(f) * f(255) / f(total - least))[px]
 
 
+def _power(x: np.ndarray, exponent: np.float32) -> np.ndarray:
+    return np.power(x.astype(np.float64), float(exponent)).astype(f)
+
+
+def _linear(x: np.ndarray, profile: str) -> np.ndarray:
+    if profile == "linear_rgb":
+        return x
+    if profile != "srgb":
+        return _power(np.maximum(f(0), x), f(PROFILES[profile][1]))
+    return np.where(x <= f(0.04045), x / f(12.92), _power((x + f(0.055)) / f(1.055), f(2.4)))
+
+
+def _companded(x: np.ndarray, profile: str) -> np.ndarray:
+    if profile == "linear_rgb":
+        return x
+    if profile != "srgb":
+        return _power(np.maximum(f(0), x), f(1) / f(PROFILES[profile][1]))
+    return np.where(x <= f(0.0031308), x * f(12.92), f(1.055) * _power(x, f(1) / f(2.4)) - f(0.055))
+
+
+def convert_profile(px: np.ndarray, source: str, target: str) -> np.ndarray:
+    """The first three channels of one colour profile as those of another."""
+    if source == target or px.shape[2] < 3:
+        return px
+
+    def times(matrix: tuple, c: list[np.ndarray]) -> list[np.ndarray]:
+        return [f(matrix[3 * k]) * c[0] + f(matrix[3 * k + 1]) * c[1] + f(matrix[3 * k + 2]) * c[2] for k in range(3)]
+
+    light = [_linear(px[:, :, k].astype(f) / f(255), source) for k in range(3)]
+    back = [np.clip(c, f(0), f(1)) for c in times(PROFILES[target][4], times(PROFILES[source][3], light))]
+    out = px.copy()
+    for k in range(3):
+        out[:, :, k] = _bytes(_companded(back[k], target) * f(255))
+    return out
+
+
 def aspect_height(px: np.ndarray, width: int) -> int:
     """The height that keeps the proportions at a new width."""
     ratio = f(px.shape[1]) / f(px.shape[0])

@@ -106,12 +106,22 @@ def raster_lines(shapes_: DataFrame, width: int, height: int) -> DataFrame:
     return steps.selectExpr("doc_id", "seq", f"{x} AS px", f"{y} AS py", "colour").where(f"px BETWEEN 0 AND {width - 1} AND py BETWEEN 0 AND {height - 1}")
 
 
+def rasterise(docs: DataFrame, width: int, height: int, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(doc_id, x, y, r, g, b) of whole canvases of markup documents: white, and what the shapes paint on it."""
+    lines = parse(docs, key, content)
+    white = docs.selectExpr(f"{key} AS doc_id", f"explode(sequence(0, {width - 1})) AS x").selectExpr("doc_id", "x", f"explode(sequence(0, {height - 1})) AS y")
+    painted = render(shapes(lines.where("kind <> 'svg'")), view_box(lines), width, height)
+    both = white.selectExpr("doc_id", "x", "y", "-1 AS r", "-1 AS g", "-1 AS b").unionByName(painted)
+    top = both.groupBy("doc_id", "x", "y").agg(*[F.max(c).alias(c) for c in "rgb"])
+    return top.select("doc_id", "x", "y", *[F.when(F.col(c) < 0, 255).otherwise(F.col(c)).cast("int").alias(c) for c in "rgb"])
+
+
 def render(shapes_: DataFrame, boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """(doc_id, x, y, r, g, b) of the pixels that any shape paints; the rest of the canvas is white."""
+    """(doc_id, x, y, r, g, b) of the pixels that any shape paints."""
     d = SPARK
     scaled = shapes_.join(boxes, "doc_id").selectExpr("*", f"{d.div(d.f(width), 'view_width')} AS sx", f"{d.div(d.f(height), 'view_height')} AS sy")
     painted = raster_rects(scaled.where("kind = 'rect'"), width, height)
     for kind, raster in (("circle", raster_circles), ("line", raster_lines)):
         painted = painted.unionByName(raster(scaled.where(f"kind = '{kind}'"), width, height))
     top = painted.groupBy("doc_id", "px", "py").agg(F.max(F.struct("seq", "colour"))["colour"].alias("colour"))
-    return top.selectExpr("doc_id", "px AS x", "py AS y", "colour div 65536 AS r", "(colour div 256) % 256 AS g", "colour % 256 AS b")
+    return top.selectExpr("doc_id", "px AS x", "py AS y", "CAST(colour div 65536 AS INT) AS r", "CAST((colour div 256) % 256 AS INT) AS g", "colour % 256 AS b")

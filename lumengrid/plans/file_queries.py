@@ -198,6 +198,11 @@ def _top(relation: str) -> str:
 
 
 query("v04_render", _rendered, f"WITH RECURSIVE {_painted} {_top('painted')}")
+query(
+    "s10_rasterised_markup",
+    lambda s, d: vector.rasterise(_markup(s, d), 32, 32),
+    f"WITH RECURSIVE {_painted}, top AS ({_top('painted')}), every AS (SELECT DISTINCT doc_id, px AS x, py AS y FROM shape, canvas) SELECT doc_id, x, y, coalesce(r, 255) AS r, coalesce(g, 255) AS g, coalesce(b, 255) AS b FROM every LEFT JOIN top USING (doc_id, x, y)",
+)
 query("v05_rects", lambda s, d: _rendered(s, d, ("rect",)), f"WITH RECURSIVE {_painted} {_top('(SELECT * FROM rp WHERE colour IS NOT NULL)')}")
 query("v06_circles", lambda s, d: _rendered(s, d, ("circle",)), f"WITH RECURSIVE {_painted} {_top('(SELECT * FROM cp WHERE colour IS NOT NULL)')}")
 query("v07_lines", lambda s, d: _rendered(s, d, ("line",)), f"WITH RECURSIVE {_painted} {_top('(SELECT * FROM walk WHERE px BETWEEN 0 AND 31 AND py BETWEEN 0 AND 31)')}")

@@ -20,7 +20,7 @@ class InvalidBatchSpec(ValueError):
     pass
 
 
-class UnsupportedOutputFormat(ValueError):
+class UnknownColorProfile(ValueError):
     pass
 
 
@@ -312,6 +312,10 @@ def apply_operation(px, operation: tuple):
         return kernels.white_balance(px, float(v["temperature"]), float(v["tint"]))
     if name == "grayscale":
         return kernels.grey(px)
+    if name == "convert_profile":
+        if str(v["profile"]).lower() not in PROFILE_NAMES:
+            raise UnknownColorProfile(v["profile"])
+        return kernels.convert_profile(px, "srgb", PROFILE_NAMES[str(v["profile"]).lower()])
     return px
 
 

@@ -91,6 +91,11 @@ def test_white_balance_equals_kernel(spark):
     assert np.array_equal(array(point.white_balance(frame(spark, COLOUR), 40.0, -20.0), "rgb"), kernels.white_balance(COLOUR, 40.0, -20.0))
 
 
+@pytest.mark.parametrize(("source", "target"), [("srgb", "display_p3"), ("srgb", "linear_rgb"), ("adobe_rgb_1998", "srgb"), ("srgb", "rec2020")])
+def test_profile_equals_kernel(spark, source, target):
+    assert np.array_equal(array(point.convert_profile(frame(spark, COLOUR), source, target), "rgb"), kernels.convert_profile(COLOUR, source, target))
+
+
 def test_constant_image_equalises_to_zero(spark):
     assert set(array(stats.equalise(frame(spark, np.full((3, 3), 7)))).ravel()) == {0}
 
