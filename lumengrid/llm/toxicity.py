@@ -3,8 +3,9 @@
 A text's words go through the network in windows of 32 words that overlap by half, all of them, to the last word. Each
 word comes in by its word input (a learned embedding of its bucket and the bucket's log odds of toxic documents) and by
 its character inputs (the log odds of its character n-grams, of three to six bytes with word marks: the largest by
-length, and the mean). The two directions' states are pooled by attention to one logit a window; a document's logit is
-its largest window's, and a logistic fit on documents kept out of training turns it into a probability.
+length, and the mean). The two directions' states are pooled by attention to one logit a window. A logistic fit, on
+documents kept out of training, makes a probability of a document's largest window logit and the largest of the windows
+that do not overlap that one.
 
 Training: from a bounded sample of labelled documents (see Settings) come the document counts of words and n-grams, in
 two halves so that a document's windows never see odds that its own label made; the windows that its odds rank highest,
@@ -46,6 +47,7 @@ class Settings:
     hidden: int = 8
     attention: int = 8
     epochs: int = 5
+    least_steps: int = 300
     batch: int = 128
     rate: float = 0.01
     seed: int = 7
@@ -195,7 +197,9 @@ class Model:
     odds: Odds | None = None
     weights: dict | None = None
     hidden: int = 8
-    scale: tuple[float, float] = (1.0, 0.0)
+    #: Weights of the two window logits and the offset; what stands for the second where there is no other window.
+    scale: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    alone: float = 0.0
 
 
 def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model:
@@ -229,36 +233,45 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
     target = np.array([r[2] for r in rows])
     p = _start(settings, rng)
     first, second, step = {k: np.zeros_like(v, np.float64) for k, v in p.items() if k != "emb"}, {k: np.zeros_like(v, np.float64) for k, v in p.items() if k != "emb"}, 0
-    for epoch in range(settings.epochs):
+    epochs = max(settings.epochs, -(-settings.least_steps * settings.batch // len(rows)))
+    few = min(1.0, len(rows) / 3000)  # of few windows little is learned by heart
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        rate = settings.rate * (1 - epoch / (settings.epochs + 1))
+        rate = settings.rate * (1 - epoch / (epochs + 1))
         for at in range(0, len(order), settings.batch):
             i = order[at : at + settings.batch]
             _, g = gradients(p, features[:, i], buckets[:, i], mask[:, i], target[i], settings.hidden)
             step += 1
-            np.add.at(p["emb"], buckets[:, i][mask[:, i]], (-rate * 5 * g.pop("emb")[mask[:, i]]).astype(np.float32))
+            np.add.at(p["emb"], buckets[:, i][mask[:, i]], (-rate * 5 * few * g.pop("emb")[mask[:, i]]).astype(np.float32))
             for k, v in g.items():
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.99 * second[k] + 0.01 * v * v
                 p[k] = p[k] - rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     model = Model(prior, both, {k: v.astype(np.float32) for k, v in p.items()}, settings.hidden)
     held = np.flatnonzero(part == 2)
-    model.scale = _logistic(Scorer(model).logits([docs[i] for i in held]), y[held])
+    x, label = Scorer(model).logits([docs[i] for i in held]), y[held]
+    more = np.isfinite(x[:, 1])
+    halves = [np.median(x[more & (label == k), 1]) for k in (0, 1) if (more & (label == k)).any()]
+    model.alone = float(np.mean(halves)) if halves else 0.0
+    model.scale = _logistic(model_input(model, x), label)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit, with a weak pull of the slope to 1."""
-    a, b = 1.0, 0.0
+def model_input(model: Model, x: np.ndarray) -> np.ndarray:
+    """The two logits of each document, the second filled in where there is none."""
+    return np.stack([x[:, 0], np.where(np.isfinite(x[:, 1]), x[:, 1], np.minimum(x[:, 0], model.alone))], 1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights, which are drawn to one half and never negative, and offset of a logistic fit."""
+    x, w, prior = np.column_stack([x, np.ones(len(x))]), np.array([0.5, 0.5, 0.0]), np.array([0.5, 0.5, 0.0])
+    pull = np.array([1.0, 1.0, 0.01])
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        grad = np.array([((p - y) * x).sum() + 0.1 * (a - 1), (p - y).sum()])
-        hess = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
-        move = np.linalg.solve(hess, grad)
-        move *= min(1.0, 1.0 / max(1e-9, np.abs(move).max()))
-        a, b = a - move[0], b - move[1]
-    return float(max(a, 0.05)), float(b)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(pull)
+        move = np.linalg.solve(curve, x.T @ (p - y) + pull * (w - prior))
+        w = w - move * min(1.0, 1.0 / max(1e-9, np.abs(move).max()))
+    return float(max(w[0], 0.05)), float(max(w[1], 0.0)), float(w[2])
 
 
 class _Rows(dict):
@@ -301,12 +314,12 @@ class Scorer:
         self.rows.fresh = []
 
     def logits(self, docs: list[list[bytes]]) -> np.ndarray:
-        """The largest window logit of each document; -inf without words."""
+        """Of each document the largest window logit and the largest that does not overlap it; -inf where there is none."""
         if len(self.rows) > REMEMBERED:
             self._forget()
         ids = [np.fromiter(map(self.rows.__getitem__, d), np.int64, len(d)) for d in docs]
         self._project()
-        out = np.full(len(docs), -np.inf)
+        out = np.full((len(docs), 2), -np.inf)
         sizes = np.array([len(x) for x in ids])
         flat = np.concatenate([*ids, np.zeros(WINDOW, np.int64)])
         begin = np.cumsum(sizes) - sizes
@@ -315,12 +328,19 @@ class Scorer:
         at = np.concatenate([s + b for s, b in zip(starts, begin, strict=True)]) if len(starts) else np.zeros(0, np.int64)
         stop = (begin + sizes)[owner]
         steps = np.arange(WINDOW)[:, None]
+        every = np.zeros(len(at))
         for k in range(0, len(at), BLOCK):
             a = at[k : k + BLOCK]
             place = steps + a
             inside = place < stop[k : k + BLOCK]
             words = np.where(inside, flat[np.minimum(place, len(flat) - 1)], 0)
-            np.maximum.at(out, owner[k : k + BLOCK], self._forward(words, inside))
+            every[k : k + BLOCK] = self._forward(words, inside)
+        cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
+        for d in np.flatnonzero(sizes):
+            mine = every[cuts[d] : cuts[d + 1]]
+            top = int(mine.argmax())
+            apart = np.concatenate([mine[: max(0, top - WINDOW // STRIDE + 1)], mine[top + WINDOW // STRIDE :]])
+            out[d] = mine[top], apart.max(initial=-np.inf)
         return out
 
     def _forward(self, words: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -342,11 +362,13 @@ class Scorer:
         docs = [words_of(t) for t in texts]
         if self.model.weights is None:
             return np.where([bool(d) for d in docs], self.model.prior, EMPTY)
-        a, b = self.model.scale
+        a, second, b = self.model.scale
         out = np.zeros(len(texts))
         for at in range(0, len(docs), 128):
             x = self.logits(docs[at : at + 128])
-            out[at : at + 128] = np.where(np.isfinite(x), 1 / (1 + np.exp(-np.clip(a * np.where(np.isfinite(x), x, 0) + b, -30, 30))), EMPTY)
+            there = np.isfinite(x[:, 0])
+            z = model_input(self.model, np.where(there[:, None], x, 0)) @ np.array([a, second]) + b
+            out[at : at + 128] = np.where(there, 1 / (1 + np.exp(-np.clip(z, -30, 30))), EMPTY)
         return out
 
 
