@@ -29,10 +29,11 @@ OUTPUT = "struct<lang_pred:string,score:double>"
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the fit: labelled rows drawn for each language, their longest text, landmarks for each language."""
+    """Bounds of the fit: labelled rows drawn for each language and in all, about, their longest text, landmarks."""
 
     rows_per_language: int = 300
-    max_fit_chars: int = 100_000
+    rows: int = 8_000
+    max_fit_chars: int = 40_000
     landmarks_per_language: int = 12
     max_landmarks: int = 192
     max_letters: int = 96
@@ -182,14 +183,15 @@ class Scorer:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, key: str, settings: Settings) -> list[tuple[str, str]]:
-    """A bounded labelled sample: by the hash of key, about rows_per_language of each language, whole texts."""
+    """A bounded labelled sample: by the hash of key, about as many rows of each language, whole texts."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= settings.max_fit_chars)).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, settings.rows_per_language / n))])
+    each = min(settings.rows_per_language, max(4, settings.rows // len(counts)))
+    shares = rows.sparkSession.createDataFrame([(r["l"], min(1.0, each / r["n"])) for r in counts], "l string, share double")
     draw = F.pmod(F.xxhash64("k", F.lit(settings.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got = rows.where(draw < share[F.col("l")]).collect()
+    got = rows.join(F.broadcast(shares), "l").where(draw < F.col("share")).collect()  # one row a language is sent
     return [(r["t"], r["l"]) for r in sorted(got, key=lambda r: (r["k"] or "", r["t"]))]
 
 
