@@ -2,7 +2,8 @@
 
 IN and OUT are paths, or - for standard input and output, which needs a format. Steps: resize:WxH crop:X,Y,W,H blur:R
 brightness:V contrast:F grayscale rotate:DEGREES flip:h|v format:EXT save:PATH. A script has a line for each job:
-job op=NAME input=PATH|inputs=A,B output=FOLDER [recursive=] [overwrite=] [preserve_structure=] [key=value...].
+job operation=NAME input=PATH|inputs=A,B output=FOLDER [recursive=] [overwrite=] [preserve_structure=] [key=value...];
+inputs are files, folders or globs; folders below the working directory are kept unless preserve_structure is false.
 """
 
 from __future__ import annotations
@@ -85,9 +86,9 @@ def batch(script: str) -> int:
             bad = 1
             continue
         o = row["options"]
-        flag = lambda k, o=o: steps.parse_bool(o.get(k, "false"))
-        found = images.inputs(spark, (o.get("inputs") or o["input"]).split(","), flag("recursive"))
-        job = steps.BatchJob(overwrite=flag("overwrite"), keep_structure=flag("preserve_structure"), root=o.get("root", "")).set_output(o["output"]).set_operation(row["op"], **{k: v for k, v in o.items() if k not in ("op", "input", "inputs", "output", "recursive", "overwrite", "preserve_structure", "threads", "progress", "root")})
+        flag = lambda k, default="false", o=o: steps.parse_bool(o.get(k, default))
+        found = images.inputs(spark, [os.path.abspath(x.strip()) for x in (o.get("inputs") or o["input"]).split(",") if x.strip()], flag("recursive"))
+        job = steps.BatchJob(overwrite=flag("overwrite"), keep_structure=flag("preserve_structure", "true"), root=os.getcwd()).set_output(os.path.abspath(o["output"])).set_operation(row["op"], **{k: v for k, v in o.items() if k not in ("operation", "input", "inputs", "output", "recursive", "overwrite", "preserve_structure", "threads", "progress")})
         existing = None
         if os.path.isdir(o["output"]) and not job.overwrite:
             existing = images.scan(spark, o["output"]).select(F.regexp_replace("path", "^file:", "").alias("path"))

@@ -247,7 +247,7 @@ def _batch(s: SparkSession, d: str) -> DataFrame:
     """A batch over the PNG files of the fixture, every ninth broken, every seventh there already."""
     files = _files(s, d, "png").select(F.concat(F.lit("/in/"), "path", F.lit(".png")).alias("path"), F.when(F.col("path").cast("int") % 9 == 0, F.expr("substring(content, 1, 20)")).otherwise(F.col("content")).alias("content"))
     existing = files.where(F.regexp_extract("path", r"(\d+)", 1).cast("int") % 7 == 0).select(F.regexp_replace("path", "^/in", "/out").alias("path"))
-    job = steps.BatchJob(root="/in").set_output("/out").set_operation("resize", width=4)
+    job = steps.BatchJob(root="/in").set_output("/out").set_operation("resize", width=4, height=9)
     done = job.run(files, existing)
     size = images.decode(done.where("status = 'processed'").select("path", "content")).select(F.col("path").alias("p"), "width", "height")
     return done.join(size, F.col("path") == F.col("p"), "left").select("path", "output_path", "status", "error", "width", "height")
@@ -262,10 +262,10 @@ query(
 _ratio = D.div(_f("w"), _f("h"))
 query("b03_aspect_height", lambda s, d: fx.table(s, d, "part").selectExpr("p_partkey", "p_size * 13 AS w", "CAST(p_partkey % 500 + 1 AS INT) AS h").selectExpr("p_partkey", f"greatest(1, CAST(floor({point.SPARK.div(point.SPARK.f(640), point.SPARK.div(point.SPARK.f('w'), point.SPARK.f('h')))} + CAST(0.5 AS FLOAT)) AS INT)) AS height"), f"SELECT p_partkey, greatest(1, CAST(floor({D.div(_f(640), _ratio)} + {_f(0.5)}) AS INT)) AS height FROM (SELECT p_partkey, p_size * 13 AS w, (p_partkey % 500 + 1)::INT AS h FROM part)")
 _lines = [
-    "job op=resize input=/a.png output=/out width=64", "job op=convert inputs=/a.png,/b.png output=/out format=png recursive=true", "# a comment", "job op=brightness input=/a.png output=/out",
-    "pipeline resize:2x2", "job op=white_balance input=/a.png output=/out temperature=10 tint=-5 # warm", "job op=blur output=/out radius=2", "job input=/a.png output=/out", "job op=sparkle input=/a output=/out", "job op=blur input=/a.png radius=3",
+    "job operation=resize input=/a.png output=/out width=64 height=64", "job operation=convert inputs=/a.png,/b.png output=/out format=png recursive=true", "# a comment", "job operation=brightness input=/a.png output=/out",
+    "pipeline resize:2x2", "job operation=white_balance input=/a.png output=/out temperature=10 tint=-5 # warm", "JOB operation=blur output=/out radius=2", "job input=/a.png output=/out", "job operation=sparkle input=/a output=/out", "job operation=Brightness amount=3 input=/a.png",
 ]
-_parsed = {0: ("resize", None), 1: ("convert_format", None), 3: ("adjust_brightness", "InvalidBatchSpec"), 4: (None, "UnknownCommand"), 5: ("white_balance", None), 6: ("blur", "NoInputFiles"), 7: (None, "NoOperation"), 8: (None, "InvalidBatchSpec"), 9: ("blur", "NoOutputDirectory")}
+_parsed = {0: ("resize", None), 1: ("convert_format", None), 3: ("adjust_brightness", "InvalidBatchSpec"), 4: (None, "UnknownCommand"), 5: ("white_balance", None), 6: ("blur", "NoInputFiles"), 7: (None, "NoOperation"), 8: (None, "InvalidBatchSpec"), 9: ("adjust_brightness", "NoOutputDirectory")}
 _sql = lambda v: "NULL" if v is None else f"'{v}'"
 query("b06_job_lines", lambda s, d: steps.job_lines(fx.table(s, d, "part").select(F.col("p_partkey").alias("line_no"), F.get(F.array(*map(F.lit, _lines)), (F.col("p_partkey") % 10).cast("int")).alias("value"))).select("line_no", "op", "valid", "reason"), "SELECT p_partkey AS line_no, op, reason IS NULL AS valid, reason FROM part JOIN (VALUES " + ", ".join(f"({k}, {_sql(a)}, {_sql(b)})" for k, (a, b) in _parsed.items()) + ") t(k, op, reason) ON k = p_partkey % 10")
 _folded = f"""{fx.GREY_SQL}, a AS (SELECT image_id, x - 1 AS x, y - 1 AS y, least(255, v + 20) AS v FROM grey WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6), b AS (SELECT image_id, x, y, {fm.contrast(D, 'v', 1.2)} AS v FROM a),

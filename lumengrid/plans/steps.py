@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -79,7 +80,8 @@ class Step:
 
 
 def parse_step(text: str) -> Step:
-    name, _, rest = text.strip().partition(":")
+    name, _, rest = re.sub("^--", "", text.strip()).replace("=", ":", 1).partition(":")
+    name, rest = {"output-format": "format", "write": "save"}.get(name.lower(), name.lower()), rest.strip()
     try:
         if name == "resize":
             w, h = rest.lower().split("x")
@@ -91,8 +93,8 @@ def parse_step(text: str) -> Step:
             return Step(name, (int(rest),))
         if name in ("contrast", "rotate"):
             return Step(name, (float(rest),))
-        if name == "grayscale":
-            return Step(name)
+        if (name, rest) == ("grayscale", "") or (name, rest.lower()) == ("convert", "grayscale"):
+            return Step("grayscale")
         if name == "flip" and rest.lower() in ("h", "v", "horizontal", "vertical"):
             return Step(name, (rest.lower()[0],))
         if name == "format" and rest.lower() in ("jpg", "jpeg", "png", "bmp", "webp", "tiff", "gif", "avif", "svg"):
@@ -177,18 +179,18 @@ def run_kernels(px, steps: list[Step]):
 
 
 # --- batches ---------------------------------------------------------------------------------------------------------
-#: Names of operations and their aliases, with the keys that each must have.
+#: Names of operations and their aliases, with the keys that each must have; a bar parts keys that stand for each other.
 OPERATIONS = {
-    "resize": ("resize", ("width",)), "crop": ("crop", ("x", "y", "width", "height")), "rotate": ("rotate", ("angle",)), "blur": ("blur", ("radius",)),
+    "resize": ("resize", ("width", "height")), "crop": ("crop", ("x", "y", "width", "height")), "rotate": ("rotate", ("angle",)), "blur": ("blur", ("radius",)),
     "convert_format": ("convert_format", ("format",)), "convert": ("convert_format", ("format",)),
-    "adjust_brightness": ("adjust_brightness", ("value",)), "brightness": ("adjust_brightness", ("value",)),
+    "adjust_brightness": ("adjust_brightness", ("value|amount",)), "brightness": ("adjust_brightness", ("value|amount",)),
     "adjust_contrast": ("adjust_contrast", ("factor",)), "contrast": ("adjust_contrast", ("factor",)),
     "white_balance": ("white_balance", ("temperature", "tint")), "grayscale": ("grayscale", ()),
-    "convert_profile": ("convert_profile", ("profile",)), "profile": ("convert_profile", ("profile",)),
+    "color_profile_convert": ("color_profile_convert", ("profile",)), "profile": ("color_profile_convert", ("profile",)),
 }
 
-#: Aliases of colour profiles.
-PROFILE_NAMES = {"srgb": "srgb", "adobe": "adobe_rgb_1998", "adobe_rgb": "adobe_rgb_1998", "adobe_rgb_1998": "adobe_rgb_1998", "prophoto": "pro_photo_rgb", "pro_photo_rgb": "pro_photo_rgb", "rec2020": "rec2020", "display_p3": "display_p3", "p3": "display_p3", "rec709": "rec709", "linear": "linear_rgb", "linear_rgb": "linear_rgb"}
+#: Aliases of colour profiles.
+PROFILE_NAMES = {"srgb": "srgb", "adobe_rgb": "adobe_rgb_1998", "adobe_rgb_1998": "adobe_rgb_1998", "pro_photo": "pro_photo_rgb", "pro_photo_rgb": "pro_photo_rgb", "rec2020": "rec2020", "display_p3": "display_p3", "rec709": "rec709", "linear_rgb": "linear_rgb", "linear": "linear_rgb"}
 
 
 def profile_by_name(name: Column) -> Column:
@@ -202,31 +204,34 @@ def profile_by_name(name: Column) -> Column:
 def job_lines(script: DataFrame, text: str = "value") -> DataFrame:
     """(line_no, op, valid, reason, options) of the lines of a script, one row a line with column line_no; comments and
     blank lines go. Lines that cannot run stay, with a reason."""
-    line = F.trim(F.regexp_replace(F.col(text), r"#.*$", ""))
+    line = F.trim(F.regexp_replace(F.col(text), r"(^|\s)#.*$", ""))
     rows = script.select("line_no", line.alias("line")).where("line <> ''")
     tokens = F.filter(F.split("line", r"\s+"), lambda t: t != "")
     rows = rows.withColumn("tokens", tokens).withColumn("pairs", F.filter(F.slice("tokens", 2, 1000), lambda t: F.instr(t, "=") > 1))
-    keys = F.transform("pairs", lambda t: F.substring_index(t, "=", 1))
+    keys = F.transform("pairs", lambda t: F.lower(F.substring_index(t, "=", 1)))
     values = F.transform("pairs", lambda t: F.regexp_extract(t, r"^[^=]*=(.*)$", 1))
     # The first of repeated keys holds.
     first = F.array_distinct(keys)
     options = F.map_from_entries(F.transform(first, lambda k: F.struct(k.alias("key"), F.get(values, F.array_position(keys, k) - 1).alias("value"))))
     rows = rows.withColumn("options", options)
-    op = F.lower(F.try_element_at("options", F.lit("op")))
+    op = F.lower(F.try_element_at("options", F.lit("operation")))
     known, missing = None, None
     for alias, (name, required) in OPERATIONS.items():
         hit = op == alias
         absent = F.lit(False)
         for key in required:
-            absent = absent | ~F.map_contains_key("options", key)
+            some = F.lit(False)
+            for one in key.split("|"):
+                some = some | F.map_contains_key("options", one)
+            absent = absent | ~some
         known = F.when(hit, name) if known is None else known.when(hit, name)
         missing = F.when(hit, absent) if missing is None else missing.when(hit, absent)
     has_input = F.map_contains_key("options", "input") | F.map_contains_key("options", "inputs")
     reason = (
-        F.when(F.get("tokens", F.lit(0)) != "job", "UnknownCommand")
-        .when(~has_input, "NoInputFiles")
-        .when(~F.map_contains_key("options", "output"), "NoOutputDirectory")
+        F.when(F.lower(F.get("tokens", F.lit(0))) != "job", "UnknownCommand")
         .when(op.isNull(), "NoOperation")
+        .when(~F.map_contains_key("options", "output"), "NoOutputDirectory")
+        .when(~has_input, "NoInputFiles")
         .when(known.isNull() | F.coalesce(missing, F.lit(True)), "InvalidBatchSpec")
     )
     return rows.select("line_no", known.alias("op"), reason.isNull().alias("valid"), reason.alias("reason"), "options")
@@ -260,7 +265,7 @@ class BatchJob:
         if name not in OPERATIONS:
             raise InvalidBatchSpec(name)
         name, required = OPERATIONS[name]
-        if missing := [k for k in required if k not in values]:
+        if missing := [k for k in required if not set(k.split("|")) & set(values)]:
             raise InvalidBatchSpec(f"{name} needs {', '.join(missing)}")
         self.operation = (name, values)
         if name == "convert_format":
@@ -295,7 +300,7 @@ def apply_operation(px, operation: tuple):
     name, v = operation
     if name == "resize":
         width = int(v["width"])
-        keep = v.get("keep_aspect", True)
+        keep = v.get("maintain_aspect", True)
         keep = parse_bool(keep) if isinstance(keep, str) else keep
         return kernels.resize(px, width, kernels.aspect_height(px, width) if keep else int(v["height"]))
     if name == "crop":
@@ -305,14 +310,14 @@ def apply_operation(px, operation: tuple):
     if name == "blur":
         return kernels.blur(px, int(v["radius"]))
     if name == "adjust_brightness":
-        return kernels.brightness(px, int(v["value"]))
+        return kernels.brightness(px, int(v.get("value", v.get("amount"))))
     if name == "adjust_contrast":
         return kernels.contrast(px, float(v["factor"]))
     if name == "white_balance":
         return kernels.white_balance(px, float(v["temperature"]), float(v["tint"]))
     if name == "grayscale":
         return kernels.grey(px)
-    if name == "convert_profile":
+    if name == "color_profile_convert":
         if str(v["profile"]).lower() not in PROFILE_NAMES:
             raise UnknownColorProfile(v["profile"])
         return kernels.convert_profile(px, "srgb", PROFILE_NAMES[str(v["profile"]).lower()])

@@ -146,6 +146,7 @@ def test_raw_info():
 def test_pipeline_fails_before_it_runs(spark):
     with pytest.raises(steps.InvalidPipelineStep):
         steps.parse_pipeline(["blur:1", "sparkle:9"])
+    assert steps.parse_pipeline(["convert:grayscale", "--format=PNG", "write:/x.png"]) == [steps.Step("grayscale"), steps.Step("format", ("png",)), steps.Step("save", ("/x.png",))]
     assert steps.parse_pipeline(["flip:h", "flip:h", "rotate:90"]) == [steps.Step("rotate", (90.0,))]
 
 
@@ -190,7 +191,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["convert", str(source), str(tmp_path / "out.png")]) == 0
     assert codecs.sniff((tmp_path / "out.png").read_bytes()) == "png"
     script = tmp_path / "jobs.txt"
-    script.write_text(f"# jobs\njob op=blur radius=1 input={source} output={tmp_path}/done\njob op=sparkle input=/a output=/b\n")
+    script.write_text(f"# jobs\njob operation=blur radius=1 input={source} output={tmp_path}/done\njob operation=sparkle input=/a output=/b\n")
     assert main(["batch", str(script)]) == 1
     assert (tmp_path / "done" / "in.bmp").exists()
     assert main(["pipeline", str(source), "sparkle:1"]) == 2
