@@ -23,13 +23,13 @@ def _bytes(x: np.ndarray) -> np.ndarray:
 
 
 def brightness(px: np.ndarray, amount: int) -> np.ndarray:
-    return np.clip(px.astype(np.int64) + amount, 0, 255).astype(np.uint8)
+    return np.clip(np.arange(256) + amount, 0, 255).astype(np.uint8)[px]  # by a table of the 256 samples
 
 
 def contrast(px: np.ndarray, factor: float) -> np.ndarray:
     if factor < 0:
         raise InvalidContrastFactor(factor)
-    return _bytes((px.astype(f) - f(128)) * f(factor) + f(128))
+    return _bytes((np.arange(256, dtype=f) - f(128)) * f(factor) + f(128))[px]
 
 
 def white_balance(px: np.ndarray, temperature: float, tint: float) -> np.ndarray:
@@ -68,15 +68,28 @@ def rotate90(px: np.ndarray) -> np.ndarray:
 
 
 def _read(px: np.ndarray, sx: np.ndarray, sy: np.ndarray, clamp: bool) -> np.ndarray:
+    """Bilinear samples, some rows of the target at a time, so that what is worked on stays in the cache."""
     height, width = px.shape[:2]
-    inside = np.ones(sx.shape, bool) if clamp else (sx >= 0) & (sx < width - 1) & (sy >= 0) & (sy < height - 1)
-    sx, sy = np.where(inside, sx, 0).astype(f), np.where(inside, sy, 0).astype(f)
-    x1, y1 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    x2, y2 = np.minimum(x1 + 1, width - 1), np.minimum(y1 + 1, height - 1)
-    dx, dy = (sx - x1.astype(f))[:, :, None], (sy - y1.astype(f))[:, :, None]
-    p = px.astype(f)
-    out = p[y1, x1] * (f(1) - dx) * (f(1) - dy) + p[y1, x2] * dx * (f(1) - dy) + p[y2, x1] * (f(1) - dx) * dy + p[y2, x2] * dx * dy
-    return np.where(inside[:, :, None], _bytes(out), 0).astype(np.uint8)
+    out = np.zeros((*sx.shape, px.shape[2]), np.uint8)
+    planes = [np.ascontiguousarray(px[:, :, c]).ravel().astype(f) for c in range(px.shape[2])]
+    step = max(1, (1 << 15) // sx.shape[1])
+    for top in range(0, sx.shape[0], step):
+        x, y = sx[top : top + step], sy[top : top + step]
+        inside = None if clamp else (x >= 0) & (x < width - 1) & (y >= 0) & (y < height - 1)
+        if inside is not None:
+            x, y = np.where(inside, x, 0).astype(f), np.where(inside, y, 0).astype(f)
+        x1, y1 = np.floor(x).astype(np.int32), np.floor(y).astype(np.int32)
+        x2, y2 = np.minimum(x1 + 1, width - 1), np.minimum(y1 + 1, height - 1)
+        dx, dy = x - x1, y - y1
+        dx, dy = dx.astype(f), dy.astype(f)
+        ix, iy = f(1) - dx, f(1) - dy
+        y1, y2 = y1 * width, y2 * width
+        taps = [y1 + x1, y1 + x2, y2 + x1, y2 + x2]
+        for c, flat in enumerate(planes):
+            v = flat[taps[0]] * ix * iy + flat[taps[1]] * dx * iy + flat[taps[2]] * ix * dy + flat[taps[3]] * dx * dy
+            got = _bytes(v)
+            out[top : top + step, :, c] = got if inside is None else np.where(inside, got, 0)
+    return out
 
 
 def _grid(width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,16 +112,18 @@ def rotate(px: np.ndarray, degrees: float) -> np.ndarray:
 
 
 def _box(px: np.ndarray, radius: int, axis: int) -> np.ndarray:
+    """Means of a running window, from a running sum; 32 bits hold the sums of any side up to 65,535."""
     n = px.shape[axis]
-    total = np.concatenate([np.zeros_like(np.take(px, [0], axis)), np.cumsum(px, axis)], axis)
+    total = np.zeros([n + 1 if k == axis else size for k, size in enumerate(px.shape)], np.uint32)
+    np.cumsum(px, axis, np.uint32, total[(slice(None),) * axis + (slice(1, None),)])
     low, high = np.maximum(np.arange(n) - radius, 0), np.minimum(np.arange(n) + radius + 1, n)
     shape = [1, 1, 1]
     shape[axis] = n
-    return (np.take(total, high, axis) - np.take(total, low, axis)) // (high - low).reshape(shape)
+    return ((np.take(total, high, axis) - np.take(total, low, axis)) // (high - low).astype(np.uint32).reshape(shape)).astype(np.uint8)
 
 
 def blur(px: np.ndarray, radius: int) -> np.ndarray:
-    return px if radius == 0 else _box(_box(px.astype(np.int64), radius, 1), radius, 0).astype(np.uint8)
+    return px if radius == 0 else _box(_box(px, radius, 1), radius, 0)
 
 
 def convolve(px: np.ndarray, kernel: list[tuple[int, int, int]], scale: int = 1) -> np.ndarray:

@@ -157,12 +157,12 @@ def map_images(images: DataFrame, operation) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
+            rows = batch.drop_columns(["data"]).to_pylist()
+            for r, data in zip(rows, batch.column("data"), strict=True):  # pixels are read where they are in the batch
+                r["data"] = data.as_buffer() if data.is_valid else None
                 if r["error"] is None:
                     i = codecs.Image.of(operation(codecs.Image(r["width"], r["height"], r["format"], r["data"]).pixels))
                     r |= {"width": i.width, "height": i.height, "format": i.format, "data": i.data}
-                rows.append(r)
             kinds = {"path": pa.string(), "width": pa.int32(), "height": pa.int32(), "format": pa.string(), "data": pa.binary(), "error": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
 
