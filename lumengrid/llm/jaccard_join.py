@@ -190,7 +190,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     members = grouped.join(blocks, "component").join(classes.select("rep", "h1", "h2", "n"), "rep")
     members = members.withColumn("block", (bucket("rep", buckets=1 << 20) % F.col("blocks")).cast("int"))
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    dealt = texts.join(members.hint("shuffle_hash"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = texts.join(members, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "n", "h1", "h2", "text")
     keys = ["component", "x", "y"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "side", "rep")
