@@ -12,10 +12,13 @@ are added by document. One shard is one pass over the texts; a larger corpus mak
 
 A document is judged by its mean negative log probability a character, drawn to its language's median as if it had
 SHORT_CHARS more characters, against the language's threshold: the median of trusted documents plus REACH times the
-distance from the median to their 0.9 quantile. Languages with few trusted documents use the quantiles of all.
+distance from the median to their 0.9 quantile. For these quantiles a trusted document is scored by a model that did not
+count it: texts are dealt to FOLDS parts by their hash, and each part is scored by the model of the others. Languages
+with few trusted documents keep their own median and have at least the spread and the threshold of all; those with none
+use the quantiles of all.
 
 Defined results: null and empty texts have perplexity null and are kept (language identification rejects them); null
-languages are a language of their own; without trusted text nothing is rejected; repeated rows are judged alike. Texts
+languages are a language of their own; without trusted text, or with one only, nothing is rejected; repeated rows are judged alike. Texts
 are read whole, in pieces.
 """
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, free_name, stored, struct_array
+from .common import bound_batches, bucket, free_name, stored, struct_array
 
 ORDER, BITS = 5, 12
 #: Entries of a shard; 12 bytes each, and twice the room in the hash table.
@@ -41,6 +44,8 @@ BIN = 0.005
 SHORT_CHARS = 100
 REACH = 3.0
 LEAST_TRUSTED = 30
+#: Parts of the trusted texts, each scored for the thresholds by a model of the others.
+FOLDS, FOLD_SALT = 5, 23
 BOS = "\x00"
 OUTPUT = "struct<logp:double,chars:long>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -102,53 +107,89 @@ class Model:
     unknown: float
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    t = counts.agg(*[F.count_if(F.col("c") == i).alias(f"t{i}") for i in (1, 2, 3, 4)]).first()
-    if not all(t):
-        return 0.5, 0.5, 0.5
-    y = t[0] / (t[0] + 2 * t[1])
-    return tuple(min(float(i), max(0.05, i - (i + 1) * y * t[i] / t[i - 1])) for i in (1, 2, 3))
+def _discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """The three discounts of each model."""
+    found = {}
+    for row in counts.groupBy("model").agg(*[F.count_if(F.col("c") == i).alias(f"t{i}") for i in (1, 2, 3, 4)]).collect():
+        model, *t = row
+        y = t[0] / (t[0] + 2 * t[1]) if all(t) else 0.0
+        found[model] = tuple(min(float(i), max(0.05, i - (i + 1) * y * t[i] / t[i - 1])) for i in (1, 2, 3)) if all(t) else (0.5, 0.5, 0.5)
+    return found
+
+
+def _of_model(values: dict[int, float], models: int) -> Column:
+    """The value of the row's model."""
+    return F.array(*[F.lit(values.get(m)).cast("double") for m in range(models)])[F.col("model")]
 
 
 def train(trusted: DataFrame, text: str = "text") -> Model:
     """The model of all texts of trusted."""
+    return _trained(trusted, text, 0)[0]
+
+
+def fold_of(text: str, folds: int) -> Column:
+    """The fold of a text: equal texts are in one, so that no text is scored by a model that counted its copy."""
+    return bucket(text, buckets=folds, salt=FOLD_SALT).cast("int")
+
+
+def cross_trained(trusted: DataFrame, text: str = "text", folds: int = FOLDS) -> tuple[Model, list[Model | None]]:
+    """The model of all texts, and for each fold that of the texts outside it, None where there is none outside."""
+    whole, *without = _trained(trusted, text, folds)
+    return whole, [m if m.shards else None for m in without]
+
+
+def _trained(trusted: DataFrame, text: str, folds: int) -> list[Model]:
+    """The model of all texts, then those of the texts outside each fold; texts are counted once and for all of them."""
     bound_batches(trusted.sparkSession)
+    models = 1 + folds
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for code, _ in pieces(batch.column(0).to_pylist()):
-                gram, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "c"])
-
-    grams = stored(trusted.select(text).mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")), "grams5")
-    tables = {ORDER: grams}
+            fold = batch.column(1).to_numpy()
+            for code, own in pieces(batch.column(0).to_pylist()):
+                for f in np.unique(fold[own]):
+                    gram, n = np.unique(code[fold[own] == f], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), f, np.int32)), pa.array(n)], names=["gram", "fold", "c"])
+
+    fold = fold_of(text, folds) if folds else F.lit(0)
+    parts = trusted.select(text, fold.alias("fold")).mapInArrow(count, "gram long, fold int, c long")
+    total = F.sum("c")
+    each = [total, *[total - F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("c"))), F.lit(0)) for f in range(folds)]]
+    grams = parts.groupBy("gram").agg(F.array(*each).alias("cs")).select("gram", F.posexplode("cs").alias("model", "c")).where("c > 0")
+    tables = {ORDER: stored(grams, "grams5")}
     for k in range(ORDER - 1, 0, -1):
         mask = (1 << BITS * k) - 1
-        tables[k] = stored(tables[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
-    rows, lower, unknown = [], None, 0.0
+        tables[k] = stored(tables[k + 1].groupBy("model", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
+    rows, lower, unknown = [], None, {}
     for k in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(tables[k])
+        discounts = _discounts(tables[k])
+        d1, d2, d3 = (_of_model({m: d[i] for m, d in discounts.items()}, models) for i in range(3))
         t = tables[k].withColumn("ctx", F.shiftright("gram", BITS))
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        contexts = t.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(cut).alias("left")).withColumn("gamma", F.col("left") / F.col("total"))
+        contexts = t.groupBy("model", "ctx").agg(F.sum("c").alias("total"), F.sum(cut).alias("left")).withColumn("gamma", F.col("left") / F.col("total"))
         if k == 1:
-            c = contexts.select("gamma").first()
-            symbols = tables[1].count() + 1
-            unknown = (c["gamma"] if c else 1.0) / symbols
-            p = t.join(F.broadcast(contexts), "ctx").select("gram", ((F.col("c") - cut) / F.col("total") + unknown).alias("p"))
+            symbols = {r["model"]: r["count"] + 1 for r in tables[1].groupBy("model").count().collect()}
+            unknown = {r["model"]: r["gamma"] / symbols[r["model"]] for r in contexts.select("model", "gamma").collect()}
+            p = t.join(F.broadcast(contexts), ["model", "ctx"]).select("model", "gram", ((F.col("c") - cut) / F.col("total") + _of_model(unknown, models)).alias("p"))
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
-            p = t.join(contexts, "ctx").withColumn("suffix", suffix).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix")
-            p = p.select("gram", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
-            rows.append(contexts.select(F.col("ctx").bitwiseOR(F.lit(_tag(8 + k - 1))).alias("key"), F.log("gamma").cast("float").alias("value"), _pair(F.col("ctx"), k - 1).alias("pair")))
+            p = t.join(contexts, ["model", "ctx"]).withColumn("suffix", suffix).join(lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["model", "suffix"])
+            p = p.select("model", "gram", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
+            rows.append(contexts.select("model", F.col("ctx").bitwiseOR(F.lit(_tag(8 + k - 1))).alias("key"), F.log("gamma").cast("float").alias("value"), _pair(F.col("ctx"), k - 1).alias("pair")))
         lower = stored(p, f"probability{k}")
-        rows.append(lower.select(F.col("gram").bitwiseOR(F.lit(_tag(k))).alias("key"), F.log("p").cast("float").alias("value"), _pair(F.shiftright("gram", BITS), k - 1).alias("pair")))
+        rows.append(lower.select("model", F.col("gram").bitwiseOR(F.lit(_tag(k))).alias("key"), F.log("p").cast("float").alias("value"), _pair(F.shiftright("gram", BITS), k - 1).alias("pair")))
     entries = rows[0]
     for r in rows[1:]:
         entries = entries.unionAll(r)
     entries = stored(entries, "model")
-    shards = max(1, -(-entries.where("pair IS NOT NULL").count() // SHARD_ENTRIES))
-    return Model(entries.select("key", "value", _shard(F.col("pair"), shards).alias("shard")), shards, float(np.log(unknown)))
+    sizes = {r["model"]: r["n"] for r in entries.groupBy("model").agg(F.count("pair").alias("n")).collect()}
+    out = []
+    for m in range(models):
+        # A model of no text has one shard if it is the whole one, and none if it is a fold's, which nothing is scored by.
+        shards = max(1, -(-sizes[m] // SHARD_ENTRIES)) if m in sizes else int(m == 0)
+        mine = entries.where(F.col("model") == m).select("key", "value", _shard(F.col("pair"), max(1, shards)).alias("shard"))
+        out.append(Model(mine, shards, float(np.log(unknown.get(m, 1.0)))))
+    return out
 
 
 def _tag(kind: int) -> int:
@@ -265,16 +306,34 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "lm")
     return docs.withColumns({"lm_a": digest[0], "lm_b": F.coalesce(digest[1], F.lit(-1))}).join(each.withColumn("lm_b", F.coalesce("lm_b", F.lit(-1))), ["lm_a", "lm_b"], "left").drop("lm_a", "lm_b")
 
 
+def held_out_scores(trusted: DataFrame, without: list[Model | None], text: str = "text", name: str = "lm") -> DataFrame:
+    """trusted with the struct column `name`, each text scored by the model that did not count it; texts of a fold
+    outside which there is no text are left out."""
+    out = None
+    for f, model in enumerate(without):
+        if model is not None:
+            part = scored(trusted.where(fold_of(text, len(without)) == f), model, text, name)
+            out = part if out is None else out.unionByName(part)
+    return trusted.withColumn(name, F.lit(None).cast(OUTPUT)).limit(0) if out is None else out
+
+
 def thresholds(trusted: DataFrame, lang: str = "lang", name: str = "lm") -> DataFrame:
-    """(lang_key, median, threshold) of scored trusted documents; the row of null lang_key is that of all."""
+    """(lang_key, median, threshold) of scored trusted documents; the row of null lang_key is that of all.
+
+    A language of few documents has its own median, but at least the spread, and the threshold, of all."""
     x = trusted.where(F.col(name)["chars"] > 0).select(F.coalesce(F.col(lang), F.lit("")).alias("lang_key"), F.floor(-F.col(name)["logp"] / F.col(name)["chars"] / BIN).alias("bin"))
     bins = stored(x.groupBy("lang_key", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")  # used twice, scored once
     bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lang_key", F.lit(None).cast("string")))
     run = Window.partitionBy("lang_key").orderBy("bin")
     bins = bins.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(Window.partitionBy("lang_key"))})
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), (F.col("bin") + 0.5) * BIN))
-    found = bins.where(F.col("lang_key").isNull() | (F.col("total") >= LEAST_TRUSTED)).groupBy("lang_key").agg(at(0.5).alias("median"), at(0.9).alias("high"))
-    return found.select("lang_key", "median", (F.col("median") + REACH * F.greatest(F.col("high") - F.col("median"), F.lit(4 * BIN))).alias("threshold"))
+    found = stored(bins.groupBy("lang_key").agg(at(0.5).alias("median"), at(0.9).alias("high"), F.first("total").alias("total")), "quantiles")
+    found = found.withColumn("spread", F.greatest(F.col("high") - F.col("median"), F.lit(4 * BIN)))
+    every = found.where("lang_key IS NULL").select(F.col("spread").alias("all_spread"), (F.col("median") + REACH * F.col("spread")).alias("all_threshold"))
+    few = F.col("lang_key").isNotNull() & (F.col("total") < LEAST_TRUSTED)
+    spread = F.when(few, F.greatest("spread", "all_spread")).otherwise(F.col("spread"))
+    own = F.col("median") + REACH * spread
+    return found.join(F.broadcast(every), F.lit(True)).select("lang_key", "median", F.when(few, F.greatest(own, "all_threshold")).otherwise(own).alias("threshold"))
 
 
 def judged(docs: DataFrame, limits: DataFrame, lang: str = "lang", name: str = "lm", out: str = "quality") -> DataFrame:
@@ -302,6 +361,6 @@ def trusted_docs(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Dat
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", out: str = "quality") -> DataFrame:
     """docs with the struct column `out`, by a model and thresholds of their trusted part."""
     trusted, lm = trusted_docs(docs, labels, key), free_name(docs, "lm")
-    model = train(trusted, text)
-    limits = thresholds(scored(trusted, model, text, lm), lang, lm)
+    model, without = cross_trained(trusted, text)
+    limits = thresholds(held_out_scores(trusted, without, text, lm), lang, lm)
     return judged(scored(docs, model, text, lm), limits, lang, lm, out).drop(lm)

@@ -259,6 +259,34 @@ def test_language_model_equals_brute_force(spark, monkeypatch, shard):
         assert got[t]["chars"] == len(t) and got[t]["logp"] == pytest.approx(score(t), rel=1e-4, abs=1e-4)
 
 
+@pytest.mark.parametrize("trusted", [8, 40])
+def test_unseen_texts_of_a_small_language_are_kept(spark, trusted):
+    """The thresholds come from texts that their model did not count, also where the language has few."""
+    rng = random.Random(4)
+    tongue = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(300)] for lang, letters in (("x", "abcdefgh"), ("y", "mnopqrst"))}
+    text = lambda lang: " ".join(rng.choice(tongue[lang]) for _ in range(rng.randint(30, 60)))
+    rows = [(k, text("x"), "x") for k in range(200)] + [(1000 + k, text("y"), "y") for k in range(trusted + 40)]
+    rows += [(2000 + k, "".join(rng.choice("0#%&$@!uvw") for _ in range(200)), "y") for k in range(10)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in [*range(160), *range(1000, 1000 + trusted)]], "doc_id long, quality int, toxic int")
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).where("NOT quality.kept")
+    gone = {r["doc_id"] for r in got.collect()}
+    assert {2000 + k for k in range(10)} <= gone and len(gone) <= 12
+
+
+def test_cross_trained_models_are_those_of_the_other_folds(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcd  e") for _ in range(rng.randint(1, 60))) for _ in range(30)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    fold = {r["text"]: r["fold"] for r in docs.select("text", quality.fold_of("text", 3).alias("fold")).collect()}
+    whole, without = quality.cross_trained(docs, folds=3)
+    for r in quality.held_out_scores(docs, without).collect():
+        score = kneser_ney([t for t in texts if fold[t] != fold[r["text"]]])
+        assert r["lm"]["logp"] == pytest.approx(score(r["text"]), rel=1e-4, abs=1e-4)
+    score = kneser_ney(texts)
+    assert all(r["lm"]["logp"] == pytest.approx(score(r["text"]), rel=1e-4, abs=1e-4) for r in quality.scored(docs, whole).collect())
+    assert quality.held_out_scores(docs, without).count() == len(texts)
+
+
 def test_long_texts_are_scored_in_pieces(monkeypatch):
     texts = ["abc" * 50, None, "xy", "hello world " * 30]
     whole = sorted((int(d), int(c)) for code, own in quality.pieces(texts) for c, d in zip(code, own, strict=True))
