@@ -2,8 +2,8 @@
 
 A text is the set of its five-word shingles. Each tree of the forest sorts the texts by a string of min-hashes, kept in
 one long integer, most significant byte first, so that a trie node is a range of longs and a shorter prefix is a shift.
-Matching starts at the whole string and is shortened one min-hash at a time until the chance that two texts of the
-threshold similarity share a prefix in some tree reaches the target recall; texts that share one are candidates.
+One prefix length holds for all texts: the longest at which the chance that two texts of the threshold similarity share
+a prefix in some tree reaches the target recall (six of eight min-hashes at 0.8); texts that share one are candidates.
 Candidates are gathered into connected groups, large groups are cut into blocks, and every pair of a group is verified
 exactly in the task of its pair of blocks. Links are counted there and never listed.
 
