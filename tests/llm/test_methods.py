@@ -383,3 +383,15 @@ def test_licences():
     for text in licenses.EVERYDAY + ["She got a license to drive in the park.", "", None]:
         assert not any(x[3] for x in model.scan(text)), text
     assert model.scan("word " * 500 + "released under the MIT License and no other " + "word " * 500)
+
+
+def test_unknown_paragraphs_come_from_all_places(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(licenses, "fit", lambda unknown, apart=(): drawn.extend([*unknown, *apart]))
+    licenses.train(spark.createDataFrame([(k, "\n".join(f"line{i} of text" for i in range(12))) for k in range(9)], "doc_id long, text string"))
+    assert {p[0] for p in drawn} == {b"line%d" % i for i in range(12)}
+
+
+def test_notices_among_the_unknown_are_dropped():
+    model = licenses.fit([words_of(f"some text of the moon and the sea {k}") for k in range(60)] + [words_of("All rights reserved.")] * 60)
+    assert [f[0] for f in model.scan("All rights reserved.") if f[3]] == ["proprietary"]
