@@ -4,35 +4,54 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch holds at most, so that a batch of long texts fits a worker.
 BATCH_ROWS = 1024
 
+#: Word hashes that a worker remembers, and the longest word among them.
+REMEMBERED, LONG_WORD = 400_000, 100
+#: Rows of a key beyond which it is not dealt by hash, and how many such keys there are at most.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+#: Rows of a few numbers each, 32 MB or so, that are sent to every task at most.
+BROADCAST_ROWS = 500_000
+
 #: Words are runs of digits, a-z and everything beyond ASCII, after lower-casing A-Z.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. One of fewer files than there are cores is dealt out, as a file may be one task."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found if len(found.inputFiles()) >= cores else found.repartition(cores)
+
+
+def sliced(batches, rows: int = BATCH_ROWS):
+    """Arrow batches or arrays in parts of at most `rows` rows, so that memory follows the part and not the batch."""
+    for batch in batches:
+        for at in range(0, max(1, len(batch)), rows):
+            yield batch.slice(at, rows)
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's Arrow batch to `rows` rows, so that memory follows the batch and not the partition."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+_OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of the warehouse,
+    or, in local mode, where all is one machine, a temporary folder. No setting of the session is changed."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="lumengrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            local = spark.sparkContext.master.startswith("local")
+            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="lumengrid-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lumengrid-tables"
+        found = _OWN_DIRS[app]
     return found.rstrip("/")
 
 
@@ -67,8 +86,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []
 
 
-def texts_of(batch: pa.Array) -> list[str | None]:
-    return batch.to_pylist()
+def word_blocks(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about `size` bytes, in order."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE), 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end
+
+
+class WordHashes(dict):
+    """Word -> 64-bit hash, remembered up to a bound of words and of each one's length."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
+        return value
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def bucket(*cols: str | Column, buckets: int, salt: int = 0) -> Column:
@@ -107,3 +147,31 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for sending to every task where its rows, of fixed width, are counted to be at most `bound`."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows left joined with found, which has one row a key; its column `size` tells how many of rows have the key.
+
+    Keys that many rows have would put them in one task: those keys, at most HOT_KEYS, are sent to every task instead.
+    Rows with a null key find nothing and are not dealt by it.
+    """
+    total, most = found.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    known = F.lit(True)
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    others = [c for c in found.columns if c not in keys]
+    blank = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in others]
+    out = rows.where(~known).select(*rows.columns, *blank)
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= limit:
+        return rows.where(known).join(found, keys, "left").select(*rows.columns, *others).unionByName(out)
+    hot, mark = found.where(F.col(size) > limit), free_name(rows, "is_hot")
+    marked = rows.where(known).join(F.broadcast(hot.withColumn(mark, F.lit(True))), keys, "left")
+    out = out.unionByName(marked.where(F.col(mark)).select(*rows.columns, *others))
+    cold = marked.where(F.col(mark).isNull()).select(*rows.columns)
+    return out.unionByName(cold.join(found.where(F.col(size) <= limit), keys, "left").select(*rows.columns, *others))

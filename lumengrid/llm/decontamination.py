@@ -1,61 +1,72 @@
 """Benchmark decontamination with an FM-index for every shard of the training texts.
 
-A shard is a run of documents of one Arrow batch. Its words become symbols of the benchmark's vocabulary; every other
-word, and the gap between two documents, is a symbol of its own that no phrase holds, larger than the vocabulary and
-ordered by position. On that string stand the suffix order, the Burrows-Wheeler transform in a wavelet matrix, and
-sampled suffix positions (every eighth, and where the walk back would meet a foreign symbol). All test phrases go
-through one vectorised backward search; occurrences are located by walking to the next sample and merged into spans.
+A shard is a run of documents of one Arrow batch, or a stretch of a long one; stretches overlap by the words that a phrase
+may reach beyond its first. Its words become symbols of the benchmark's vocabulary; every other word, and the gap between
+two documents, is a symbol of its own that no phrase holds, larger than the vocabulary and ordered by position. On that
+string stand the suffix order, the Burrows-Wheeler transform in a wavelet matrix of packed bits, and sampled suffix
+positions (every eighth, and where the walk back would meet a foreign symbol). All test phrases go through one vectorised
+backward search; occurrences are located by walking to the next sample and merged into spans.
 
-A phrase is a window of 13 consecutive words of a benchmark item, or the whole item where it is shorter.
+A phrase is a window of 13 consecutive words of a benchmark item, or the whole item where it is shorter. The benchmark
+goes to the tasks as arrays of word numbers, in blocks of BLOCK_BYTES of text; a larger one goes in several passes, whose
+spans are merged.
 
 Defined results: null, empty and word-less texts have no words and no hits; items without words, and items whose id is
-null, give no phrase; repeated items count once by id; repeated documents each get their row. Texts are read whole; a
-text longer than a shard is a shard alone. Empty tables give an empty result, or no hits. Outputs come as one struct, so
-other columns keep their names.
+null, give no phrase; repeated items count once by id; repeated documents each get their row. Texts are read whole. Empty
+tables give an empty result, or no hits. Outputs come as one struct, so other columns keep their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bucket, struct_array, words_of
+from .common import WordHashes, bucket, sliced, struct_array, word_blocks
 
 WINDOW = 13
-#: Words of a shard, about.
-SHARD_WORDS = 1 << 19
+#: Words of a shard at most, about.
+SHARD_WORDS = 1 << 18
 SAMPLE = 8
-#: Bytes of benchmark text that go to the tasks at once; a larger benchmark goes in several passes.
-BLOCK_BYTES = 16 << 20
+#: Phrases that are searched for at once.
+PHRASES = 1 << 16
+#: Bytes of benchmark text that go to the tasks at once, as numbers of words.
+BLOCK_BYTES = 4 << 20
 OUTPUT = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:long,stop:long>>>"
 
 
 class WaveletMatrix:
-    """Ranks over symbols 0 to size - 1, many at a time."""
+    """Ranks over symbols 0 to size - 1, many at a time; a level is one bit a symbol and a count for each 64 of them."""
 
     def __init__(self, symbols: np.ndarray, size: int):
         self.levels = max(1, int(size - 1).bit_length())
-        self.ones: list[np.ndarray] = []
+        self.bits: list[np.ndarray] = []
+        self.before: list[np.ndarray] = []
         self.zeros: list[int] = []
         for k in range(self.levels - 1, -1, -1):
             bit = (symbols >> k & 1).astype(bool)
-            ones = np.zeros(len(symbols) + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.ones.append(ones)
-            self.zeros.append(len(symbols) - int(ones[-1]))
+            packed = np.packbits(np.append(bit, np.zeros(64 + -len(bit) % 64, bool)), bitorder="little").view(np.uint64)
+            self.bits.append(packed)
+            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)[:-1]]).astype(np.int32))
+            self.zeros.append(int(len(bit) - bit.sum()))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
 
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[level][word] + np.bitwise_count(self.bits[level][word] & below)
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
         low = np.zeros_like(at)
-        for level, (ones, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
+        for level, zeros in enumerate(self.zeros):
             right = (symbol >> (self.levels - 1 - level) & 1).astype(bool)
-            a, b = ones[low], ones[at]
+            a, b = self._ones(level, low), self._ones(level, at)
             low, at = np.where(right, zeros + a, low - a), np.where(right, zeros + b, at - b)
         return at - low
 
@@ -101,7 +112,7 @@ class FMIndex:
         places = suffix_order(symbols, foreign)
         previous = np.where(places > 0, symbols[places - 1], foreign)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(symbols[places], minlength=foreign))])
-        self.transform = previous
+        self.transform = previous.astype(np.int32)
         self.matrix = WaveletMatrix(previous, foreign + 1)
         sampled = (places % SAMPLE == 0) | (previous == foreign)
         self.sampled, self.sample_at = sampled, np.cumsum(sampled) - 1
@@ -127,7 +138,7 @@ class FMIndex:
         at, steps = rows.copy(), np.zeros(len(rows), np.int64)
         walking = np.flatnonzero(~self.sampled[at])
         while len(walking):
-            c = self.transform[at[walking]]
+            c = self.transform[at[walking]].astype(np.int64)
             at[walking] = self.starts[c] + self.matrix.rank(c, at[walking])
             steps[walking] += 1
             walking = walking[~self.sampled[at[walking]]]
@@ -136,81 +147,134 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """The distinct phrases of a block of the benchmark, by length, and the items that hold each."""
-
-    vocabulary: dict[bytes, int]
-    by_length: dict[int, tuple[np.ndarray, list[list[str]]]]
-
-
-def phrases(items: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
-    vocabulary: dict[bytes, int] = {}
-    found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+    """A block of the benchmark: hashes of its words, sorted; the items' words by their place among them, one item after
+    the other; and, by length, the items of that length of phrase with where each begins and how many phrases it has."""
+
+    vocabulary: np.ndarray
+    words: np.ndarray
+    items: list[str]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    def parts(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(phrases, item of each), some thousands at a time."""
+        item, begin, count = self.by_length[length]
+        last = np.cumsum(count)
+        for at in range(0, int(last[-1]), PHRASES):
+            k = np.arange(at, min(at + PHRASES, int(last[-1])))
+            of = np.searchsorted(last, k, side="right")
+            start = begin[of] + k - (last[of] - count[of])
+            yield self.words[start[:, None] + np.arange(length)], item[of]
+
+
+def phrases(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
+    hashes, names, texts, lengths = WordHashes(), [], [], []
     for item, text in items:
-        s = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-        m = min(window, len(s))
-        for i in range(len(s) - m + 1 if m else 0):
-            found.setdefault(m, {}).setdefault(tuple(s[i : i + m]), set()).add(item)
-    return Phrases(vocabulary, {m: (np.array(list(x), np.int64), [sorted(v) for v in x.values()]) for m, x in found.items()})
-
-
-def scan_shard(texts: list[list[bytes]], block: Phrases) -> list[tuple[int, list[str], list[tuple[int, int]]]]:
-    """For each document: words hit, items that occur, merged spans of words [start, stop)."""
-    get, foreign = block.vocabulary.get, len(block.vocabulary)
+        words = [hashes.array(block) for block in word_blocks(text)]
+        if words:
+            names.append(item)
+            texts.append(np.concatenate(words))
+            lengths.append(len(texts[-1]))
+    every = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    vocabulary, words = np.unique(every, return_inverse=True)
+    size = np.array(lengths, np.int64)
+    begin, m = np.cumsum(size) - size, np.minimum(size, window)
+    by_length = {int(n): (np.flatnonzero(m == n), begin[m == n], (size - m + 1)[m == n]) for n in np.unique(m[m > 0])}
+    return Phrases(vocabulary, words.astype(np.int32), names, by_length)
+
+
+def scan_shard(texts: list[np.ndarray], block: Phrases) -> list[tuple[set[str], list[tuple[int, int]]]]:
+    """For each document, given as word numbers: items that occur, merged spans of words [start, stop)."""
+    foreign = len(block.vocabulary)
     lengths = np.array([len(t) for t in texts])
     begins = np.cumsum(lengths + 1) - lengths - 1
-    flat: list[int] = []
-    for t in texts:
-        flat += [get(w, foreign) for w in t]
-        flat.append(foreign)
-    symbols = np.array(flat, np.int64)
-    none: list[tuple[int, list[str], list[tuple[int, int]]]] = [(0, [], []) for _ in texts]
+    gap = np.array([foreign])
+    symbols = np.concatenate([x for t in texts for x in (t, gap)])
+    out: list[tuple[set[str], list[tuple[int, int]]]] = [(set(), []) for _ in texts]
     if not foreign or not (symbols < foreign).any():
-        return none
+        return out
     index = FMIndex(symbols, foreign)
     edge = np.zeros(len(symbols) + 1, np.int64)
-    held: dict[int, set[str]] = {}
-    for m, (table, items) in block.by_length.items():
-        which, low, high = index.search(table)
-        if not len(which):
-            continue
-        count = high - low
-        rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        at, phrase = index.locate(rows), np.repeat(which, count)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + m, -1)
-        doc = np.searchsorted(begins, at, side="right") - 1
-        for pair in np.unique(doc * len(table) + phrase):
-            held.setdefault(int(pair) // len(table), set()).update(items[int(pair) % len(table)])
+    for m in block.by_length:
+        for table, items in block.parts(m):
+            which, low, high = index.search(table)
+            if not len(which):
+                continue
+            count = high - low
+            rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            at, item = index.locate(rows), items[np.repeat(which, count)]
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + m, -1)
+            doc = np.searchsorted(begins, at, side="right") - 1
+            for pair in np.unique(doc * len(block.items) + item):
+                out[int(pair) // len(block.items)][0].add(block.items[int(pair) % len(block.items)])
     hit = np.cumsum(edge) > 0
     turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     start, stop = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     owner = np.searchsorted(begins, start, side="right") - 1
-    for d, items in held.items():
-        mine = owner == d
-        spans = list(zip((start[mine] - begins[d]).tolist(), (stop[mine] - begins[d]).tolist(), strict=True))
-        none[d] = (sum(b - a for a, b in spans), sorted(items), spans)
-    return none
+    for d, a, b in zip(owner.tolist(), start.tolist(), stop.tolist(), strict=True):
+        out[d][1].append((a - int(begins[d]), b - int(begins[d])))
+    return out
 
 
-def scan(texts: list[str | None], block: Phrases) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
-    """(words, words hit, items, spans) of each text, shard by shard."""
-    out: list[tuple[int, int, list[str], list[tuple[int, int]]]] = []
-    shard: list[list[bytes]] = []
-    held = 0
+class Scanner:
+    """Scans texts for a block's phrases, shard by shard."""
+
+    def __init__(self, block: Phrases, shard_words: int = SHARD_WORDS):
+        self.block, self.shard_words, self.hashes = block, shard_words, WordHashes()
+        self.vocabulary = pa.array(block.vocabulary)
+        self.reach = max(block.by_length, default=1) - 1
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        found = pc.index_in(pa.array(self.hashes.array(words)), value_set=self.vocabulary)
+        return pc.fill_null(found, len(self.block.vocabulary)).to_numpy().astype(np.int64)
+
+    def _stretches(self, text: str | None) -> Iterator[tuple[int, np.ndarray]]:
+        """(first word, word numbers) of stretches of at most about a shard, overlapping by the reach of a phrase."""
+        held, at = np.zeros(0, np.int64), 0
+        for words in word_blocks(text):
+            held = np.concatenate([held, self._numbers(words)])
+            while len(held) > self.shard_words + self.reach:
+                yield at, held[: self.shard_words + self.reach]
+                held, at = held[self.shard_words :], at + self.shard_words
+        if len(held):
+            yield at, held
+
+    def scan(self, texts: Iterable[str | None]) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
+        """(words, words hit, items, spans) of each text."""
+        n_words: list[int] = []
+        found: list[list[tuple[set[str], list[tuple[int, int]]]]] = []
+        shard: list[tuple[int, int, np.ndarray]] = []
+        held = 0
+
+        def flush() -> None:
+            for (d, first, _), (items, spans) in zip(shard, scan_shard([s for *_, s in shard], self.block), strict=True):
+                if spans:
+                    found[d].append((items, [(a + first, b + first) for a, b in spans]))
+
+        for d, text in enumerate(texts):
+            n_words.append(0)
+            found.append([])
+            for first, numbers in self._stretches(text):
+                if shard and held + len(numbers) > self.shard_words:
+                    flush()
+                    shard, held = [], 0
+                shard.append((d, first, numbers))
+                held += len(numbers)
+                n_words[d] = first + len(numbers)
+        if shard:
+            flush()
+        return [(n, *united(parts)) for n, parts in zip(n_words, found, strict=True)]
 
-    def flush() -> None:
-        out.extend((len(w), *found) for w, found in zip(shard, scan_shard(shard, block), strict=True))
 
-    for text in texts:
-        words = words_of(text)
-        if shard and held + len(words) > SHARD_WORDS:
-            flush()
-            shard, held = [], 0
-        shard.append(words)
-        held += len(words)
-    if shard:
-        flush()
-    return out
+def united(parts: list[tuple[Iterable[str], list[tuple[int, int]]]]) -> tuple[int, list[str], list[tuple[int, int]]]:
+    """Words hit, items and merged spans of several finds in one text."""
+    spans: list[list[int]] = []
+    for a, b in sorted(s for _, each in parts for s in each):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    return sum(b - a for a, b in spans), sorted({i for items, _ in parts for i in items}), [(a, b) for a, b in spans]
 
 
 def _packed(found: list[tuple[int, int, list[str], list[tuple[int, int]]]]) -> pa.StructArray:
@@ -223,21 +287,11 @@ def _packed(found: list[tuple[int, int, list[str], list[tuple[int, int]]]]) -> p
     })
 
 
-def merged(parts: list[dict]) -> tuple[int, int, list[str], list[tuple[int, int]]]:
-    """One result from those of several blocks of the benchmark."""
-    spans: list[list[int]] = []
-    for a, b in sorted((s["start"], s["stop"]) for p in parts for s in p["spans"]):
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(b, spans[-1][1])
-        else:
-            spans.append([a, b])
-    return parts[0]["n_words"], sum(b - a for a, b in spans), sorted({i for p in parts for i in p["items"]}), [(a, b) for a, b in spans]
-
-
 def _merger():
     @F.arrow_udf(OUTPUT)
     def merge(*blocks: pa.Array) -> pa.Array:
-        return _packed([merged(list(parts)) for parts in zip(*(b.to_pylist() for b in blocks), strict=True)])
+        rows = zip(*(b.to_pylist() for b in blocks), strict=True)
+        return _packed([(parts[0]["n_words"], *united([(p["items"], [(s["start"], s["stop"]) for s in p["spans"]]) for p in parts])) for parts in rows])
 
     return merge
 
@@ -245,24 +299,23 @@ def _merger():
 def _finder(shared):
     @F.arrow_udf(OUTPUT)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield _packed(scan(batch.to_pylist(), shared.value))
+        scanner = Scanner(shared.value)
+        for batch in sliced(batches):
+            yield _packed(scanner.scan(t.as_py() for t in batch))
 
     return find
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", phrase_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Column:
     """A struct column of docs: n_words, n_hit, items (ids as sorted strings), spans (words, merged)."""
-    bound_batches(docs.sparkSession)
     tests = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(phrase_text).alias("t"))
     size = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = 1 + size // block_bytes
     columns = []
     for b in range(blocks):
-        mine = tests if blocks == 1 else tests.where(bucket("i", buckets=blocks) == b)
-        shared = docs.sparkSession.sparkContext.broadcast(phrases([(r["i"], r["t"]) for r in mine.collect()], window))
-
-        columns.append(_finder(shared)(docs[text]))
+        mine = tests if blocks == 1 else tests.where(bucket("i", "t", buckets=blocks) == b)
+        block = phrases(((r["i"], r["t"]) for r in mine.toLocalIterator()), window)
+        columns.append(_finder(docs.sparkSession.sparkContext.broadcast(block))(docs[text]))
     return columns[0] if blocks == 1 else _merger()(*columns)
 
 

@@ -3,15 +3,17 @@
 Vectors are scaled to length 1, on which cosine >= c is distance <= sqrt(2 - 2c). Equal scaled vectors of a label are one
 point with a count. A label's points are dealt to cells around pivots, and cells to blocks of bounded size; pairs of
 cells whose pivots are further apart than the sum of their radii and the threshold are pruned, and every other pair of
-blocks is one task, so no task holds a label and no row leaves the executors. A task builds a cover tree for each block
-(levels of halving radii, each node within the radius of its parent, nodes of a level further apart than the radius),
-descends both trees together, prunes node pairs by their covering radii, and compares the leaves' vectors that remain.
+blocks is one task, so no task holds a label; but for the pivots, a bounded number, no vector leaves the executors. A task
+builds a cover tree for each block (nested levels of halving radii: a node's points lie within its level's radius, and
+the children of one node are further apart than theirs), descends both trees together, prunes node pairs by their
+covering radii, and compares the leaves' vectors that remain.
 
 Links are counted, not listed: each point gets its number of linked vectors and a spanning set of edges.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label,
-link with nothing; so do vectors of different lengths. Repeated rows and equal vectors link with one another. Null ids
-form no component: such a row is its own and has a null component. An empty table gives an empty result.
+link with nothing; so do vectors of different lengths. Repeated rows and equal vectors link with one another, rows of one
+id included. Null ids link with nothing: such a row has a null component and is kept, as nothing it could repeat is
+known. Other columns are not touched. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, bucket, runs, stored
-from .components import components
+from .common import bucket, few, lookup, runs, sliced, stored
+from .components import components, spanning
 
 #: Points of a block at most, about; a task holds two blocks.
 BLOCK = 3000
@@ -191,20 +193,6 @@ def _spread(first_child: np.ndarray, parents: np.ndarray, others: np.ndarray) ->
     return np.repeat(first_child[parents] - np.cumsum(count) + count, count) + np.arange(count.sum()), np.repeat(others, count)
 
 
-def spanning(n: int, edges: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest index reachable by edges."""
-    label = np.arange(n)
-    while len(edges):
-        least = np.minimum(label[edges[:, 0]], label[edges[:, 1]])
-        before = label.copy()
-        np.minimum.at(label, edges[:, 0], least)
-        np.minimum.at(label, edges[:, 1], least)
-        label = np.minimum(label, label[label])
-        if (label == before).all():
-            break
-    return label
-
-
 def _unit(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     v = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
@@ -217,28 +205,33 @@ def _valid(vector: str) -> F.Column:
     return F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+#: Pivots in all, at most about.
+ALL_PIVOTS = 16_384
+
+
 def _cells(reps: DataFrame, t: float) -> tuple[DataFrame, DataFrame | None]:
     """reps with cell and sub, and, for labels of several blocks, (label, dim, cell, sub) with the tasks that need them."""
-    spark = reps.sparkSession
-    sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).collect()
-    if not sizes:
+    spark, group = reps.sparkSession, ["label", "dim"]
+    sizes = stored(reps.groupBy(*group).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "labels")
+    pivots_of = F.least(F.lit(MAX_PIVOTS), F.expr(f"m div {CELL}"))
+    total = sizes.agg(F.sum(pivots_of)).first()[0]
+    if total is None:
         return reps.withColumns({"cell": F.lit(0), "sub": F.lit(0)}), None
-    # Pivots: the points of least hash, a bounded number in all.
-    share = min(1.0, 16_384 / sum(min(MAX_PIVOTS, r["m"] // CELL) for r in sizes))
-    wanted = {(r["label"], r["dim"]): max(1, int(share * min(MAX_PIVOTS, r["m"] // CELL))) for r in sizes}
-    rates = spark.createDataFrame([(r["label"], r["dim"], 2.0 * wanted[r["label"], r["dim"]] / r["m"]) for r in sizes], f"label {dict(reps.dtypes)['label']}, dim int, rate double")
-    drawn = reps.join(F.broadcast(rates), ["label", "dim"]).where(bucket("rep", buckets=1 << 30) < F.col("rate") * (1 << 30)).select("label", "dim", "rep", "vector").orderBy("label", "dim", "rep").collect()
+    # Pivots: the points of least hash among twice as many drawn.
+    wanted = F.greatest(F.lit(1), F.floor(pivots_of * F.lit(min(1.0, ALL_PIVOTS / max(1, total))))).cast("int")
+    rates = sizes.select(*group, "m", wanted.alias("wanted")).withColumn("rate", 2.0 * F.col("wanted") / F.col("m"))
+    drawn = reps.join(few(rates.drop("m")), group).where(bucket("rep", buckets=1 << 30) < F.col("rate") * (1 << 30)).select(*group, "rep", "wanted", "vector").orderBy(*group, "rep").collect()
     pivots: dict[tuple, np.ndarray] = {}
     for r in drawn:
         have = pivots.setdefault((r["label"], r["dim"]), [])
-        if len(have) < wanted[r["label"], r["dim"]]:
+        if len(have) < r["wanted"]:
             have.append(np.array(r["vector"], np.float64) / np.linalg.norm(r["vector"]))
     pivots = {k: np.array(v) for k, v in pivots.items()}
     shared = spark.sparkContext.broadcast(pivots)
     schema = T.StructType([*reps.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
             cell, far = np.zeros(len(keys), np.int32), np.zeros(len(keys))
             for key in set(keys) & set(shared.value):
@@ -248,25 +241,29 @@ def _cells(reps: DataFrame, t: float) -> tuple[DataFrame, DataFrame | None]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
 
     placed = stored(reps.mapInArrow(nearest, schema), "cells")
-    big = F.broadcast(rates.select("label", "dim", F.lit(True).alias("big")))
-    found = placed.join(big, ["label", "dim"]).groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("far")).collect()
-    by_label: dict[tuple, list] = {}
-    for r in found:
-        by_label.setdefault((r["label"], r["dim"]), []).append((r["cell"], -(-r["m"] // BLOCK), r["far"]))
-    pairs = []  # of cells that the bounds leave; their blocks are paired on the executors
-    for (label, dim), cells in by_label.items():
-        p = pivots.get((label, dim))
-        for x, (c, subs, far) in enumerate(cells):
-            for d, other, far_d in cells[x:]:
-                if p is None or distances(p[[c]], p[[d]])[0, 0] <= far + far_d + t + SLACK:
-                    pairs.append((label, dim, c, subs, d, other))
-    kind = f"label {dict(reps.dtypes)['label']}, dim int, c int, cn int, d int, dn int"
-    pairs = spark.createDataFrame(pairs, kind).withColumn("cs", F.explode(F.sequence(F.lit(0), F.col("cn") - 1))).withColumn("ds", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
+    found = placed.join(few(sizes.select(*group)), group, "left_semi").groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("far"))
+    found = stored(found.select(*group, "cell", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("subs"), "far"), "cell-sizes")
+    other = found.select(*group, F.col("cell").alias("d"), F.col("subs").alias("dn"), F.col("far").alias("far_d"))
+    pairs = found.select(*group, F.col("cell").alias("c"), F.col("subs").alias("cn"), F.col("far").alias("far_c")).join(other, group).where("c <= d")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of cells that the bounds leave."""
+        for batch in batches:
+            keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
+            c, d, reach = batch.column("c").to_numpy(), batch.column("d").to_numpy(), batch.column("far_c").to_numpy() + batch.column("far_d").to_numpy()
+            keep = np.ones(len(keys), bool)
+            for key in set(keys) & set(shared.value):
+                rows, p = np.array([i for i, k in enumerate(keys) if k == key]), shared.value[key]
+                apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", p[c[rows]], p[d[rows]])))
+                keep[rows] = apart <= reach[rows] + t + SLACK
+            yield batch.filter(pa.array(keep))
+
+    pairs = stored(pairs.mapInArrow(near, pairs.schema), "cell-pairs")
+    pairs = pairs.withColumn("cs", F.explode(F.sequence(F.lit(0), F.col("cn") - 1))).withColumn("ds", F.explode(F.sequence(F.lit(0), F.col("dn") - 1)))
     pairs = pairs.where("c <> d OR cs <= ds").withColumn("task", F.concat_ws(",", "c", "cs", "d", "ds"))
-    left = pairs.select("label", "dim", F.col("c").alias("cell"), F.col("cs").alias("sub"), "task", F.lit(0).alias("side"))
-    right = pairs.where("c <> d OR cs <> ds").select("label", "dim", F.col("d").alias("cell"), F.col("ds").alias("sub"), "task", F.lit(1).alias("side"))
-    counts = spark.createDataFrame([(*k, c, n) for k, cells in by_label.items() for c, n, _ in cells], f"label {dict(reps.dtypes)['label']}, dim int, cell int, subs int")
-    placed = placed.join(F.broadcast(counts), ["label", "dim", "cell"], "left").withColumn("sub", F.when(F.col("subs") > 1, bucket("rep", buckets=1 << 20, salt=3) % F.col("subs")).otherwise(0).cast("int"))
+    left = pairs.select(*group, F.col("c").alias("cell"), F.col("cs").alias("sub"), "task", F.lit(0).alias("side"))
+    right = pairs.where("c <> d OR cs <> ds").select(*group, F.col("d").alias("cell"), F.col("ds").alias("sub"), "task", F.lit(1).alias("side"))
+    placed = placed.join(few(found.select(*group, "cell", "subs")), [*group, "cell"], "left").withColumn("sub", F.when(F.col("subs") > 1, bucket("rep", buckets=1 << 20, salt=3) % F.col("subs")).otherwise(0).cast("int"))
     return placed.drop("far", "subs"), left.unionAll(right)
 
 
@@ -274,7 +271,6 @@ def links(vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector:
     """One row for each vector: vec_id, n_links, component_id, kept."""
     if not 0.5 <= cosine < 1:
         raise ValueError("cosine must be from 0.5 to 1")
-    bound_batches(vectors.sparkSession, 4096)
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     valid = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _valid("vector"))
     reps = valid.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("vector"))
@@ -283,7 +279,7 @@ def links(vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector:
     if tasks is None:
         dealt = placed.withColumns({"task": F.lit("0,0,0,0"), "side": F.lit(0)})
     else:
-        dealt = placed.join(tasks, ["label", "dim", "cell", "sub"], "left").withColumns({"task": F.coalesce("task", F.lit("0,0,0,0")), "side": F.coalesce("side", F.lit(0))})
+        dealt = placed.join(few(tasks), ["label", "dim", "cell", "sub"], "left").withColumns({"task": F.coalesce("task", F.lit("0,0,0,0")), "side": F.coalesce("side", F.lit(0))})
     keys = ["label", "dim", "task"]
     dealt = dealt.select(*keys, "side", "rep", "n", "vector").repartition(*keys).sortWithinPartitions(*keys, "side", "rep")
 
@@ -302,8 +298,8 @@ def links(vectors: DataFrame, cosine: float = 0.93, key: str = "vec_id", vector:
     counted = stored(dealt.mapInArrow(join, "rep long, links long, root long").where("links > 0"), "links")
     degree = counted.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(counted, "rep", "root").withColumnRenamed("id", "rep")
-    known = reps.select("label", "vector", "rep", "n").join(degree, "rep", "left").join(parts, "rep", "left")
-    out = rows.join(known, ["label", "vector"], "left").withColumn("own", F.col("rep").isNotNull() & F.col("vec_id").isNotNull())
+    known = stored(reps.select("label", "vector", "rep", "n").join(degree, "rep", "left").join(parts, "rep", "left"), "known")
+    out = lookup(rows, known, ["label", "vector"], "n").withColumn("own", F.col("rep").isNotNull() & F.col("vec_id").isNotNull())
     component = F.when(F.col("own"), F.coalesce("component", "rep")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("own"), F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 

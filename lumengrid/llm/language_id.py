@@ -1,30 +1,36 @@
 """Language identification with a blended-spectrum presence kernel.
 
-A text is the set of its distinct letter n-grams (n = 1 to 3, over a reduced alphabet); the kernel of two texts is the
-size of the intersection of their sets over the geometric mean of the sets' sizes. A few training texts are landmarks
-(Nyström); one-versus-rest kernel ridge regression is fitted in the landmark space, and texts are scored in batches by
-two matrix products: presence matrix x landmark matrix, then kernel block x weights.
+A text is the set of its distinct letter n-grams (n = 1 to 3, over all letters, runs of anything else being one symbol);
+the kernel of two texts is the size of the intersection of their sets over the geometric mean of the sets' sizes. A few
+training texts are landmarks (Nyström); one-versus-rest kernel ridge regression is fitted in the landmark space, and texts
+are scored in batches by two matrix products: presence matrix x landmark matrix, then kernel block x weights.
 
 Defined results: null texts and texts without a letter give `und` and score 0; without any labelled row every text gives
-`und`. Null labels are not learned. Texts are read whole, in pieces if they are long; columns of the same name as an
-output are not touched, as outputs come as one struct. Repeated rows are scored alike; ties between languages go to the
-first in code-point order.
+`und`. Null labels are not learned, nor is a language whose labelled texts are all longer than the bound of Settings. Ids
+may be null or repeated; equal texts of a language are drawn once. Texts are read whole, in pieces if they are long;
+columns of the same name as an output are not touched, as outputs come as one struct. Repeated rows are scored alike;
+ties between languages go to the first in code-point order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, struct_array
+from .common import few, sliced, struct_array
 
 UND = "und"
 OUTPUT = "struct<lang_pred:string,score:double>"
+PIECE = 1 << 18
+#: Cells of a presence matrix at most, about.
+CELLS = 1 << 24
+_BITS = np.uint64(21)
 
 
 @dataclass(frozen=True)
@@ -36,7 +42,6 @@ class Settings:
     max_fit_chars: int = 40_000
     landmarks_per_language: int = 12
     max_landmarks: int = 192
-    max_letters: int = 96
     orders: tuple[int, ...] = (1, 2, 3)
     ridge: float = 1e-2
     seed: int = 11
@@ -44,87 +49,80 @@ class Settings:
 
 @dataclass
 class Model:
+    """codes: the sorted n-grams of the landmarks; floors: the least score to be believed, by length class."""
+
     languages: list[str]
-    letters: np.ndarray
     orders: tuple[int, ...]
-    codes: list[np.ndarray] = field(default_factory=list)
+    codes: np.ndarray | None = None
     landmarks: np.ndarray | None = None
     weights: np.ndarray | None = None
+    floors: tuple[float, ...] = (0.0, 0.0, 0.0)
 
 
-_IS_LETTER: list[np.ndarray] = []
-PIECE = 1 << 20
-
-
-def letter_flags() -> np.ndarray:
-    """Whether each code point is a letter, worked out once in a process."""
-    if not _IS_LETTER:
-        _IS_LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _IS_LETTER[0]
+_SYMBOLS: list[np.ndarray] = []
 
 
-def points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def symbol_table() -> np.ndarray:
+    """Code point -> symbol: 1 for what is no letter, else the code point and two; worked out once in a process."""
+    if not _SYMBOLS:
+        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        _SYMBOLS.append(np.where(letter, np.arange(2, 0x110002), 1).astype(np.uint64))
+    return _SYMBOLS[0]
 
 
 class Grams:
-    """Distinct n-grams of a text as codes of a reduced alphabet: 0 for any run of non-letters, 1 for rare letters."""
+    """Distinct n-grams of texts as 63-bit codes, 21 bits a symbol, so that all letters of all scripts are told apart."""
 
-    def __init__(self, letters: np.ndarray, orders: tuple[int, ...]):
-        self.size = len(letters) + 2
-        self.lut = np.where(letter_flags(), 1, 0).astype(np.int32)
-        self.lut[letters] = np.arange(2, self.size, dtype=np.int32)
+    def __init__(self, orders: tuple[int, ...]):
         self.orders = orders
-        self.stamps = [np.zeros(self.size**n, np.int32) for n in orders]
+        self.stamp = np.zeros(1 << 16, np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
-        found = self.lut[points(f" {text} ")]
+        found = symbol_table()[np.frombuffer(f" {text} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
         keep = np.ones(len(found), bool)
-        keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
+        keep[1:] = (found[1:] != 1) | (found[:-1] != 1)
         return found[keep]
 
-    def distinct(self, text: str) -> list[np.ndarray]:
-        """For each order the distinct codes, in no set order; none at all without a letter."""
+    def _unique(self, code: np.ndarray) -> np.ndarray:
+        """The distinct codes: of those of one slot the last one's equals are found at once, the rest by sorting."""
+        here = np.arange(len(code), dtype=np.int32)
+        slot = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+        self.stamp[slot] = here
+        last = self.stamp[slot]
+        rest = code[code[last] != code]
+        return np.concatenate([code[last == here], np.unique(rest)]) if len(rest) else code[last == here]
+
+    def distinct(self, text: str) -> np.ndarray:
+        """The distinct codes of all orders, in no set order; none at all without a letter."""
         s = self.symbols(text)
         if len(s) < 2:
-            return [np.zeros(0, np.int32) for _ in self.orders]
-        out = []
-        for n, stamp in zip(self.orders, self.stamps, strict=True):
-            parts = []
-            for at in range(0, max(1, len(s) - n + 1), PIECE):
-                piece = s[at : at + PIECE + n - 1]
-                if len(piece) < n:
-                    continue
-                code = piece[: len(piece) - n + 1].copy()
-                for i in range(1, n):
-                    code *= self.size
-                    code += piece[i : len(piece) - n + 1 + i]
-                here = np.arange(len(code), dtype=np.int32)
-                stamp[code] = here  # of equal codes the last write stays
-                parts.append(code[stamp[code] == here])
-            out.append(parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32))
-        return out
+            return np.zeros(0, np.uint64)
+        most, parts = max(self.orders), []
+        for at in range(0, len(s), PIECE):
+            code, piece = np.zeros(0, np.uint64), s[at : at + PIECE + most - 1]
+            for n in range(1, most + 1):
+                own = min(PIECE, len(piece) - n + 1)
+                if own <= 0:
+                    break
+                code = piece[:own].copy() if n == 1 else code[:own] << _BITS | piece[n - 1 : n - 1 + own]
+                if n in self.orders:
+                    parts.append(self._unique(code))
+        found = np.concatenate(parts)
+        return found if len(s) <= PIECE else np.unique(found)
 
 
 def fit(texts: list[str], languages: list[str], settings: Settings = Settings()) -> Model:
     """Landmarks and ridge weights from labelled texts; all of them are used, in the order given."""
     names = sorted(set(languages))
     if not names:
-        return Model([], np.zeros(0, np.int64), settings.orders)
-    counts = np.zeros(0x110000, np.int64)
-    for t in texts:
-        p = points(t)
-        np.add.at(counts, p[letter_flags()[p]], 1)
-    used = np.flatnonzero(counts)
-    letters = np.sort(used[np.argsort(-counts[used], kind="stable")][: settings.max_letters])
-    grams = Grams(letters, settings.orders)
+        return Model([], settings.orders)
+    grams = Grams(settings.orders)
     sets = [grams.distinct(t) for t in texts]
     each = max(1, min(settings.landmarks_per_language, settings.max_landmarks // len(names)))
-    chosen = [i for name in names for i in [j for j, x in enumerate(languages) if x == name and sum(map(len, sets[j]))][:each]]
+    chosen = [i for name in names for i in [j for j, x in enumerate(languages) if x == name and len(sets[j])][:each]]
     if not chosen:
-        return Model([], np.zeros(0, np.int64), settings.orders)
-    codes = [np.unique(np.concatenate([sets[i][k] for i in chosen])) for k in range(len(settings.orders))]
-    model = Model(names, letters, settings.orders, codes)
+        return Model([], settings.orders)
+    model = Model(names, settings.orders, np.unique(np.concatenate([sets[i] for i in chosen])))
     scorer = Scorer(model)
     marks, sizes = scorer.presence([sets[i] for i in chosen])
     model.landmarks = (marks / np.sqrt(np.maximum(sizes, 1))[:, None]).T.astype(np.float32)
@@ -132,7 +130,7 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
     values, vectors = np.linalg.eigh(kernel)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    rows = [i for i in range(len(texts)) if sum(map(len, sets[i]))]
+    rows = [i for i in range(len(texts)) if len(sets[i])]
     phi = np.concatenate([scorer.kernel([sets[i] for i in rows[at : at + 256]]) for at in range(0, len(rows), 256)]).astype(np.float64) @ root
     target = np.array([[float(languages[i] == name) for name in names] for i in rows])
     balance = np.sqrt(len(rows) / len(names) / np.maximum(target.sum(0), 1))[target.argmax(1)][:, None]
@@ -144,71 +142,92 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.grams = Grams(model.letters, model.orders)
-        self.index, at = [], 0
-        for n, codes in zip(model.orders, model.codes, strict=False):
-            lut = np.full(self.grams.size**n, -1, np.int32)
-            lut[codes] = np.arange(at, at + len(codes))
-            self.index.append(lut)
-            at += len(codes)
-        self.width = at
-
-    def presence(self, sets: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        self.grams = Grams(model.orders)
+        self.codes = pa.array(model.codes) if model.codes is not None else None
+        self.block = max(8, min(256, CELLS // max(1, len(model.codes) if model.codes is not None else 1)))
+
+    def presence(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """One row for each text over the landmarks' n-grams, and the size of each text's own set."""
-        matrix = np.zeros((len(sets), self.width), np.float32)
-        for row, s in zip(matrix, sets, strict=True):
-            for lut, codes in zip(self.index, s, strict=True):
-                f = lut[codes]
-                row[f[f >= 0]] = 1
-        return matrix, np.array([sum(map(len, s)) for s in sets], np.float32)
-
-    def kernel(self, sets: list[list[np.ndarray]]) -> np.ndarray:
+        matrix, sizes = np.zeros((len(sets), len(self.codes)), np.float32), np.array([len(s) for s in sets])
+        found = pc.fill_null(pc.index_in(pa.array(np.concatenate(sets)), value_set=self.codes), -1).to_numpy()
+        row = np.repeat(np.arange(len(sets)), sizes)
+        matrix[row[found >= 0], found[found >= 0]] = 1
+        return matrix, sizes.astype(np.float32)
+
+    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
         matrix, sizes = self.presence(sets)
         return (matrix @ self.model.landmarks) / np.sqrt(np.maximum(sizes, 1))[:, None]
 
-    def predict(self, texts: list[str | None], block: int = 256) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names: list[str] = []
         scores = np.zeros(len(texts))
-        for at in range(0, len(texts), block):
+        for at in range(0, len(texts), self.block):
             if self.model.weights is None:
-                names += [UND] * len(texts[at : at + block])
+                names += [UND] * len(texts[at : at + self.block])
                 continue
-            sets = [self.grams.distinct(t or "") for t in texts[at : at + block]]
+            sets = [self.grams.distinct(t or "") for t in texts[at : at + self.block]]
             margin = self.kernel(sets) @ self.model.weights
             best = margin.argmax(1)
-            known = np.array([bool(sum(map(len, s))) for s in sets])
+            known = np.array([len(s) > 0 for s in sets])
             names += [self.model.languages[b] if k else UND for b, k in zip(best, known, strict=True)]
-            scores[at : at + block] = np.where(known, np.clip(margin[np.arange(len(best)), best], 0, 1), 0)
+            scores[at : at + self.block] = np.where(known, np.clip(margin[np.arange(len(best)), best], 0, 1), 0)
         return names, scores
 
 
-def sample(labelled: DataFrame, text: str, lang: str, key: str, settings: Settings) -> list[tuple[str, str]]:
-    """A bounded labelled sample: by the hash of key, about as many rows of each language, whole texts."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= settings.max_fit_chars)).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()
+def sample(labelled: DataFrame, text: str, lang: str, settings: Settings) -> list[tuple[str, str]]:
+    """A bounded labelled sample: by the hash of the text, about as many distinct texts of each language, whole."""
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= settings.max_fit_chars))
+    counts = rows.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n")).collect()
     if not counts:
         return []
     each = min(settings.rows_per_language, max(4, settings.rows // len(counts)))
-    shares = rows.sparkSession.createDataFrame([(r["l"], min(1.0, each / r["n"])) for r in counts], "l string, share double")
-    draw = F.pmod(F.xxhash64("k", F.lit(settings.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    got = rows.join(F.broadcast(shares), "l").where(draw < F.col("share")).collect()  # one row a language is sent
-    return [(r["t"], r["l"]) for r in sorted(got, key=lambda r: (r["k"] or "", r["t"]))]
+    shares = rows.sparkSession.createDataFrame([(r["l"], min(1.0, each / max(1, r["n"]))) for r in counts], "l string, share double")
+    draw = F.pmod(F.xxhash64("t", F.lit(settings.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    got = rows.join(few(shares), "l").where(draw < F.col("share")).select("t", "l", F.xxhash64("t", F.lit(settings.seed)).alias("h")).distinct().collect()
+    return [(r["t"], r["l"]) for r in sorted(got, key=lambda r: (r["h"], r["t"], r["l"]))]
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", settings: Settings = Settings()) -> Model:
-    rows = sample(labelled, text, lang, key, settings)
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model:
+    rows = sample(labelled, text, lang, settings)
     return fit([t for t, _ in rows], [x for _, x in rows], settings)
 
 
+#: Ends of the length classes, in characters, and the held-out texts that a class needs for a floor of its own.
+CLASSES, LEAST_HELD = (100, 1000), 20
+#: A text is believed to be of a known language at this part of the least score of held-out texts.
+OF_LEAST = 0.8
+
+
+def train_with_floors(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model:
+    """A model of four fifths of the sample, with the floors that the others' scores set, by length class."""
+    rows = sample(labelled, text, lang, settings)
+    held = [r for i, r in enumerate(rows) if i % 5 == 4]
+    rows = [r for i, r in enumerate(rows) if i % 5 != 4]
+    model = fit([t for t, _ in rows], [x for _, x in rows], settings)
+    names, scores = Scorer(model).predict([t for t, _ in held])
+    right = np.array([n == x for n, (_, x) in zip(names, held, strict=True)], bool)
+    of = np.searchsorted(CLASSES, [len(t) for t, _ in held], side="right")
+    every = OF_LEAST * scores[right].min() if right.any() else 0.0
+    model.floors = tuple(float(OF_LEAST * scores[right & (of == c)].min()) if (right & (of == c)).sum() >= LEAST_HELD else float(every) for c in range(len(CLASSES) + 1))
+    return model
+
+
+def believed(found: Column, text: Column, model: Model) -> Column:
+    """Whether a prediction, the struct of predict(), reaches the model's floor for the text's length."""
+    n = F.length(text)
+    floor = F.when(n < CLASSES[0], model.floors[0]).when(n < CLASSES[1], model.floors[1]).otherwise(model.floors[2])
+    return F.coalesce((found["lang_pred"] != UND) & (found["score"] >= floor), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A struct column lang_pred, score for each row of docs; the model has a few MB at most, by its settings."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(OUTPUT)
     def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = scorer.predict(batch.to_pylist())
             yield struct_array({"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 

@@ -6,25 +6,31 @@ spans of characters that training counts: the texts and end marks of assistant t
 
 Defined results: a pair without turns on one side gives no row; equal conversations give two empty completions; a null
 role is `unknown`, a null text is empty, turns with a null number come first, ties are in the order of role and text,
-and repeated turns stay. Marks inside texts are defused. The unit is the conversation: its turns meet in one row, as the
-result has them in one row.
+and repeated turns stay. Marks inside roles and texts are defused. Rows whose pair or side is null are left out. Other
+columns are not touched. An empty table gives an empty result. The unit is the conversation: its turns meet in one row,
+as the result has them in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, SHUT, END = "<|", "|>", "<|end|>"
 ASSISTANT = "assistant"
 
 
-def _header(turn: Column) -> Column:
-    return F.concat(F.lit(OPEN), F.coalesce(turn["role"], F.lit("unknown")), F.lit(SHUT + "\n"))
+def _defused(text: Column) -> Column:
+    return F.replace(text, F.lit(OPEN), F.lit("< |"))
 
 
-def _body(turn: Column) -> Column:
-    return F.concat(F.replace(F.coalesce(turn["text"], F.lit("")), F.lit(OPEN), F.lit("< |")), F.lit(END))
+def _header(turn) -> Column:
+    role = F.replace(_defused(F.coalesce(turn["role"], F.lit("unknown"))), F.lit(SHUT), F.lit("| >"))
+    return F.concat(F.lit(OPEN), role, F.lit(SHUT + "\n"))
+
+
+def _body(turn) -> Column:
+    return F.concat(_defused(F.coalesce(turn["text"], F.lit(""))), F.lit(END))
 
 
 def rendered(turns: Column) -> Column:
@@ -32,16 +38,10 @@ def rendered(turns: Column) -> Column:
 
 
 def mask(turns: Column) -> Column:
-    """The spans [start, stop) of assistant texts and their end marks in rendered(turns)."""
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-
-    def step(acc: Column, turn: Column) -> Column:
-        start = acc["at"] + F.length(_header(turn))
-        stop = start + F.length(_body(turn))
-        own = F.array(F.struct(start.alias("start"), stop.alias("stop")))
-        return F.struct((stop + 1).alias("at"), F.when(turn["role"] == ASSISTANT, F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    """The spans [start, stop) of assistant texts and their end marks in rendered(turns); turns carry where they begin."""
+    begin = F.get(turns, 0)["at"]
+    own = F.filter(turns, lambda t: F.coalesce(t["role"] == ASSISTANT, F.lit(False)))
+    return F.transform(own, lambda t: F.struct((t["at"] - begin + t["head"]).cast("int").alias("start"), (t["at"] - begin + t["size"] - 1).cast("int").alias("stop")))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -53,8 +53,13 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def pairs(turns: DataFrame, pair: Column, rejected: Column, turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each pair with both sides: pair_id, n_prompt (turns), prompt, chosen, rejected, chosen_mask, rejected_mask."""
-    entry = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    rows = turns.select(pair.alias("pair_id"), rejected.alias("side"), entry.alias("entry")).where("pair_id IS NOT NULL AND side IS NOT NULL")
+    rows = turns.select(pair.alias("pair_id"), rejected.alias("side"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).where("pair_id IS NOT NULL AND side IS NOT NULL")
+    here = {"role": F.col("role"), "text": F.col("text")}
+    rows = rows.repartition("pair_id").withColumn("head", F.length(_header(here))).withColumn("size", F.col("head") + F.length(_body(here)) + 1)
+    # Where each turn begins in its whole conversation: one running sum, dealt as the pairs are.
+    before = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    rows = rows.select("pair_id", "side", F.struct("turn", "role", "text", "at", "head", "size").alias("entry"))
     sides = rows.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.when(~F.col("side"), F.col("entry")))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("side"), F.col("entry")))).alias("b"))
     sides = sides.where("size(a) > 0 AND size(b) > 0").withColumn("n", common_prefix(F.col("a"), F.col("b")))
     rest = lambda side: F.slice(side, F.col("n") + 1, F.greatest(F.size(side) - F.col("n"), F.lit(0)))
@@ -69,7 +74,7 @@ s AS (SELECT pair_id, count(*) FILTER (NOT side) AS na, count(*) FILTER (side) A
 d AS (SELECT a.pair_id, min(a.k) AS k FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.k = b.k AND NOT a.side AND b.side
       WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY a.pair_id),
 n AS (SELECT s.pair_id, coalesce(d.k - 1, least(na, nb)) AS n FROM s LEFT JOIN d USING (pair_id) WHERE na > 0 AND nb > 0),
-r AS (SELECT pair_id, side, k, n, role, k <= n AS shared, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head,
+r AS (SELECT pair_id, side, k, n, role, k <= n AS shared, '<|' || replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') || '|>' || chr(10) AS head,
         replace(coalesce(text, ''), '<|', '< |') || '<|end|>' AS body FROM t JOIN n USING (pair_id)),
 o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY pair_id, side, shared ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r)
 SELECT pair_id, any_value(n)::INT AS n_prompt,

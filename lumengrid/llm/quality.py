@@ -1,25 +1,28 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, of order five. Trusted texts are counted batch by batch into distinct five-grams, which
-are summed in Spark; continuation counts of the lower orders, context totals, the three discounts of each order and the
-interpolated probabilities follow by grouping and joins on n-grams and their contexts, from the lowest order up. The
-finished table maps n-grams to log probabilities and contexts to log back-off weights.
-
-Documents are not turned into rows of n-grams. The table is cut into shards of bounded size by the last two characters
-of the context, on which all orders that a position can need agree (orders one and two, small, are in every shard); a
-shard is sent to the tasks, which add up the log probabilities of the positions that are its own, and the shards' sums
-are added by document. One shard is one pass over the texts; a larger corpus makes more shards, not larger ones.
-
-A document is judged by its mean negative log probability a character, drawn to its language's median as if it had
-SHORT_CHARS more characters, against the language's threshold: the median of trusted documents plus REACH times the
-distance from the median to their 0.9 quantile. For these quantiles a trusted document is scored by a model that did not
-count it: texts are dealt to FOLDS parts by their hash, and each part is scored by the model of the others. Languages
-with few trusted documents keep their own median and have at least the spread and the threshold of all; those with none
-use the quantiles of all.
+The model is over characters, of order five; all code points are told apart, but that digits count as one character and
+blanks as another. An n-gram is a pair of longs, 21 bits a character, so that its suffix and its context are masks and
+shifts. Trusted texts are counted piece by piece into distinct five-grams, which are summed in Spark; continuation counts
+of the lower orders, context totals, the three discounts of each order and the interpolated probabilities follow by
+grouping and joins on n-grams and their contexts, from the lowest order up. The finished model is a table from n-grams to
+log probability (as n-gram) and log back-off weight (as context), which never leaves the executors.
+
+Documents are scored by joins with that table, dealt by n-gram. Texts are packed into compressed pieces and dealt to
+batches of some tens of MB; a batch asks once for each distinct n-gram and context of its texts, the answers come back to
+the batch by the join, and meet its pieces there. So rows grow with the distinct n-grams of batches, far fewer than the
+positions, and neither the model nor the counts are ever in one place.
+
+A part of the trusted texts, by digest, is not counted: their scores set the thresholds, so these come from texts that
+are as new to the model as those to be judged. A document is judged by its mean negative log probability a character,
+drawn to its language's median as if it had SHORT_CHARS more characters, against the language's threshold: the median of
+held-out trusted documents plus REACH times the distance from the median to their 0.9 quantile. Languages with few have
+their own median and at least the spread and the threshold of all.
 
 Defined results: null and empty texts have perplexity null and are kept (language identification rejects them); null
-languages are a language of their own; without trusted text, or with one only, nothing is rejected; repeated rows are judged alike. Texts
-are read whole, in pieces.
+languages are a language of their own; documents of a language without a held-out trusted document can't be judged and
+are kept, as are all without trusted text; equal texts of one language are judged alike; ids may be null or repeated, as
+documents are told by their text. Texts are read whole, in pieces. Other columns of any name are not touched. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,297 +35,282 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bucket, free_name, stored, struct_array
+from .common import few, lookup, sliced, stored
 
-ORDER, BITS = 5, 12
-#: Entries of a shard; 12 bytes each, and twice the room in the hash table.
-SHARD_ENTRIES = 1_500_000
-#: Trusted ids that are sent to every task; more are joined by key.
-BROADCAST_IDS = 2_000_000
-PIECE = 400_000
+ORDER, BITS = 5, 21
+#: Characters of a piece, and bytes of text that a batch has about, or at least where there are fewer batches than cores.
+PIECE = 1_000_000
+BATCH_BYTES, LEAST_BATCH_BYTES = 64 << 20, 4 << 20
 BIN = 0.005
 SHORT_CHARS = 100
 REACH = 3.0
 LEAST_TRUSTED = 30
-#: Parts of the trusted texts, each scored for the thresholds by a model of the others.
-FOLDS, FOLD_SALT = 5, 23
+#: One trusted text in so many, by digest, is kept out of the counts for the thresholds.
+HELD_OUT = 5
 BOS = "\x00"
-OUTPUT = "struct<logp:double,chars:long>"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def _symbols() -> np.ndarray:
-    """Code point -> symbol of 12 bits: 0 begins a text, digits and blanks are one each, rare scripts are folded."""
-    point = np.arange(0x110000)
-    lut = np.where(point < 0x800, point, 0x800 + point % 0x6FF).astype(np.uint16)
-    lut[48:58], lut[[9, 10, 13]] = 48, 32
-    return lut
-
-
-_LUT: list[np.ndarray] = []
-
-
-def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(five-gram codes, text number) of every character of every text, some hundred thousand at a time."""
-    if not _LUT:
-        _LUT.append(_symbols())
-    held: list[str] = []
-    owner: list[tuple[int, int]] = []
-    size = 0
-
-    def coded() -> tuple[np.ndarray, np.ndarray]:
-        s = _LUT[0][np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
-        code = s[ORDER - 1 :].copy()
-        for back in range(1, ORDER):
-            code |= s[ORDER - 1 - back : len(s) - back] << np.uint64(BITS * back)
-        lengths = np.array([n for _, n in owner])
-        own = np.repeat([d for d, _ in owner], lengths)
-        begin = np.cumsum(lengths + ORDER - 1) - lengths - ORDER + 1
-        at = np.arange(len(own)) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
-        return code[at], own
-
-    for d, text in enumerate(texts):
+_ONE = np.uint64((1 << BITS) - 1)
+_B = np.uint64(BITS)
+
+
+def symbols(text: str) -> np.ndarray:
+    """Code points plus one as 64-bit numbers (0 is no character), digits and blanks one each."""
+    s = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    s[(s >= 48) & (s < 58)] = 48
+    s[(s == 9) | (s == 10) | (s == 13)] = 32
+    return s + np.uint64(1)
+
+
+def pieces(texts: Iterator[str | None], size: int) -> Iterator[tuple[str, list[int], list[int], list[int]]]:
+    """Strings of about `size` characters with, for each text in one, its number, its characters there and whether it
+    begins there. Before each stand the ORDER - 1 characters that come first: marks of a beginning, or those of the piece before."""
+    held, which, lengths, begins, total = [], [], [], [], 0
+    for number, text in enumerate(texts):
         if not text:
             continue
         text = text.replace(BOS, "\x01")
-        for at in range(0, len(text), PIECE):
-            piece = text[at : at + PIECE]
-            held.append((text[at - ORDER + 1 : at] if at else BOS * (ORDER - 1)) + piece)
-            owner.append((d, len(piece)))
-            size += len(piece)
-            if size >= PIECE:
-                yield coded()
-                held, owner, size = [], [], 0
+        for at in range(0, len(text), size):
+            part = text[at : at + size]
+            held.append((text[max(0, at - ORDER + 1) : at].rjust(ORDER - 1, BOS) if at else BOS * (ORDER - 1)) + part)
+            which.append(number)
+            lengths.append(len(part))
+            begins.append(int(at == 0))
+            total += len(part)
+            if total >= size:
+                yield "".join(held), which, lengths, begins
+                held, which, lengths, begins, total = [], [], [], [], 0
     if held:
-        yield coded()
+        yield "".join(held), which, lengths, begins
 
 
-@dataclass
-class Model:
-    """entries: (key, value, shard), shard null for what every shard needs; unknown: log probability of a new symbol."""
+class Grams:
+    """The distinct five-grams of a piece, as pairs (high, low), and for each position the number of its own."""
 
-    entries: DataFrame
-    shards: int
-    unknown: float
+    def __init__(self, text: str, lengths: list[int]):
+        s = symbols(text)
+        n = np.array(lengths, np.int64)
+        begin = np.cumsum(n + ORDER - 1) - n
+        self.starts = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(begin - self.starts, n)
+        at -= ORDER - 1
+        w = [s[i : len(s) - ORDER + 1 + i] for i in range(ORDER)]
+        high = w[0] << _B | w[1]
+        low = w[2] << np.uint64(2 * BITS) | w[3] << _B | w[4]
+        high, low = high[at], low[at]
+        code = pa.array(mixed(high, low)).dictionary_encode()
+        self.index = code.indices.to_numpy()
+        first = np.empty(len(code.dictionary), np.int64)
+        first[self.index[::-1]] = np.arange(len(at) - 1, -1, -1)
+        self.high, self.low = high[first], low[first]
 
 
-def _discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
-    """The three discounts of each model."""
-    found = {}
-    for row in counts.groupBy("model").agg(*[F.count_if(F.col("c") == i).alias(f"t{i}") for i in (1, 2, 3, 4)]).collect():
-        model, *t = row
-        y = t[0] / (t[0] + 2 * t[1]) if all(t) else 0.0
-        found[model] = tuple(min(float(i), max(0.05, i - (i + 1) * y * t[i] / t[i - 1])) for i in (1, 2, 3)) if all(t) else (0.5, 0.5, 0.5)
-    return found
+def mixed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One 64-bit number for a pair, to tell the n-grams of a batch apart."""
+    x = (high * np.uint64(0x9E3779B97F4A7C15)) ^ low
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32)) ^ high
 
 
-def _of_model(values: dict[int, float], models: int) -> Column:
-    """The value of the row's model."""
-    return F.array(*[F.lit(values.get(m)).cast("double") for m in range(models)])[F.col("model")]
+def shortened(high: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last k characters of n-grams."""
+    mask = lambda n: np.uint64((1 << BITS * n) - 1)
+    return high & mask(max(0, k - 3)), low & mask(min(k, 3))
 
 
-def train(trusted: DataFrame, text: str = "text") -> Model:
-    """The model of all texts of trusted."""
-    return _trained(trusted, text, 0)[0]
+def context(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams without their last character."""
+    return high >> _B, low >> _B | (high & _ONE) << np.uint64(2 * BITS)
 
 
-def fold_of(text: str, folds: int) -> Column:
-    """The fold of a text: equal texts are in one, so that no text is scored by a model that counted its copy."""
-    return bucket(text, buckets=folds, salt=FOLD_SALT).cast("int")
+def _shortened(k: int) -> list[Column]:
+    """As shortened(), of the columns high and low."""
+    mask = lambda c, n: F.col(c).bitwiseAND(F.lit((1 << BITS * n) - 1).cast("long"))
+    return [mask("high", max(0, k - 3)), mask("low", min(k, 3))]
+
+
+def _context() -> list[Column]:
+    return [F.shiftright("high", BITS), F.shiftright("low", BITS).bitwiseOR(F.shiftleft(F.col("high").bitwiseAND(F.lit((1 << BITS) - 1).cast("long")), 2 * BITS))]
+
+
+@dataclass
+class Model:
+    """entries: (high, low, logp, weight), either null where the n-gram isn't one, or no context; unknown: log
+    probability of a new character."""
+
+    entries: DataFrame
+    unknown: float
 
 
-def cross_trained(trusted: DataFrame, text: str = "text", folds: int = FOLDS) -> tuple[Model, list[Model | None]]:
-    """The model of all texts, and for each fold that of the texts outside it, None where there is none outside."""
-    whole, *without = _trained(trusted, text, folds)
-    return whole, [m if m.shards else None for m in without]
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _trained(trusted: DataFrame, text: str, folds: int) -> list[Model]:
-    """The model of all texts, then those of the texts outside each fold; texts are counted once and for all of them."""
-    bound_batches(trusted.sparkSession)
-    models = 1 + folds
+def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+    t = list(counts.agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first())
+    if not all(t):
+        return 0.5, 0.5, 0.5
+    y = t[0] / (t[0] + 2 * t[1])
+    return tuple(min(float(i), max(0.05, i - (i + 1) * y * t[i] / t[i - 1])) for i in (1, 2, 3))
+
+
+def train(trusted: DataFrame, text: str = "text") -> Model:
+    """The model of all texts of trusted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fold = batch.column(1).to_numpy()
-            for code, own in pieces(batch.column(0).to_pylist()):
-                for f in np.unique(fold[own]):
-                    gram, n = np.unique(code[fold[own] == f], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), f, np.int32)), pa.array(n)], names=["gram", "fold", "c"])
-
-    fold = fold_of(text, folds) if folds else F.lit(0)
-    parts = trusted.select(text, fold.alias("fold")).mapInArrow(count, "gram long, fold int, c long")
-    total = F.sum("c")
-    each = [total, *[total - F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("c"))), F.lit(0)) for f in range(folds)]]
-    grams = parts.groupBy("gram").agg(F.array(*each).alias("cs")).select("gram", F.posexplode("cs").alias("model", "c")).where("c > 0")
-    tables = {ORDER: stored(grams, "grams5")}
+        for batch in sliced(batches):
+            for piece, _, lengths, _ in pieces(batch.column(0).to_pylist(), PIECE):
+                grams = Grams(piece, lengths)
+                yield pa.RecordBatch.from_arrays([_long(grams.high), _long(grams.low), pa.array(np.bincount(grams.index, minlength=len(grams.high)))], names=["high", "low", "c"])
+
+    counted = trusted.select(text).mapInArrow(count, "high long, low long, c long").groupBy("high", "low").agg(F.sum("c").alias("c"))
+    tables = {ORDER: stored(counted, "grams5")}
     for k in range(ORDER - 1, 0, -1):
-        mask = (1 << BITS * k) - 1
-        tables[k] = stored(tables[k + 1].groupBy("model", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
-    rows, lower, unknown = [], None, {}
+        high, low = _shortened(k)
+        tables[k] = stored(tables[k + 1].groupBy(high.alias("high"), low.alias("low")).agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
+    rows, lower, unknown = [], None, 0.0
     for k in range(1, ORDER + 1):
-        discounts = _discounts(tables[k])
-        d1, d2, d3 = (_of_model({m: d[i] for m, d in discounts.items()}, models) for i in range(3))
-        t = tables[k].withColumn("ctx", F.shiftright("gram", BITS))
+        d1, d2, d3 = _discounts(tables[k])
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        contexts = t.groupBy("model", "ctx").agg(F.sum("c").alias("total"), F.sum(cut).alias("left")).withColumn("gamma", F.col("left") / F.col("total"))
-        if k == 1:
-            symbols = {r["model"]: r["count"] + 1 for r in tables[1].groupBy("model").count().collect()}
-            unknown = {r["model"]: r["gamma"] / symbols[r["model"]] for r in contexts.select("model", "gamma").collect()}
-            p = t.join(F.broadcast(contexts), ["model", "ctx"]).select("model", "gram", ((F.col("c") - cut) / F.col("total") + _of_model(unknown, models)).alias("p"))
+        t = tables[k].withColumns(dict(zip(("ctx_high", "ctx_low"), _context(), strict=True)))
+        contexts = t.groupBy("ctx_high", "ctx_low").agg(F.sum("c").alias("total"), F.sum(cut).alias("left")).withColumn("gamma", F.col("left") / F.col("total"))
+        if k == 1:  # one context, the empty one
+            row, n = contexts.first(), tables[1].count()
+            unknown = row["gamma"] / (n + 1) if row else 1.0
+            p = t.select("high", "low", ((F.col("c") - cut) / (row["total"] if row else 1) + unknown).alias("p"))
         else:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
-            p = t.join(contexts, ["model", "ctx"]).withColumn("suffix", suffix).join(lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["model", "suffix"])
-            p = p.select("model", "gram", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
-            rows.append(contexts.select("model", F.col("ctx").bitwiseOR(F.lit(_tag(8 + k - 1))).alias("key"), F.log("gamma").cast("float").alias("value"), _pair(F.col("ctx"), k - 1).alias("pair")))
+            high, low = _shortened(k - 1)
+            p = t.join(contexts, ["ctx_high", "ctx_low"]).withColumns({"s_high": high, "s_low": low})
+            p = p.join(lower.select(F.col("high").alias("s_high"), F.col("low").alias("s_low"), F.col("p").alias("q")), ["s_high", "s_low"])
+            p = p.select("high", "low", ((F.col("c") - cut) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
+            rows.append(contexts.select(F.col("ctx_high").alias("high"), F.col("ctx_low").alias("low"), F.lit(None).cast("double").alias("logp"), F.log("gamma").alias("weight")))
         lower = stored(p, f"probability{k}")
-        rows.append(lower.select("model", F.col("gram").bitwiseOR(F.lit(_tag(k))).alias("key"), F.log("p").cast("float").alias("value"), _pair(F.shiftright("gram", BITS), k - 1).alias("pair")))
+        rows.append(lower.select("high", "low", F.log("p").alias("logp"), F.lit(None).cast("double").alias("weight")))
     entries = rows[0]
     for r in rows[1:]:
         entries = entries.unionAll(r)
-    entries = stored(entries, "model")
-    sizes = {r["model"]: r["n"] for r in entries.groupBy("model").agg(F.count("pair").alias("n")).collect()}
-    out = []
-    for m in range(models):
-        # A model of no text has one shard if it is the whole one, and none if it is a fold's, which nothing is scored by.
-        shards = max(1, -(-sizes[m] // SHARD_ENTRIES)) if m in sizes else int(m == 0)
-        mine = entries.where(F.col("model") == m).select("key", "value", _shard(F.col("pair"), max(1, shards)).alias("shard"))
-        out.append(Model(mine, shards, float(np.log(unknown.get(m, 1.0)))))
-    return out
-
-
-def _tag(kind: int) -> int:
-    """What tells orders of n-grams (1 to 5) and lengths of contexts (8 + length) apart, in the highest four bits."""
-    return (kind << 60) - (1 << 64 if kind >= 8 else 0)
-
-
-def _pair(ctx: Column, length: int) -> Column:
-    """The last two symbols of a context, where it has two."""
-    return ctx.bitwiseAND(F.lit((1 << 2 * BITS) - 1)) if length >= 2 else F.lit(None).cast("long")
-
-
-def _shard(pair: Column, shards: int) -> Column:
-    return F.pmod(pair * F.lit(40503) + F.floor(pair / F.lit(64)), F.lit(shards))
-
-
-def _shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
-    return (pair * np.uint64(40503) + (pair >> np.uint64(6))) % np.uint64(shards)
-
-
-class Table:
-    """64-bit keys to floats by open addressing, many lookups at a time."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, _EMPTY), np.zeros(1 << self.bits, np.float32)
-        slot, rest = self._slot(keys), np.arange(len(keys))
-        while len(rest):
-            free = self.keys[slot[rest]] == _EMPTY
-            self.keys[slot[rest[free]]] = keys[rest[free]]
-            won = self.keys[slot[rest]] == keys[rest]
-            self.values[slot[rest[won]]] = values[rest[won]]
-            rest = rest[~won]
-            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * _MIX >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, value or 0)."""
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        found = there == keys
-        value = np.where(found, self.values[slot], np.float32(0))
-        rest = np.flatnonzero(~found & (there != _EMPTY))
-        while len(rest):
-            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
-            there = self.keys[slot[rest]]
-            hit = there == keys[rest]
-            found[rest[hit]] = True
-            value[rest[hit]] = self.values[slot[rest[hit]]]
-            rest = rest[~hit & (there != _EMPTY)]
-        return found, value
-
-
-def log_probabilities(code: np.ndarray, table: Table, unknown: float) -> np.ndarray:
-    """Natural log probability of the last character of each five-gram after the first four."""
-    total, rest = np.zeros(len(code)), np.arange(len(code))
-    for k in range(ORDER, 0, -1):
-        c = code[rest]
-        found, value = table.get(c & np.uint64((1 << BITS * k) - 1) | np.uint64(k << 60))
-        if k == 1:
-            total[rest] += np.where(found, value, np.float32(unknown))
-            break
-        total[rest] += value
-        rest, c = rest[~found], c[~found]
-        if not len(rest):
-            break
-        _, weight = table.get(c >> np.uint64(BITS) & np.uint64((1 << BITS * (k - 1)) - 1) | np.uint64((8 + k - 1) << 60))
-        total[rest] += weight
-    return total
-
-
-def _scorer(shared, shard: int, shards: int, unknown: float):
-    """A column of the shard's sums: only positions of its own context pairs count."""
-    tables: list[Table] = []
-
-    @F.arrow_udf(OUTPUT)
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not tables:
-            tables.append(Table(*shared.value))
-        for batch in batches:
-            logp, chars = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for code, own in pieces(batch.to_pylist()):
-                if shards > 1:
-                    mine = _shard_of(code >> np.uint64(BITS) & np.uint64((1 << 2 * BITS) - 1), shards) == shard
-                    code, own = code[mine], own[mine]
-                logp += np.bincount(own, log_probabilities(code, tables[0], unknown), len(batch))
-                chars += np.bincount(own, minlength=len(batch))
-            yield struct_array({"logp": pa.array(logp), "chars": pa.array(chars)})
-
-    # Called so, it is run once for each row, though several expressions and a filter read its fields.
-    return score.asNondeterministic()
-
-
-def _sent(model: Model, shard: int):
-    mine = model.entries.where(F.col("shard").isNull() | (F.col("shard") == shard)).select("key", "value").toArrow()
-    arrays = mine["key"].to_numpy().view(np.uint64), mine["value"].to_numpy()
-    return model.entries.sparkSession.sparkContext.broadcast(arrays)
-
-
-def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "lm") -> DataFrame:
-    """docs with the struct column `name`: logp, chars."""
-    bound_batches(docs.sparkSession)
-    if model.shards == 1:
-        return docs.withColumn(name, _scorer(_sent(model, 0), 0, 1, model.unknown)(docs[text]))
-    # Equal texts have equal sums: the shards' sums meet by digest of the text, never by row.
-    digest = F.xxhash64(text), F.crc32(F.encode(text, "UTF-8"))
-    sums = None
-    for s in range(model.shards):
-        part = docs.select(digest[0].alias("lm_a"), digest[1].alias("lm_b"), F.lit(s).alias("s"), _scorer(_sent(model, s), s, model.shards, model.unknown)(docs[text]).alias("x"))
-        sums = part if sums is None else sums.unionAll(part)
-    each = sums.groupBy("lm_a", "lm_b", "s").agg(F.first("x").alias("x")).groupBy("lm_a", "lm_b").agg(F.struct(F.sum("x.logp").alias("logp"), F.sum("x.chars").alias("chars")).alias(name))
-    return docs.withColumns({"lm_a": digest[0], "lm_b": F.coalesce(digest[1], F.lit(-1))}).join(each.withColumn("lm_b", F.coalesce("lm_b", F.lit(-1))), ["lm_a", "lm_b"], "left").drop("lm_a", "lm_b")
-
-
-def held_out_scores(trusted: DataFrame, without: list[Model | None], text: str = "text", name: str = "lm") -> DataFrame:
-    """trusted with the struct column `name`, each text scored by the model that did not count it; texts of a fold
-    outside which there is no text are left out."""
-    out = None
-    for f, model in enumerate(without):
-        if model is not None:
-            part = scored(trusted.where(fold_of(text, len(without)) == f), model, text, name)
-            out = part if out is None else out.unionByName(part)
-    return trusted.withColumn(name, F.lit(None).cast(OUTPUT)).limit(0) if out is None else out
-
-
-def thresholds(trusted: DataFrame, lang: str = "lang", name: str = "lm") -> DataFrame:
-    """(lang_key, median, threshold) of scored trusted documents; the row of null lang_key is that of all.
-
-    A language of few documents has its own median, but at least the spread, and the threshold, of all."""
-    x = trusted.where(F.col(name)["chars"] > 0).select(F.coalesce(F.col(lang), F.lit("")).alias("lang_key"), F.floor(-F.col(name)["logp"] / F.col(name)["chars"] / BIN).alias("bin"))
-    bins = stored(x.groupBy("lang_key", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")  # used twice, scored once
+    return Model(stored(entries.groupBy("high", "low").agg(F.max("logp").alias("logp"), F.max("weight").alias("weight")), "model"), float(np.log(unknown)))
+
+
+def digest(text: str) -> list[Column]:
+    """Two longs that tell texts apart."""
+    return [F.xxhash64(text).alias("text_1"), F.crc32(F.encode(text, "UTF-8")).alias("text_2")]
+
+
+def _packed(docs: DataFrame, text: str, batches: int) -> DataFrame:
+    """Pieces of the texts, compressed, each with its batch. Which batch a piece goes to follows from its first text."""
+
+    def pack(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in incoming:
+            one, two = (batch.column(c).to_numpy() for c in (1, 2))
+            texts = (t for part in sliced([batch.column(0)]) for t in part.to_pylist())
+            for at, (piece, which, lengths, begins) in enumerate(pieces(texts, PIECE)):
+                raw = piece.encode("utf-8", "surrogatepass")
+                columns = {
+                    "batch": pa.array([(int(one[which[0]]) + at) % batches], pa.int64()), "text_1": pa.array([one[which]], pa.list_(pa.int64())), "text_2": pa.array([two[which]], pa.list_(pa.int64())),
+                    "lengths": pa.array([lengths], pa.list_(pa.int64())), "begins": pa.array([begins], pa.list_(pa.int64())), "size": pa.array([len(raw)], pa.int64()), "piece": pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary()),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    rows = docs.where(F.length(text) > 0).select(text, *digest(text))
+    schema = "batch long, text_1 array<long>, text_2 array<long>, lengths array<long>, begins array<long>, size long, piece binary"
+    return rows.mapInArrow(pack, schema).repartition(batches, "batch")
+
+
+def _grams_of(piece: bytes, size: int, lengths) -> Grams:
+    return Grams(pa.decompress(piece, size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass"), lengths)
+
+
+def asked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams and contexts that the probabilities of these five-grams may need, each once."""
+    every = []
+    for k in range(1, ORDER + 1):
+        every.append(shortened(high, low, k))
+        if k > 1:
+            every.append(context(*every[-1]))
+    high, low = (np.concatenate([e[i] for e in every]) for i in (0, 1))
+    first = np.unique(mixed(high, low), return_index=True)[1]
+    return high[first], low[first]
+
+
+def _questions(packed: DataFrame) -> DataFrame:
+    """(batch, high, low): what each batch asks for, once."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for rows in sliced(batches, 1):
+            for b, piece, size, lengths in zip(*(rows.column(c).to_pylist() for c in ("batch", "piece", "size", "lengths")), strict=True):
+                grams = _grams_of(piece, size, lengths)
+                key, high, low = mixed(grams.high, grams.low), grams.high, grams.low
+                if b in seen:
+                    key, high, low = (np.concatenate([x, y]) for x, y in zip(seen[b], (key, high, low), strict=True))
+                    key, first = np.unique(key, return_index=True)
+                    high, low = high[first], low[first]
+                seen[b] = key, high, low
+        for b in sorted(seen):
+            high, low = asked(*seen.pop(b)[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(high), b)), _long(high), _long(low)], names=["batch", "high", "low"])
+
+    return packed.select("batch", "piece", "size", "lengths").mapInArrow(ask, "batch long, high long, low long")
+
+
+class Answers:
+    """What a batch was told of its n-grams, found again by sorted keys."""
+
+    def __init__(self, found: pa.Table, unknown: float):
+        keys = mixed(*(found[c].to_numpy().view(np.uint64) for c in ("high", "low")))
+        by = np.argsort(keys)
+        self.keys, self.unknown = keys[by], unknown
+        self.logp = np.append(found["logp"].to_numpy()[by], np.nan)
+        self.weight = np.nan_to_num(np.append(found["weight"].to_numpy()[by], 0.0))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        return np.where(there, at, len(self.keys))
+
+    def log_probabilities(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Natural log probability of the last character of each five-gram after the first four."""
+        total, rest = np.zeros(len(high)), np.arange(len(high))
+        for k in range(ORDER, 0, -1):
+            h, l = shortened(high[rest], low[rest], k)  # noqa: E741
+            p = self.logp[self._find(mixed(h, l))]
+            there = ~np.isnan(p)
+            total[rest[there]] += p[there]
+            rest = rest[~there]
+            if k == 1:
+                total[rest] += self.unknown
+            elif len(rest):
+                total[rest] += self.weight[self._find(mixed(*context(h[~there], l[~there])))]
+        return total
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(text_1, text_2, logp, chars, copies) of each distinct text of docs: sums over its characters, and its rows."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    batches = max(1 + size // batch_bytes, min(docs.sparkSession.sparkContext.defaultParallelism, 1 + size // LEAST_BATCH_BYTES))
+    packed, unknown = _packed(docs, text, int(batches)), model.unknown
+    answers = _questions(packed).join(model.entries, ["high", "low"])
+
+    def score(held: pa.Table, found: pa.Table) -> pa.Table:
+        parts, told = [], Answers(found, unknown)
+        for piece, n, lengths, begins, one, two in zip(*(held[c].to_pylist() for c in ("piece", "size", "lengths", "begins", "text_1", "text_2")), strict=True):
+            grams = _grams_of(piece, n, lengths)
+            each = told.log_probabilities(grams.high, grams.low)[grams.index]
+            parts.append([np.array(one), np.array(two), np.add.reduceat(each, grams.starts), np.array(lengths), np.array(begins)])
+        names = ["text_1", "text_2", "logp", "chars", "copies"]
+        return pa.table([pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0), pa.float64() if i == 2 else pa.int64()) for i in range(5)], names=names)
+
+    schema = "text_1 long, text_2 long, logp double, chars long, copies long"
+    sums = packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema)
+    sums = sums.groupBy("text_1", "text_2").agg(*[F.sum(c).alias(c) for c in ("logp", "chars", "copies")])
+    return sums.select("text_1", "text_2", (F.col("logp") / F.col("copies")).alias("logp"), (F.col("chars") / F.col("copies")).cast("long").alias("chars"), "copies")
+
+
+def thresholds(scores: DataFrame, lang: str = "lang") -> DataFrame:
+    """(lang_key, median, threshold) of scored held-out trusted documents; the row of null lang_key is that of all."""
+    x = scores.where("chars > 0").select(F.coalesce(F.col(lang), F.lit("")).alias("lang_key"), F.floor(-F.col("logp") / F.col("chars") / BIN).alias("bin"))
+    bins = stored(x.groupBy("lang_key", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
     bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lang_key", F.lit(None).cast("string")))
     run = Window.partitionBy("lang_key").orderBy("bin")
     bins = bins.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(Window.partitionBy("lang_key"))})
@@ -330,37 +318,34 @@ def thresholds(trusted: DataFrame, lang: str = "lang", name: str = "lm") -> Data
     found = stored(bins.groupBy("lang_key").agg(at(0.5).alias("median"), at(0.9).alias("high"), F.first("total").alias("total")), "quantiles")
     found = found.withColumn("spread", F.greatest(F.col("high") - F.col("median"), F.lit(4 * BIN)))
     every = found.where("lang_key IS NULL").select(F.col("spread").alias("all_spread"), (F.col("median") + REACH * F.col("spread")).alias("all_threshold"))
-    few = F.col("lang_key").isNotNull() & (F.col("total") < LEAST_TRUSTED)
-    spread = F.when(few, F.greatest("spread", "all_spread")).otherwise(F.col("spread"))
+    few_rows = F.col("lang_key").isNotNull() & (F.col("total") < LEAST_TRUSTED)
+    spread = F.when(few_rows, F.greatest("spread", "all_spread")).otherwise(F.col("spread"))
     own = F.col("median") + REACH * spread
-    return found.join(F.broadcast(every), F.lit(True)).select("lang_key", "median", F.when(few, F.greatest(own, "all_threshold")).otherwise(own).alias("threshold"))
-
-
-def judged(docs: DataFrame, limits: DataFrame, lang: str = "lang", name: str = "lm", out: str = "quality") -> DataFrame:
-    """docs, scored, with the struct column `out`: nll, perplexity, threshold, kept."""
-    limits = stored(limits, "thresholds")
-    if limits.count() <= 20_000:
-        limits = F.broadcast(limits)
-    own, every = limits.where("lang_key IS NOT NULL").alias("own_limits"), limits.where("lang_key IS NULL").alias("all_limits")
-    j = docs.alias("docs").join(own, F.coalesce(F.col(f"docs.{lang}"), F.lit("")) == F.col("own_limits.lang_key"), "left").join(F.broadcast(every), F.lit(True), "left")
-    median, top = (F.coalesce(F.col(f"own_limits.{c}"), F.col(f"all_limits.{c}")) for c in ("median", "threshold"))
-    lm = F.col(f"docs.{name}")
-    nll = F.when(lm["chars"] > 0, (-lm["logp"] + SHORT_CHARS * median) / (lm["chars"] + SHORT_CHARS))
-    kept = F.coalesce(nll <= top, F.lit(True))
-    return j.select("docs.*", F.struct(nll.alias("nll"), F.exp(F.when(lm["chars"] > 0, -lm["logp"] / lm["chars"])).alias("perplexity"), top.alias("threshold"), kept.alias("kept")).alias(out))
+    return found.join(F.broadcast(every), F.lit(True)).select("lang_key", "median", F.when(few_rows, F.greatest(own, "all_threshold")).otherwise(own).alias("threshold"))
 
 
 def trusted_docs(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that labels rate good; their ids are sent to the tasks while they are few."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("trusted_id")).distinct()
-    if good.count() <= BROADCAST_IDS:
-        good = F.broadcast(good)
-    return docs.join(good, F.col(key) == F.col("trusted_id"), "left_semi")
-
-
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", out: str = "quality") -> DataFrame:
-    """docs with the struct column `out`, by a model and thresholds of their trusted part."""
-    trusted, lm = trusted_docs(docs, labels, key), free_name(docs, "lm")
-    model, without = cross_trained(trusted, text)
-    limits = thresholds(held_out_scores(trusted, without, text, lm), lang, lm)
-    return judged(scored(docs, model, text, lm), limits, lang, lm, out).drop(lm)
+    """The documents that labels rate good."""
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct()
+    return docs.join(few(good), key, "left_semi")
+
+
+def held_out() -> Column:
+    """Whether a trusted text, by its digest, is kept out of the counts."""
+    return F.pmod("text_1", F.lit(HELD_OUT)) == 0
+
+
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row for each document: doc_id, lang, text_1, text_2 (the digest of its text), nll, perplexity, threshold, kept;
+    by a model and thresholds of the trusted part of docs."""
+    trusted = trusted_docs(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")), labels)
+    trusted = trusted.where(F.length("text") > 0).select("text", "lang", *digest("text"))
+    model = train(trusted.where(~held_out()))
+    scores = stored(scored(docs, model, text), "scores")
+    apart = trusted.where(held_out()).groupBy("text_1", "text_2", "lang").agg(F.count(F.lit(1)).alias("n"))
+    limits = few(stored(thresholds(apart.join(scores, ["text_1", "text_2"])).where("lang_key IS NOT NULL"), "thresholds"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), *[F.when(F.length(text) > 0, c).alias(n) for c, n in zip(digest(text), ("text_1", "text_2"), strict=True)])
+    rows = lookup(rows, scores, ["text_1", "text_2"], "copies").withColumn("lang_key", F.coalesce("lang", F.lit(""))).join(limits, "lang_key", "left")
+    there = F.col("chars") > 0
+    nll = F.when(there, (-F.col("logp") + SHORT_CHARS * F.coalesce("median", -F.col("logp") / F.col("chars"))) / (F.col("chars") + SHORT_CHARS))
+    return rows.select("doc_id", "lang", "text_1", "text_2", nll.alias("nll"), F.exp(F.when(there, -F.col("logp") / F.col("chars"))).alias("perplexity"), "threshold", F.coalesce(nll <= F.col("threshold"), F.lit(True)).alias("kept"))

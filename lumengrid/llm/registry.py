@@ -54,9 +54,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "quality.perplexity", "quality.nll", "quality.threshold", "quality.kept")
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "perplexity", "nll", "threshold", "kept")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +90,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_preference_pairs": preferences.ORACLE, "op4_source_mix": mixing.ORACLE, "op8_decontamination": decontamination.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
+    return {"op2_preference_pairs": preferences.ORACLE, "op4_source_mix": mixing.ORACLE, "op5_token_counts": token_counts.ORACLE, "op8_decontamination": decontamination.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}

@@ -5,11 +5,11 @@ with a failure link for every node and the number of pieces that following it ha
 that cannot be cut is one unknown token. A text's tokens are the sum over its words, the runs of anything but blank and
 the ASCII controls 9 to 13.
 
-The vocabulary is read from a file of a public tokenizer on the driver: pieces with a blank before them begin words, the
+The vocabulary is read from a file, whose path is a parameter, on the driver: pieces with a blank before them begin words, the
 others continue them. Only the compiled automaton, whose size follows the vocabulary, goes to the tasks.
 
 Defined results: null texts have no words and no tokens; so have empty texts; texts are read whole; repeated rows are
-counted alike.
+counted alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, struct_array
+from .common import sliced, struct_array
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-REMEMBERED = 300_000
+#: Bytes of words that a worker remembers, what an entry takes beside its word, and the longest word remembered.
+REMEMBERED, ENTRY, LONG_WORD = 64 << 20, 150, 1000
+_BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 BEGIN, CONTINUE = 0, 1
 
 
@@ -95,22 +97,35 @@ class Automaton:
 
 
 class WordCounts(dict):
-    """Word -> its count, remembered up to a bound."""
+    """Word -> its count, remembered up to a bound of bytes; words that are long by themselves are not."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.held = automaton, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = self.automaton.count(word)
+        value = self.automaton.count(word)
+        if len(word) <= LONG_WORD:
+            if self.held >= REMEMBERED:
+                self.clear()
+                self.held = 0
+            self[word] = value
+            self.held += ENTRY + len(word)
         return value
 
 
+def blank_blocks(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text between blanks, in lists of about `size` bytes."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass").translate(_BLANKS), 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end
+
+
 def counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> Column:
     """A struct column: n_words, n_tokens."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(*read_vocabulary(vocabulary)))
     kept: list[WordCounts] = []
 
@@ -119,8 +134,35 @@ def counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
         if not kept:
             kept.append(WordCounts(shared.value))
         of = kept[0].__getitem__
-        for batch in batches:
-            words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in batch.to_pylist()]
-            yield struct_array({"n_words": pa.array([len(w) for w in words], pa.int64()), "n_tokens": pa.array(np.fromiter((sum(map(of, w)) for w in words), np.int64, len(words)))})
+        for batch in sliced(batches):
+            n_words, n_tokens = [], []
+            for t in batch.to_pylist():
+                words = tokens_ = 0
+                for block in blank_blocks(t):
+                    words += len(block)
+                    tokens_ += sum(map(of, block))
+                n_words.append(words)
+                n_tokens.append(tokens_)
+            yield struct_array({"n_words": pa.array(n_words, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64())})
 
     return tokens(docs[text])
+
+
+#: Token counts by DuckDB: the distinct words are cut piece by piece, the longest first, in hexadecimal digits.
+ORACLE = rf"""
+WITH RECURSIVE v AS (SELECT hex(from_base64(split_part(line, ' ', 1))) AS h FROM read_csv('{VOCABULARY}', header = false, columns = {{'line': 'VARCHAR'}}, delim = '\t', quote = '', escape = '')),
+blank AS (SELECT h, regexp_matches(h, '^(..)*(09|0A|0B|0C|0D|20)') AS has, regexp_matches(substr(h, 3), '^(..)*(09|0A|0B|0C|0D|20)') AS later FROM v),
+p AS (SELECT DISTINCT 0 AS kind, substr(h, 3) AS piece FROM blank WHERE h LIKE '20%' AND len(h) > 2 AND NOT later
+      UNION ALL SELECT DISTINCT 1, h FROM blank WHERE len(h) > 0 AND NOT has),
+longest AS (SELECT max(len(piece)) // 2 AS most FROM p),
+d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ 	-]+')) AS word FROM documents),
+w AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM d)),
+cut AS (SELECT word, h AS rest, 0 AS n FROM w
+        UNION ALL
+        SELECT word, substr(rest, 1 + max(len(piece))), n + 1
+        FROM (SELECT word, rest, n, unnest(range(1, 1 + least(len(rest) // 2, (SELECT most FROM longest)))) AS k FROM cut WHERE rest <> '') c
+        JOIN p ON p.kind = least(n, 1) AND p.piece = substr(rest, 1, 2 * k) GROUP BY word, rest, n),
+counted AS (SELECT word, coalesce(max(n) FILTER (rest = ''), 1) AS n FROM cut GROUP BY word),
+t AS (SELECT doc_id, count(*) AS n_words, sum(n) AS n_tokens FROM d JOIN counted USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_tokens, 0)::BIGINT AS n_tokens FROM documents LEFT JOIN t USING (doc_id)
+"""

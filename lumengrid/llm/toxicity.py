@@ -2,8 +2,8 @@
 
 A text's words go through the network in windows of 32 words that overlap by half, all of them, to the last word. Each
 word comes in by its word input (a learned embedding of its bucket and the bucket's log odds of toxic documents) and by
-its character inputs (the log odds of its character n-grams, of three to six bytes with word marks: the largest by
-length, and the mean). The two directions' states are pooled by attention to one logit a window. A logistic fit, on
+its character inputs (the mean of learned embeddings of its character n-grams, of three to six bytes with word marks, and
+these n-grams' log odds: the largest by length, and the mean). The two directions' states are pooled by attention to one logit a window. A logistic fit, on
 documents kept out of training, makes a probability of a document's largest window logit and the largest of the windows
 that do not overlap that one.
 
@@ -12,7 +12,10 @@ two halves so that a document's windows never see odds that its own label made;
 and one at random, train the network.
 
 Defined results: texts without a word, empty and null texts score EMPTY; without both labels in the sample the score is
-the share of toxic labels; null labels are left out, repeated rows are scored alike.
+the share of toxic labels; null labels and labels of null ids are left out; of rows of one id with different texts each
+text is learned from, of equal ones one; repeated rows are scored alike. Long texts are scored in segments that share the
+windows' overlap, so memory is bounded. The output is one column; other columns may have any name. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, struct_array, words_of
+from .common import few, sliced, struct_array, word_blocks, words_of
 
 WINDOW, STRIDE = 32, 16
 GRAMS = (3, 4, 5, 6)
@@ -34,6 +37,9 @@ BUCKETS = 1 << 18
 EMPTY = 0.0
 REMEMBERED = 120_000
 BLOCK = 2048
+#: Rows of the character n-grams' embeddings, for each length; words of a segment and of what is scored at once.
+CHARACTERS = 1 << 15
+SEGMENT, WORDS = 1 << 15, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -44,7 +50,8 @@ class Settings:
     other_rows: int = 3000
     max_fit_chars: int = 40_000
     embedding: int = 4
-    hidden: int = 8
+    characters: int = 4
+    hidden: int = 12
     attention: int = 8
     epochs: int = 5
     least_steps: int = 300
@@ -77,6 +84,29 @@ def gram_buckets(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def character_rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """From gram_buckets() of words: rows of the embeddings of all their n-grams, word by word, and how many each has."""
+    counts, rows, owner = [], [], []
+    for k, (b, first) in enumerate(parts):
+        sizes = np.diff(np.append(first, len(b)))
+        of = np.repeat(np.arange(len(first)), sizes)
+        rows.append((b & (CHARACTERS - 1))[b > 0] + k * CHARACTERS)
+        owner.append(of[b > 0])
+        counts.append(np.bincount(of[b > 0], minlength=len(first)))
+    rows, owner = np.concatenate(rows), np.concatenate(owner)
+    return rows[np.argsort(owner, kind="stable")], np.sum(counts, 0)
+
+
+def pooled_characters(table: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The mean embedding of each word's n-grams; zeros where it has none."""
+    out = np.zeros((len(counts), table.shape[1]), np.float32)
+    some = np.flatnonzero(counts)
+    if len(some):
+        begin = np.cumsum(counts) - counts
+        out[some] = np.add.reduceat(table[rows], begin[some]) / counts[some][:, None]
+    return out
+
+
 @dataclass
 class Odds:
     """Log odds, drawn to 0, of toxic documents for buckets of words and of character n-grams."""
@@ -99,10 +129,10 @@ class Odds:
             tables.append(np.where(counts.sum(0) >= 3, odds * trust, 0).astype(np.float32))
         return Odds(*tables)
 
-    def features(self, words: list[bytes], buckets: np.ndarray) -> np.ndarray:
+    def features(self, words: list[bytes], buckets: np.ndarray, parts: list | None = None) -> np.ndarray:
         """Of each word: its own odds, the largest of its n-grams by length, their mean."""
         cols, mean = [self.word[buckets]], np.zeros(len(words), np.float32)
-        for k, (b, first) in enumerate(gram_buckets(words)):
+        for k, (b, first) in enumerate(parts or gram_buckets(words)):
             v = np.where(b > 0, self.gram[b + k * BUCKETS], np.float32(0))
             cols.append(np.maximum.reduceat(v, first))
             mean += np.add.reduceat(v, first) / np.diff(np.append(first, len(v)))
@@ -117,13 +147,26 @@ def windows(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - STRIDE), STRIDE)
 
 
+def segments(text: str | None) -> Iterator[list[bytes]]:
+    """A text's words in segments whose windows, one segment's after the other's, are those of the whole."""
+    held: list[bytes] = []
+    more = False
+    for words in word_blocks(text):
+        held += words
+        while len(held) > SEGMENT + STRIDE:
+            yield held[: SEGMENT + STRIDE]
+            held, more = held[SEGMENT:], True
+    if held and not (more and len(held) <= STRIDE):
+        yield held
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
 def _start(s: Settings, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    d, h = FEATURES + s.embedding, s.hidden
-    p = {"emb": np.zeros((BUCKETS, s.embedding), np.float32)}
+    d, h = FEATURES + s.embedding + s.characters, s.hidden
+    p = {"emb": np.zeros((BUCKETS, s.embedding), np.float32), "chars": np.zeros((CHARACTERS * len(GRAMS), s.characters), np.float32)}
     for side in "fb":
         p["x" + side] = rng.normal(0, 0.3, (d, 3 * h))
         p["u" + side] = rng.normal(0, 0.3, (h, 3 * h))
@@ -140,10 +183,12 @@ def _cell(gx, h, u, size):
     return r, z, hn, n, n + z * (h - n)
 
 
-def gradients(p: dict, features: np.ndarray, buckets: np.ndarray, mask: np.ndarray, labels: np.ndarray, size: int) -> tuple[float, dict]:
-    """Loss and gradients of a batch: features (time, batch, FEATURES), buckets and mask (time, batch)."""
+TABLES = ("emb", "chars")
+
+
+def gradients(p: dict, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, size: int) -> tuple[float, dict]:
+    """Loss and gradients of a batch, that of the inputs x (time, batch, inputs) among them as "in"; mask (time, batch)."""
     t_max, b = mask.shape
-    x = np.concatenate([features, p["emb"][buckets]], 2)
     states, kept = np.zeros((t_max, b, 2 * size)), {}
     for k, side in enumerate("fb"):
         gx, h = x @ p["x" + side] + p["c" + side], np.zeros((b, size))
@@ -159,7 +204,7 @@ def gradients(p: dict, features: np.ndarray, buckets: np.ndarray, mask: np.ndarr
     pooled = (a[:, :, None] * states).sum(0)
     prob = 1 / (1 + np.exp(-(pooled @ p["wo"] + p["bo"])))
     loss = -np.mean(labels * np.log(prob + 1e-9) + (1 - labels) * np.log(1 - prob + 1e-9))
-    g = {k: np.zeros_like(v, np.float64) for k, v in p.items() if k != "emb"}
+    g = {k: np.zeros_like(v, np.float64) for k, v in p.items() if k not in TABLES}
     dl = (prob - labels) / b
     g["wo"], g["bo"] = pooled.T @ dl, np.array([dl.sum()])
     dp = dl[:, None] * p["wo"]
@@ -185,7 +230,7 @@ def gradients(p: dict, features: np.ndarray, buckets: np.ndarray, mask: np.ndarr
         g["x" + side] += np.einsum("tbd,tbg->dg", x, dgx)
         g["c" + side] += dgx.sum((0, 1))
         dx += dgx @ p["x" + side].T
-    g["emb"] = dx[:, :, FEATURES:]
+    g["in"] = dx
     return loss, g
 
 
@@ -217,39 +262,51 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
         part[mine] = np.minimum(np.arange(len(mine)) % 5 // 2, 2)
     odds = [Odds.of([docs[i] for i in np.flatnonzero(part == k)], y[part == k]) for k in (0, 1)]
     both = Odds.of([docs[i] for i in np.flatnonzero(part < 2)], y[part < 2])
+    vocabulary: dict[bytes, int] = {}
     rows = []
     for i in np.flatnonzero(part < 2):
         words = docs[i]
-        buckets = np.array([word_bucket(w) for w in words])
-        f = odds[1 - part[i]].features(words, buckets)
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words])
+        f = odds[1 - part[i]].features(words, np.array([word_bucket(w) for w in words]))
         starts = windows(len(words))
         strength = f[:, 0] + f[:, 1:-1].max(1)
         rank = np.argsort([-np.sort(strength[s : s + WINDOW])[-3:].sum() for s in starts], kind="stable")
         chosen = {int(r) for r in rank[:1]} | (set() if y[i] else {int(r) for r in rank[1:2]} | {int(rng.integers(len(starts)))})
-        rows += [(f[starts[r] : starts[r] + WINDOW], buckets[starts[r] : starts[r] + WINDOW], y[i]) for r in sorted(chosen)]
-    features, buckets, mask = np.zeros((WINDOW, len(rows), FEATURES)), np.zeros((WINDOW, len(rows)), np.int64), np.zeros((WINDOW, len(rows)), bool)
-    for k, (f, b, _) in enumerate(rows):
-        features[: len(f), k], buckets[: len(b), k], mask[: len(b), k] = f, b, True
+        rows += [(f[starts[r] : starts[r] + WINDOW], ids[starts[r] : starts[r] + WINDOW], y[i]) for r in sorted(chosen)]
+    features, words_at, mask = np.zeros((WINDOW, len(rows), FEATURES), np.float32), np.zeros((WINDOW, len(rows)), np.int64), np.zeros((WINDOW, len(rows)), bool)
+    for k, (f, ids, _) in enumerate(rows):
+        features[: len(f), k], words_at[: len(ids), k], mask[: len(ids), k] = f, ids, True
     target = np.array([r[2] for r in rows])
+    spelled = list(vocabulary)
+    bucket_of, (gram_rows, gram_counts) = np.array([word_bucket(w) for w in spelled]), character_rows(gram_buckets(spelled))
+    gram_begin = np.cumsum(gram_counts) - gram_counts
     p = _start(settings, rng)
-    first, second, step = {k: np.zeros_like(v, np.float64) for k, v in p.items() if k != "emb"}, {k: np.zeros_like(v, np.float64) for k, v in p.items() if k != "emb"}, 0
-    epochs = max(settings.epochs, -(-settings.least_steps * settings.batch // len(rows)))
-    few = min(1.0, len(rows) / 3000)  # of few windows little is learned by heart
+    first, second = ({k: np.zeros_like(v, np.float64) for k, v in p.items() if k not in TABLES} for _ in range(2))
+    step, epochs = 0, max(settings.epochs, -(-settings.least_steps * settings.batch // len(rows)))
+    few_rows = min(1.0, len(rows) / 3000)  # of few windows little is learned by heart
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         rate = settings.rate * (1 - epoch / (epochs + 1))
         for at in range(0, len(order), settings.batch):
             i = order[at : at + settings.batch]
-            _, g = gradients(p, features[:, i], buckets[:, i], mask[:, i], target[i], settings.hidden)
+            here, place = np.unique(words_at[:, i], return_inverse=True)
+            place, counts = place.reshape(WINDOW, len(i)), gram_counts[here]
+            own = gram_rows[np.repeat(gram_begin[here] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+            x = np.concatenate([features[:, i], p["emb"][bucket_of[here]][place], pooled_characters(p["chars"], own, counts)[place]], 2)
+            _, g = gradients(p, x, mask[:, i], target[i], settings.hidden)
             step += 1
-            np.add.at(p["emb"], buckets[:, i][mask[:, i]], (-rate * 5 * few * g.pop("emb")[mask[:, i]]).astype(np.float32))
+            of_words = np.zeros((len(here), settings.embedding + settings.characters))
+            np.add.at(of_words, place[mask[:, i]], g.pop("in")[:, :, FEATURES:][mask[:, i]])
+            np.add.at(p["emb"], bucket_of[here], (-rate * 5 * few_rows * of_words[:, : settings.embedding]).astype(np.float32))
+            spread = of_words[:, settings.embedding :] / np.maximum(1, counts)[:, None]
+            np.add.at(p["chars"], own, (-rate * 20 * few_rows * np.repeat(spread, counts, 0)).astype(np.float32))
             for k, v in g.items():
                 first[k] = 0.9 * first[k] + 0.1 * v
                 second[k] = 0.99 * second[k] + 0.01 * v * v
                 p[k] = p[k] - rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     model = Model(prior, both, {k: v.astype(np.float32) for k, v in p.items()}, settings.hidden)
     held = np.flatnonzero(part == 2)
-    x, label = Scorer(model).logits([docs[i] for i in held]), y[held]
+    x, label = Scorer(model).logits([texts[keep[i]] for i in held]), y[held]
     more = np.isfinite(x[:, 1])
     halves = [np.median(x[more & (label == k), 1]) for k in (0, 1) if (more & (label == k)).any()]
     model.alone = float(np.mean(halves)) if halves else 0.0
@@ -308,40 +365,57 @@ class Scorer:
         if len(self.rows) + 1 > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(self.rows) + 1), self.table.shape[1]), np.float32)])
         buckets = np.array([word_bucket(w) for w in fresh])
-        x = np.concatenate([self.model.odds.features(fresh, buckets), p["emb"][buckets]], 1)
+        parts = gram_buckets(fresh)
+        x = np.concatenate([self.model.odds.features(fresh, buckets, parts), p["emb"][buckets], pooled_characters(p["chars"], *character_rows(parts))], 1)
         last = len(self.rows) + 1
         self.table[last - len(fresh) : last] = np.concatenate([x @ p["xf"] + p["cf"], x @ p["xb"] + p["cb"]], 1)
         self.rows.fresh = []
 
-    def logits(self, docs: list[list[bytes]]) -> np.ndarray:
-        """Of each document the largest window logit and the largest that does not overlap it; -inf where there is none."""
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text the largest window logit and the largest that does not overlap it; -inf where there is none."""
+        every: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, list[bytes]]] = []
+        size = 0
+        for d, text in enumerate(texts):
+            for words in segments(text):
+                held.append((d, words))
+                size += len(words)
+                if size >= WORDS:
+                    self._windows(held, every)
+                    held, size = [], 0
+        if held:
+            self._windows(held, every)
+        out = np.full((len(texts), 2), -np.inf)
+        for d, parts in enumerate(every):
+            if parts:
+                mine = np.concatenate(parts)
+                top = int(mine.argmax())
+                apart = np.concatenate([mine[: max(0, top - WINDOW // STRIDE + 1)], mine[top + WINDOW // STRIDE :]])
+                out[d] = mine[top], apart.max(initial=-np.inf)
+        return out
+
+    def _windows(self, held: list[tuple[int, list[bytes]]], every: list[list[np.ndarray]]) -> None:
+        """Adds the logits of all windows of the held segments to their texts'."""
         if len(self.rows) > REMEMBERED:
             self._forget()
-        ids = [np.fromiter(map(self.rows.__getitem__, d), np.int64, len(d)) for d in docs]
+        ids = [np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)) for _, words in held]
         self._project()
-        out = np.full((len(docs), 2), -np.inf)
         sizes = np.array([len(x) for x in ids])
         flat = np.concatenate([*ids, np.zeros(WINDOW, np.int64)])
         begin = np.cumsum(sizes) - sizes
-        starts = [windows(n) if n else np.zeros(0, np.int64) for n in sizes]
-        owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
-        at = np.concatenate([s + b for s, b in zip(starts, begin, strict=True)]) if len(starts) else np.zeros(0, np.int64)
+        starts = [windows(n) for n in sizes]
+        owner = np.repeat(np.arange(len(ids)), [len(s) for s in starts])
+        at = np.concatenate([s + b for s, b in zip(starts, begin, strict=True)])
         stop = (begin + sizes)[owner]
         steps = np.arange(WINDOW)[:, None]
-        every = np.zeros(len(at))
+        found = np.zeros(len(at))
         for k in range(0, len(at), BLOCK):
-            a = at[k : k + BLOCK]
-            place = steps + a
+            place = steps + at[k : k + BLOCK]
             inside = place < stop[k : k + BLOCK]
-            words = np.where(inside, flat[np.minimum(place, len(flat) - 1)], 0)
-            every[k : k + BLOCK] = self._forward(words, inside)
-        cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
-        for d in np.flatnonzero(sizes):
-            mine = every[cuts[d] : cuts[d + 1]]
-            top = int(mine.argmax())
-            apart = np.concatenate([mine[: max(0, top - WINDOW // STRIDE + 1)], mine[top + WINDOW // STRIDE :]])
-            out[d] = mine[top], apart.max(initial=-np.inf)
-        return out
+            found[k : k + BLOCK] = self._forward(np.where(inside, flat[np.minimum(place, len(flat) - 1)], 0), inside)
+        cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
+        for k, (d, _) in enumerate(held):
+            every[d].append(found[cuts[k] : cuts[k + 1]])
 
     def _forward(self, words: np.ndarray, inside: np.ndarray) -> np.ndarray:
         p, size = self.model.weights, self.model.hidden
@@ -359,17 +433,13 @@ class Scorer:
         return np.einsum("tb,tbh->bh", a, states) @ p["wo"] + p["bo"]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        docs = [words_of(t) for t in texts]
         if self.model.weights is None:
-            return np.where([bool(d) for d in docs], self.model.prior, EMPTY)
+            return np.where([any(word_blocks(t)) for t in texts], self.model.prior, EMPTY)
         a, second, b = self.model.scale
-        out = np.zeros(len(texts))
-        for at in range(0, len(docs), 128):
-            x = self.logits(docs[at : at + 128])
-            there = np.isfinite(x[:, 0])
-            z = model_input(self.model, np.where(there[:, None], x, 0)) @ np.array([a, second]) + b
-            out[at : at + 128] = np.where(there, 1 / (1 + np.exp(-np.clip(z, -30, 30))), EMPTY)
-        return out
+        x = self.logits(texts)
+        there = np.isfinite(x[:, 0])
+        z = model_input(self.model, np.where(there[:, None], x, 0)) @ np.array([a, second]) + b
+        return np.where(there, 1 / (1 + np.exp(-np.clip(z, -30, 30))), EMPTY)
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
@@ -378,14 +448,13 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     n = {r["y"]: r["n"] for r in rated.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("y") > 0, min(1.0, settings.toxic_rows / max(1, n.get(1, 0)))).otherwise(min(1.0, settings.other_rows / max(1, n.get(0, 0))))
     drawn = rated.where(F.pmod(F.xxhash64(F.col("rated_id").cast("string"), F.lit(settings.seed)), F.lit(1 << 30)) < share * (1 << 30))
-    # The drawn ids are a bounded number, so they are sent to the texts.
-    got = docs.where(F.length(text) <= settings.max_fit_chars).join(F.broadcast(drawn), F.col(key) == F.col("rated_id")).select(F.col(key).alias("k"), F.col(text).alias("t"), (F.col("y") > 0).cast("int").alias("y")).collect()
-    return [(r["t"], r["y"]) for r in sorted(got, key=lambda r: (str(r["k"]), r["t"]))]
+    texts = docs.select(F.col(key).alias("rated_id"), F.col(text).alias("t")).where(F.length("t") <= settings.max_fit_chars)
+    got = texts.join(few(drawn), "rated_id").select("rated_id", "t", (F.col("y") > 0).cast("int").alias("y")).distinct().collect()
+    return [(r["t"], r["y"]) for r in sorted(got, key=lambda r: (str(r["rated_id"]), r["t"]))]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """The column of scores, from 0 to 1."""
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept: list[Scorer] = []
 
@@ -393,7 +462,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
     def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not kept:
             kept.append(Scorer(shared.value))
-        for batch in batches:
+        for batch in sliced(batches):
             yield struct_array({"score": pa.array(kept[0].scores(batch.to_pylist()))})
 
     return toxicity(docs[text])["score"]
