@@ -188,11 +188,12 @@ def _sets(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) ->
             mine = [len(s) > 0 and digest_of(s) == (a, b) for s, a, b in zip(found, batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)]
             keep = pa.array(mine, pa.bool_())
             kept = batch.filter(keep)
-            yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("copies"), kept.column("strings"), pa.array([s.tobytes() for s, m in zip(found, mine, strict=True) if m], pa.binary())], names=["id", "copies", "strings", "hashes"])
+            yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("copies"), pa.array([s.tobytes() for s, m in zip(found, mine, strict=True) if m], pa.binary())], names=["id", "copies", "hashes"])
 
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    rows = texts.join(few(wanted), "rep").select("id", "h1", "h2", "copies", "strings", "text")
-    return rows.mapInArrow(build, "id long, copies long, strings array<long>, hashes binary").dropDuplicates(["id"])
+    # Only numbers are sent to the texts; the strings meet the sets where these are dealt by id already.
+    rows = texts.join(few(wanted.drop("strings")), "rep").select("id", "h1", "h2", "copies", "text")
+    return rows.mapInArrow(build, "id long, copies long, hashes binary").dropDuplicates(["id"]).join(wanted.select("id", "strings"), "id")
 
 
 def _met(forest: DataFrame, k: int, new: bool) -> tuple[DataFrame, DataFrame]:
