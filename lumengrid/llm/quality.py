@@ -250,7 +250,8 @@ def _questions(packed: DataFrame) -> DataFrame:
             high, low = asked(*seen.pop(b)[1:])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(high), b)), _long(high), _long(low)], names=["batch", "high", "low"])
 
-    return packed.select("batch", "piece", "size", "lengths").mapInArrow(ask, "batch long, high long, low long")
+    # All columns, so that the pieces are dealt once for questions and scores.
+    return packed.mapInArrow(ask, "batch long, high long, low long")
 
 
 class Answers:
