@@ -41,6 +41,7 @@ ORDER, BITS = 5, 21
 #: Characters of a piece, and bytes of text that a batch has about, or at least where there are fewer batches than cores.
 PIECE = 1_000_000
 BATCH_BYTES, LEAST_BATCH_BYTES = 64 << 20, 4 << 20
+SPREAD = 4
 BIN = 0.005
 SHORT_CHARS = 100
 REACH = 3.0
@@ -213,7 +214,8 @@ def _packed(docs: DataFrame, text: str, batches: int) -> DataFrame:
 
     rows = docs.where(F.length(text) > 0).select(text, *digest(text))
     schema = "batch long, text_1 array<long>, text_2 array<long>, lengths array<long>, begins array<long>, size long, piece binary"
-    return rows.mapInArrow(pack, schema).repartition(batches, "batch")
+    # Several times as many partitions as batches, so that few batches share one.
+    return rows.mapInArrow(pack, schema).repartition(SPREAD * batches, "batch")
 
 
 def _grams_of(piece: bytes, size: int, lengths) -> Grams:
