@@ -1,7 +1,7 @@
 """Neighbourhood filters over pixel relations of known size.
 
-The separable box blur is two RANGE windows, by row and by column of an image: two shuffles, so that no task holds a whole
-image, however large one is. A kernel filter scatters: each pixel gives its
+The separable blurs, box and Gaussian, are two RANGE windows, by row and by column of an image: two shuffles, so that no
+task holds a whole image, however large one is, and rows are never multiplied. Other kernels scatter: each pixel gives its
 weighted value to the target pixels around it, by exploding a constant array of offsets, and one aggregation by target
 pixel, partial first, adds them up. No join is made, and the sums are of integers (weights are in fixed point), so they
 do not depend on the order of rows.
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .geometry import channels
 
-#: Fixed point of kernel weights.
-ONE = 1 << 30
+#: Fixed point of kernel weights, and of the weights along one axis, whose products they are.
+ONE = 1 << 52
+AXIS_ONE = 1 << 26
 SHARPEN = [(0, -1, -1), (-1, 0, -1), (0, 0, 5), (1, 0, -1), (0, 1, -1)]
 SOBEL_X = [(-1, -1, -1), (1, -1, 1), (-1, 0, -2), (1, 0, 2), (-1, 1, -1), (1, 1, 1)]
 SOBEL_Y = [(-1, -1, -1), (0, -1, -2), (1, -1, -1), (-1, 1, 1), (0, 1, 2), (1, 1, 1)]
@@ -63,7 +64,7 @@ def convolve(px: DataFrame, kernel: list[tuple[int, int, float]], width: int, he
     if not kernel:
         raise InvalidKernel("empty")
     whole = all(float(w).is_integer() for _, _, w in kernel)
-    scale = 1 if whole else ONE
+    scale = 1 if whole else 1 << 30
     fixed = {}
     for dx, dy, w in kernel:
         fixed[dx, dy] = {"w": fixed.get((dx, dy), {}).get("w", 0) + round(w * scale)}
@@ -88,43 +89,65 @@ def sobel(px: DataFrame, width: int, height: int) -> DataFrame:
     return got.select("image_id", "x", "y", F.expr(f"CASE WHEN {interior(width, height)} THEN CAST(least(255.0D, sqrt(CAST(gx * gx + gy * gy AS DOUBLE))) AS INT) ELSE own.v END").alias("v"))
 
 
-def gaussian_kernel(sigma: float, radius: int | None = None) -> list[tuple[int, int, int]]:
-    """Normalised weights in fixed point, which sum to ONE."""
+def axis_weights(sigma: float, radius: int) -> list[int]:
+    """Weights from -radius to radius along one axis, in fixed point, which sum to AXIS_ONE."""
     if sigma <= 0:
         raise InvalidKernel(f"sigma {sigma}")
+    raw = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
+    fixed = [round(w / sum(raw) * AXIS_ONE) for w in raw]
+    fixed[radius] += AXIS_ONE - sum(fixed)
+    return fixed
+
+
+def gaussian_kernel(sigma: float, radius: int | None = None) -> list[tuple[int, int, int]]:
+    """The two-dimensional weights, products of the axes', which sum to ONE."""
     radius = math.ceil(3 * sigma) if radius is None else radius
-    raw = {(dx, dy): math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma)) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)}
-    total = sum(raw.values())
-    fixed = {k: round(w / total * ONE) for k, w in raw.items()}
-    fixed[0, 0] += ONE - sum(fixed.values())
-    return [(dx, dy, w) for (dx, dy), w in fixed.items()]
+    axis = axis_weights(sigma, radius)
+    return [(i - radius, j - radius, axis[i] * axis[j]) for j in range(2 * radius + 1) for i in range(2 * radius + 1)]
+
+
+def _along(px: DataFrame, names: list[str], axis: str, other: str, weights: list[int], last: int | None = None) -> DataFrame:
+    """Weighted sums along one axis. With `last`, places beyond 0 and last read the pixel at the edge."""
+    r = len(weights) // 2
+    line = Window.partitionBy("image_id", other)
+    order = line.orderBy(axis)
+    sums = {}
+    for c in names:
+        parts = [F.coalesce(F.sum(F.col(c).cast("long")).over(order.rangeBetween(k, k)), F.lit(0)) * F.lit(w) for k, w in zip(range(-r, r + 1), weights, strict=True)]
+        if last is not None:
+            before = F.array(*[F.lit(sum(weights[: r - at])).cast("long") for at in range(r + 1)])  # of what lies before 0, by place
+            edge = lambda at: F.max(F.when(F.col(axis) == at, F.col(c).cast("long"))).over(line)  # noqa: B023, E731
+            parts.append(edge(0) * F.get(before, F.least(F.col(axis), F.lit(r))))
+            parts.append(edge(last) * F.get(before, F.least(F.lit(last) - F.col(axis), F.lit(r))))
+        sums[c] = sum(parts[1:], parts[0])
+    return px.withColumns({f"s_{c}": v for c, v in sums.items()})
+
+
+def _blurred(px: DataFrame, weights: list[int], width: int, height: int, clamp: bool) -> DataFrame:
+    """px with s_ columns: the sums by both axes, in ONE."""
+    names = channels(px)
+    px = _along(px, names, "x", "y", weights, width - 1 if clamp else None)
+    px = px.select("image_id", "x", "y", *[F.col(c).alias(f"own_{c}") for c in names], *[F.col(f"s_{c}").alias(c) for c in names])
+    return _along(px, names, "y", "x", weights, height - 1 if clamp else None)
 
 
 def gaussian_blur(px: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
     """Interior only, the border of the kernel's radius stays."""
-    kernel = gaussian_kernel(sigma)
     margin = math.ceil(3 * sigma)
-    names = channels(px)
-    got = _scatter(px, [(dx, dy, {"w": w}) for dx, dy, w in kernel], {f"s_{c}": (c, "w") for c in names})
-    return got.select("image_id", "x", "y", *[F.expr(f"CASE WHEN {interior(width, height, margin)} THEN CAST(s_{c} div {ONE} AS INT) ELSE own.{c} END").alias(c) for c in names])
+    got = _blurred(px, axis_weights(sigma, margin), width, height, False)
+    return got.select("image_id", "x", "y", *[F.expr(f"CASE WHEN {interior(width, height, margin)} THEN CAST(s_{c} div {ONE} AS INT) ELSE own_{c} END").alias(c) for c in channels(px)])
 
 
-def device_kernel(radius: float) -> list[tuple[int, int, int]]:
+def device_weights(radius: float) -> list[int]:
     """The Gaussian of the device blur: 2 * radius + 1 wide, sigma a half of the radius."""
+    return axis_weights(max(radius / 2, 0.5), math.ceil(radius))
+
+
+def device_kernel(radius: float) -> list[tuple[int, int, int]]:
     return gaussian_kernel(max(radius / 2, 0.5), math.ceil(radius))
 
 
 def device_blur(px: DataFrame, radius: float, width: int, height: int) -> DataFrame:
     """Gaussian with places clamped to the edge: a border pixel gives all the weight that falls beyond it."""
-    kernel = device_kernel(radius)
-    r = math.ceil(radius)
-    names = channels(px)
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).cast("long").alias("w")) for dx, dy, w in kernel])
-    # Every target within reach, and the weights of all its taps that clamp to this pixel.
-    reach = F.sequence(F.lit(-r), F.lit(r))
-    near = px.select("image_id", "x", "y", *names, F.explode(F.lit(reach)).alias("i")).select("*", F.explode(F.lit(reach)).alias("j"))
-    near = near.selectExpr("image_id", "x", "y", *names, "x + i AS tx", "y + j AS ty").where(f"tx BETWEEN 0 AND {width - 1} AND ty BETWEEN 0 AND {height - 1}")
-    clamped = lambda place, offset, most: F.least(F.lit(most), F.greatest(F.lit(0), F.col(place) + offset))
-    weight = F.aggregate(offsets, F.lit(0).cast("long"), lambda acc, t: acc + F.when((clamped("tx", t["dx"], width - 1) == F.col("x")) & (clamped("ty", t["dy"], height - 1) == F.col("y")), t["w"]).otherwise(F.lit(0).cast("long")))
-    near = near.withColumn("w", weight).where("w > 0")
-    return near.groupBy("image_id", F.col("tx").alias("x"), F.col("ty").alias("y")).agg(*[F.expr(f"CAST(sum({c} * w) div {ONE} AS INT)").alias(c) for c in names])
+    got = _blurred(px, device_weights(radius), width, height, True)
+    return got.select("image_id", "x", "y", *[F.expr(f"CAST(s_{c} div {ONE} AS INT)").alias(c) for c in channels(px)])

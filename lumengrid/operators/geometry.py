@@ -148,6 +148,14 @@ def barrel_source(d: Dialect, width: int, height: int, strength: float) -> tuple
     return inside(f"{d.f(cx)} + {d.div(dx, factor)}"), inside(f"{d.f(cy)} + {d.div(dy, factor)}")
 
 
+def corner_box(rows: DataFrame, xs: list[str], ys: list[str]) -> DataFrame:
+    """rows with the box around their corners: left, top, box_width and box_height, truncated sides and one."""
+    d = SPARK
+    low, high = (lambda cs: f"least({', '.join(d.f(c) for c in cs)})"), (lambda cs: f"greatest({', '.join(d.f(c) for c in cs)})")
+    side = lambda cs: F.expr(f"CAST({high(cs)} - {low(cs)} + {d.f(1)} AS INT)")
+    return rows.withColumns({"left": F.expr(low(xs)), "top": F.expr(low(ys)), "box_width": side(xs), "box_height": side(ys)})
+
+
 def mix4(d: Dialect, a: str, b: str, c: str, e: str, dx: str, dy: str) -> str:
     """Bilinear mean of upper left, upper right, lower left, lower right."""
     ix, iy = f"({d.f(1)} - {dx})", f"({d.f(1)} - {dy})"
@@ -163,14 +171,19 @@ def _warp(px: DataFrame, sx: str, sy: str, width: int, height: int, to_width: in
     inside = "true" if clamp else f"sx >= 0 AND sx < {d.f(width - 1)} AND sy >= 0 AND sy < {d.f(height - 1)}"
     grid = grid.selectExpr("tx", "ty", f"{inside} AS inside", "CAST(floor(sx) AS INT) AS x1", "CAST(floor(sy) AS INT) AS y1", "sx - floor(sx) AS dx0", "sx", "sy")
     grid = grid.selectExpr("tx", "ty", "inside", "x1", "y1", f"least(x1 + 1, {width - 1}) AS x2", f"least(y1 + 1, {height - 1}) AS y2", f"sx - {d.f('x1')} AS dx", f"sy - {d.f('y1')} AS dy")
-    # A target pixel that reads nothing still gets a row, from the source's first pixel.
-    taps = "CASE WHEN inside THEN array(struct(0 AS tap, x1 AS sx, y1 AS sy), struct(1 AS tap, x2 AS sx, y1 AS sy), struct(2 AS tap, x1 AS sx, y2 AS sy), struct(3 AS tap, x2 AS sx, y2 AS sy)) ELSE array(struct(-1 AS tap, 0 AS sx, 0 AS sy)) END"
-    taps = grid.select("tx", "ty", "dx", "dy", F.explode(F.expr(taps)).alias("t")).selectExpr("tx", "ty", "dx", "dy", "t.tap AS tap", "t.sx AS x", "t.sy AS y")
+    taps = "array(struct(0 AS tap, x1 AS sx, y1 AS sy), struct(1 AS tap, x2 AS sx, y1 AS sy), struct(2 AS tap, x1 AS sx, y2 AS sy), struct(3 AS tap, x2 AS sx, y2 AS sy))"
+    taps = grid.where("inside").select("tx", "ty", "dx", "dy", F.explode(F.expr(taps)).alias("t")).selectExpr("tx", "ty", "dx", "dy", "t.tap AS tap", "t.sx AS x", "t.sy AS y")
     if 4 * to_width * to_height <= BROADCAST_TAPS:
         taps = F.broadcast(taps)
     names = channels(px)
     got = px.join(taps, ["x", "y"]).groupBy("image_id", "tx", "ty").agg(F.max("dx").alias("dx"), F.max("dy").alias("dy"), *[F.max(F.when(F.col("tap") == k, F.col(c))).alias(f"{c}_{k}") for c in names for k in range(4)])
-    return got.select("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"), *[F.expr(f"coalesce({d.byte(mix4(d, *(f'{c}_{k}' for k in range(4)), 'dx', 'dy'))}, 0)").alias(c) for c in names])
+    read = got.select("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"), *[F.expr(f"coalesce({d.byte(mix4(d, *(f'{c}_{k}' for k in range(4)), 'dx', 'dy'))}, 0)").alias(c) for c in names])
+    if clamp:
+        return read
+    # A target pixel that reads nothing is black: made row by row of the target, for each image's first pixel.
+    lines = px.where("x = 0 AND y = 0").select("image_id", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1))).alias("y")).repartition("image_id", "y")
+    places = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1)))).selectExpr("image_id", "x", "y", f"{sx} AS sx", f"{sy} AS sy")
+    return read.unionByName(places.where(f"NOT ({inside})").select("image_id", "x", "y", *[F.lit(0).alias(c) for c in names]))
 
 
 def resize(px: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:

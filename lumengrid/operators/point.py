@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fm
+from .stats import by_image
 from ..functions.numeric import SPARK
 
 RGB = ("r", "g", "b")
@@ -205,9 +206,9 @@ def light_statistics(px: DataFrame) -> DataFrame:
 
 
 def tone_map(px: DataFrame, operator: str = "reinhard", exposure: float = 1.0, gamma: float = 2.2, key: float = 0.18, white: float = 1.0) -> DataFrame:
-    """Light to samples. Only the Reinhard operators need the image's average: one aggregate, joined back by image."""
+    """Light to samples. Only the Reinhard operators need the image's average: one aggregate, joined back by image and line."""
     if operator.startswith("reinhard"):
-        px = px.join(light_statistics(px).select("image_id", "avg_lum"), "image_id")
+        px = by_image(px, light_statistics(px).select("image_id", "avg_lum"))
     px = px.withColumn("lum", F.expr(fm.luminance(SPARK, exposure)))
     exposed = [f"(c{k} * {SPARK.f(exposure)})" for k in range(3)]
     px = _stage(px, ("t0", "t1", "t2"), [fm.tone(SPARK, c, operator, key=key, white=white) for c in exposed])

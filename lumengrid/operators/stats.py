@@ -10,20 +10,30 @@ from ..functions.numeric import SPARK
 from .geometry import channels
 
 
+#: Parts that the pixels of an image are dealt to where something of the image is joined to them.
+PARTS = 32
+
+
+def by_image(px: DataFrame, rows: DataFrame) -> DataFrame:
+    """px joined with one row for each image, the pixels of an image in PARTS parts by their line."""
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return px.withColumn("part", F.col("y") % PARTS).join(rows, ["image_id", "part"]).drop("part")
+
+
 def histogram(px: DataFrame) -> DataFrame:
     """(image_id, v, n) of a grey relation."""
     return px.groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def equalise(px: DataFrame) -> DataFrame:
-    """Histogram equalisation of a grey relation: counts, running sum in each image's at most 256 bins, joined back. A constant image becomes 0."""
+    """Histogram equalisation of a grey relation: counts, running sum in each image's at most 256 bins, which go back to its pixels as one map. A constant image becomes 0."""
     run = Window.partitionBy("image_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("image_id")
     bins = histogram(px).withColumns({"cdf": F.sum("n").over(run), "total": F.sum("n").over(every)}).withColumn("least", F.min("cdf").over(every))
     d = SPARK
     mapped = f"CASE WHEN total = least THEN 0 ELSE {d.byte(d.div(f'{d.f("cdf - least")} * {d.f(255)}', d.f('total - least')))} END"
-    bins = bins.select("image_id", "v", F.expr(mapped).alias("mapped"))
-    return px.join(bins, ["image_id", "v"]).select("image_id", "x", "y", F.col("mapped").alias("v"))
+    curve = bins.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("v", F.expr(mapped).alias("mapped")))).alias("curve"))
+    return by_image(px, curve).select("image_id", "x", "y", F.element_at("curve", F.col("v")).alias("v"))
 
 
 def compare(left: DataFrame, right: DataFrame, rename: str = "image_id") -> DataFrame:

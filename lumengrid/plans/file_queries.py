@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fm
+from ..functions import kernels
 from ..functions.numeric import DUCK as D
 from ..operators import filters, geometry, point, raw, stats, vector
 from ..sources import codecs, images, metadata
 from ..sources.jpeg import DCT
 from ..streaming import ingest
 from . import fixtures as fx
-from . import steps
+from . import image_queries, steps
 from .image_queries import RGB, S
 
 QUERIES: dict = {}
@@ -59,7 +63,30 @@ query(
     "SELECT doc_id, '/out/' || lang || '/' || source || '/img_' || doc_id || '.' || ['png', 'jpg', 'bmp', 'png', 'webp', 'png', 'png'][doc_id % 7 + 1] AS nested, '/out/img_' || doc_id || '.jpg' AS flat FROM documents",
 )
 _size_error = "CASE WHEN w <= 0 OR h <= 0 THEN 'InvalidDimensions' WHEN w > 65535 OR h > 65535 THEN 'DimensionsTooLarge' WHEN n <> w * h * 3 THEN 'InvalidDimensions' END"
-query("k01_validate", lambda s, d: fx.table(s, d, "documents").selectExpr("doc_id", "n_chars - 30 AS w", "doc_id * 97 AS h", "(n_chars - 30) * (doc_id * 97) * 3 + CAST(doc_id % 2 AS BIGINT) AS n").selectExpr("doc_id", f"{_size_error} AS error"), f"SELECT doc_id, {_size_error} AS error FROM (SELECT doc_id, n_chars - 30 AS w, doc_id * 97 AS h, (n_chars - 30) * (doc_id * 97) * 3 + doc_id % 2 AS n FROM documents)")
+
+
+def _checked(s: SparkSession, d: str) -> DataFrame:
+    """codecs.check() and the size test of codecs.encode(), on sizes and numbers of bytes."""
+
+    @F.arrow_udf("string")
+    def error(width, height, size):
+        import pyarrow as pa
+
+        out = []
+        for w, h, n in zip(width.to_pylist(), height.to_pylist(), size.to_pylist(), strict=True):
+            try:
+                codecs.check(w, h)
+                codecs.check_size(codecs.Image(w, h, "rgb", b""), n)
+                out.append(None)
+            except codecs.CodecError as bad:
+                out.append(bad.code)
+        return pa.array(out, pa.string())
+
+    sizes = fx.table(s, d, "documents").selectExpr("doc_id", "n_chars - 30 AS w", "doc_id * 97 AS h", "(n_chars - 30) * (doc_id * 97) * 3 + CAST(doc_id % 2 AS BIGINT) AS n")
+    return sizes.select("doc_id", error("w", "h", "n").alias("error"))
+
+
+query("k01_validate", _checked, f"SELECT doc_id, {_size_error} AS error FROM (SELECT doc_id, n_chars - 30 AS w, doc_id * 97 AS h, (n_chars - 30) * (doc_id * 97) * 3 + doc_id % 2 AS n FROM documents)")
 query(
     "p09_size_metrics",
     lambda s, d: images.size_metrics(fx.table(s, d, "part").selectExpr("p_partkey", "p_size * 31 AS width", "p_size * 17 AS height", "element_at(array('rgb', 'rgba', 'yuv', 'hsv', 'cmyk', 'grayscale'), CAST(p_partkey % 6 AS INT) + 1) AS format")).selectExpr("p_partkey", "pixel_count", "bits_per_pixel", "memory_bytes", "memory_kb", "memory_mb"),
@@ -67,8 +94,39 @@ query(
 )
 
 # --- generated patterns ----------------------------------------------------------------------------------------------
-for _name, _w, _h in (("s05_webp_gradient", 16, 12), ("s09b_avif_gradient", 24, 9)):
-    query(_name, lambda s, d, w=_w, h=_h: geometry.filled(s, 1, w, h).selectExpr("image_id", "x", "y", f"CAST(((x + y) * 255) div {w + h} AS INT) AS v"), f"SELECT 1::BIGINT AS image_id, (i % {_w})::INT AS x, (i // {_w})::INT AS y, ((i % {_w} + i // {_w}) * 255 // {_w + _h})::INT AS v FROM range({_w * _h}) t(i)")
+def _avif(width: int, height: int) -> bytes:
+    box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    return box(b"ftyp", b"avif\0\0\0\0") + box(b"meta", b"\0" * 4 + box(b"iprp", box(b"ipco", box(b"ispe", b"\0" * 4 + struct.pack(">II", width, height)) + box(b"av1C", bytes([0x81, 0, 0x4C, 0])))))
+
+
+def _stand_in(s: SparkSession, content: bytes) -> DataFrame:
+    """The documented gradient of a file whose pixels are not decoded, through the decoder."""
+    image = images.decode(s.createDataFrame([("1", bytearray(content))], "path string, content binary"), synthetic=True)
+    return images.explode_pixels(image.withColumn("image_id", F.col("path").cast("long"))).select("image_id", "x", "y", F.col("g").alias("v"))
+
+
+_grey = codecs.Image(16, 12, "grayscale", bytes(192))
+for _name, _w, _h, _content in (("s05_webp_gradient", 16, 12, codecs.encode_webp(_grey)), ("s09b_avif_gradient", 24, 9, _avif(24, 9))):
+    query(_name, lambda s, d, c=_content: _stand_in(s, c), f"SELECT 1::BIGINT AS image_id, (i % {_w})::INT AS x, (i // {_w})::INT AS y, ((i % {_w} + i // {_w}) * 255 // {_w + _h})::INT AS v FROM range({_w * _h}) t(i)")
+
+
+def _headers(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of containers by part, written and read again: WebP by the encoder, AVIF by its boxes."""
+
+    @F.arrow_udf("struct<webp:string,avif:string>")
+    def read(width, height):
+        import pyarrow as pa
+
+        sizes = list(zip(width.to_pylist(), height.to_pylist(), strict=True))
+        webp = [codecs.webp_header(codecs.encode_webp(codecs.Image(w, h, "grayscale", bytes(w * h)))) for w, h in sizes]
+        avif = [codecs.avif_header(_avif(w * 100, h)) for w, h in sizes]
+        return pa.StructArray.from_arrays([pa.array([f"{w}x{h}" for w, h, _ in webp]), pa.array([f"{w}x{h} {n} {c}" for w, h, n, c in avif])], ["webp", "avif"])
+
+    rows = fx.table(s, d, "part").selectExpr("p_partkey", "CAST(p_size AS INT) AS w", "CAST(p_partkey % 9 + 1 AS INT) AS h")
+    return rows.select("p_partkey", read("w", "h").alias("r")).select("p_partkey", "r.webp", "r.avif")
+
+
+query("s09a_k05_headers", _headers, "SELECT p_partkey, p_size || 'x' || (p_partkey % 9 + 1) AS webp, p_size * 100 || 'x' || (p_partkey % 9 + 1) || ' 10 420' AS avif FROM part")
 query("s11_raw_stand_in", lambda s, d: point.grey_to_rgb(geometry.filled(s, 1, 10, 6, 128)), "SELECT 1::BIGINT AS image_id, (i % 10)::INT AS x, (i // 10)::INT AS y, 128 AS r, 128 AS g, 128 AS b FROM range(60) t(i)")
 
 
@@ -121,7 +179,120 @@ def _round_trip(s: SparkSession, d: str, kind: str) -> DataFrame:
 
 for _name, _kind in (("s02_k02_bmp_round_trip", "bmp"), ("s03_k03_png_round_trip", "png")):
     query(_name, lambda s, d, k=_kind: _round_trip(s, d, k), f"WITH {fx.RGB_SQL} SELECT image_id, x, y, r, g, b FROM rgb")
-query("s04_k04_jpeg_round_trip", lambda s, d: _round_trip(s, d, "jpeg"))
+
+
+def _smooth(s: SparkSession, d: str) -> DataFrame:
+    """Pictures of 11 x 9 pixels from part: two ramps of their own slope and a flat channel."""
+    cells = s.range(99).selectExpr("CAST(id % 11 AS INT) AS x", "CAST(id div 11 AS INT) AS y")
+    rows = fx.table(s, d, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_size") % 20).alias("slope")).join(F.broadcast(cells))
+    return rows.selectExpr("image_id", "x", "y", "CAST(x * slope AS INT) AS r", "CAST(255 - y * slope AS INT) AS g", "CAST(image_id % 200 AS INT) AS b")
+
+
+def _jpeg(s: SparkSession, d: str) -> DataFrame:
+    """How many bytes of each picture come back within 20, and the bytes' number."""
+    px = _smooth(s, d)
+    files = images.encode(images.assemble_pixels(px).withColumn("path", F.col("image_id").cast("string")), "jpeg")
+    back = images.explode_pixels(images.decode(files).where("error IS NULL").withColumn("image_id", F.col("path").cast("long")))
+    near = sum((F.abs(F.col(f"s.{c}") - F.col(f"t.{c}")) <= 20).cast("int") for c in RGB)
+    pairs = px.alias("s").join(back.alias("t"), ["image_id", "x", "y"])
+    return pairs.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum(near).alias("n_near"))
+
+
+query("s04_k04_jpeg_round_trip", _jpeg, "SELECT p_partkey AS image_id, 99::BIGINT AS n_pixels, 297::BIGINT AS n_near FROM part")
+
+
+def _made(s: SparkSession, d: str, write, *names: str) -> DataFrame:
+    """(path, content) of the grey pictures of the fixture, as write(width, height, data) makes them."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        rows = ((str(image_id), write(width, height, data)) for image_id, width, height, data in images.each(batches, "image_id", "width", "height", "data"))
+        yield from images.emitted(rows, ["path", "content"], [pa.string(), pa.binary()])
+
+    return images.assemble_pixels(fx.grey(s, d)).mapInArrow(work, "path string, content binary")
+
+
+def _pixels(files: DataFrame) -> DataFrame:
+    back = images.decode(files).where("error IS NULL").withColumn("image_id", F.col("path").cast("long"))
+    return images.explode_pixels(back).select("image_id", "x", "y", F.col("r").alias("v"))
+
+
+def _tiff(width: int, height: int, data: bytes) -> bytes:
+    """A grey picture in two strips, most significant byte first."""
+    half = width * (height // 2)
+    fields = [(256, width), (257, height), (258, 8), (259, 1), (277, 1)]
+    body = b"".join(struct.pack(">HHIHH", tag, 3, 1, v, 0) for tag, v in fields[:4])
+    at = 8 + 2 + 12 * 7 + 4
+    body += struct.pack(">HHII", 273, 4, 2, at) + struct.pack(">HHIHH", 277, 3, 1, 1, 0) + struct.pack(">HHII", 279, 4, 2, at + 8)
+    return b"MM\0*" + struct.pack(">IH", 8, 7) + body + bytes(4) + struct.pack(">IIII", at + 16, at + 16 + half, half, len(data) - half) + data
+
+
+def _filtered_png(width: int, height: int, data: bytes) -> bytes:
+    """A grey picture whose lines go through the five filters in turn."""
+    px = np.frombuffer(data, np.uint8).reshape(height, width).astype(int)
+    lines = b""
+    for y in range(height):
+        left, up = np.append(0, px[y, :-1]), px[y - 1] if y else np.zeros(width, int)
+        corner = np.append(0, up[:-1])
+        guess = left + up - corner
+        near = np.stack([abs(guess - left), abs(guess - up), abs(guess - corner)])
+        paeth = np.choose(near.argmin(0), [left, up, corner])
+        lines += bytes([y % 5]) + ((px[y] - [0 * left, left, up, (left + up) // 2, paeth][y % 5]) % 256).astype(np.uint8).tobytes()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def _gif(width: int, height: int, data: bytes) -> bytes:
+    return codecs.encode_gif(codecs.Animation([codecs.Image(width, height, "grayscale", data)]))
+
+
+for _name, _write in (("s06_tiff", _tiff), ("s03c_png_filters", _filtered_png), ("s07_gif_pixels", _gif)):
+    query(_name, lambda s, d, w=_write: _pixels(_made(s, d, w)), f"WITH {fx.GREY_SQL} SELECT image_id, x, y, v FROM grey")
+
+
+def _exif_file(width: int, height: int, data: bytes) -> bytes:
+    """A JPEG head whose EXIF holds a text, a fraction and a number from the first pixels."""
+    tags = [(0x010F, 2, 8, 100), (0x829A, 5, 1, 120), (0x0112, 3, 1, data[2])]
+    tiff = (b"II*\0" + struct.pack("<IH", 8, 3) + b"".join(struct.pack("<HHII", *t) for t in tags) + bytes(4)).ljust(100, b"\0") + b"Maker%02d\0" % (data[0] % 100)
+    app = b"Exif\0\0" + tiff.ljust(120, b"\0") + struct.pack("<II", data[1], 200)
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xd9"
+
+
+_exif_sql = f"""WITH {fx.GREY_SQL}, p AS (SELECT image_id, max(v) FILTER (x = 0) AS a, max(v) FILTER (x = 1) AS b, max(v) FILTER (x = 2) AS c FROM grey WHERE y = 0 GROUP BY image_id)
+SELECT image_id, 'make' AS name, NULL::DOUBLE AS number, 'Maker' || lpad((a % 100)::VARCHAR, 2, '0') AS text FROM p UNION ALL
+SELECT image_id, 'exposure_time', b::DOUBLE / 200.0::DOUBLE, NULL FROM p UNION ALL SELECT image_id, 'orientation', c::DOUBLE, NULL FROM p"""
+query("m01_exif", lambda s, d: metadata.exif(_made(s, d, _exif_file)).select(F.col("path").cast("long").alias("image_id"), "name", "number", "text"), _exif_sql)
+query("m08_extract", lambda s, d: metadata.extract(_made(s, d, _exif_file).withColumn("path", F.concat("path", F.lit(".JPG")))).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("image_id"), "name", "number", "text"), _exif_sql)
+
+
+def _camera_file(width: int, height: int, data: bytes) -> bytes:
+    """By the first pixel: makers' marks, or a TIFF-based file with its size."""
+    if data[0] % 5 < 4:
+        return (b"SONY", b"FUJIFILM", b"OLYMP", b"PANA")[data[0] % 5] + bytes(20)
+    fields = struct.pack("<HHII", 256, 4, 1, 1000 + data[1]) + struct.pack("<HHII", 257, 4, 1, 500 + data[2]) + struct.pack("<HHII", 258, 3, 1, 14)
+    return b"II*\0" + struct.pack("<IH", 8, 3) + fields + bytes(4)
+
+
+query(
+    "r02_camera_files",
+    lambda s, d: metadata.camera_files(_made(s, d, _camera_file)).select(F.col("path").cast("long").alias("image_id"), "format", "width", "height", "bits", "make", "pattern", "error"),
+    f"""WITH {fx.GREY_SQL}, p AS (SELECT image_id, max(v) FILTER (x = 0) % 5 AS k, max(v) FILTER (x = 1) AS b, max(v) FILTER (x = 2) AS c FROM grey WHERE y = 0 GROUP BY image_id)
+SELECT image_id, ['arw', 'raf', 'orf', 'rw2', 'nef'][k + 1] AS format, CASE WHEN k = 4 THEN 1000 + b ELSE 0 END::INT AS width, CASE WHEN k = 4 THEN 500 + c ELSE 0 END::INT AS height, CASE WHEN k = 4 THEN 14 ELSE 16 END::INT AS bits, ['Sony', 'Fujifilm', 'Olympus', 'Panasonic', ''][k + 1] AS make, 'rggb' AS pattern, NULL::VARCHAR AS error FROM p""",
+)
+
+
+def _kernel(s: SparkSession, d: str, operation) -> DataFrame:
+    """What batches of files run: decoded from PNG bytes, one numpy kernel an image."""
+    images_ = images.map_images(images.decode(_made(s, d, lambda w, h, data: codecs.encode(codecs.Image(w, h, "grayscale", data), "png"))), operation)
+    return images.explode_pixels(images_.withColumn("image_id", F.col("path").cast("long"))).select("image_id", "x", "y", F.col("r").alias("v"))
+
+
+for _name, _operation, _like in (
+    ("g01_resize_files", lambda px: kernels.resize(px, 5, 5), "g01_resize_down"), ("f01_blur_files", lambda px: kernels.blur(px, 2), "f01_box_blur"), ("p01_brightness_files", lambda px: kernels.brightness(px, 30), "p01_brightness"),
+):
+    if _like in image_queries.ORACLES:
+        query(_name, lambda s, d, o=_operation: _kernel(s, d, o), image_queries.ORACLES[_like])
 query("s15_rows", lambda s, d: fx.grey(s, d).groupBy("image_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda c: F.lpad(F.hex(c["v"]), 2, "0")), "").alias("bytes")), f"WITH {fx.GREY_SQL} SELECT image_id, y, string_agg(printf('%02X', v), '' ORDER BY x) AS bytes FROM grey GROUP BY image_id, y")
 
 
@@ -137,10 +308,16 @@ def _animation(s: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"path": [group.path.iloc[0]], "content": [codecs.encode_gif(a)]})
 
     files = made.groupBy("path").applyInPandas(join, "path string, content binary")
-    return images.frames(files).select(F.col("path").cast("long").alias("animation"), "frame", "delay_cs", "loops", "width", "height")
+    return images.frames(files).select(F.col("path").cast("long").alias("animation"), "frame", "delay_cs", "loops", "width", "height", "data")
+
+
+def _frame_pixels(s: SparkSession, d: str) -> DataFrame:
+    found = _animation(s, d).select((F.col("animation") * 4 + F.col("frame")).alias("image_id"), "delay_cs", "loops", "width", "height", F.lit("rgb").alias("format"), "data")
+    return images.explode_pixels(found).select("image_id", "x", "y", F.col("g").alias("v"))
 
 
-query("s08_k06_animation", _animation, "SELECT vec_id // 4 AS animation, (vec_id % 4)::INT AS frame, (5 + vec_id % 4)::INT AS delay_cs, 0 AS loops, 8 AS width, 8 AS height FROM embeddings")
+query("s08_k06_animation", lambda s, d: _animation(s, d).drop("data"), "SELECT vec_id // 4 AS animation, (vec_id % 4)::INT AS frame, (5 + vec_id % 4)::INT AS delay_cs, 0 AS loops, 8 AS width, 8 AS height FROM embeddings")
+query("s08_frame_pixels", _frame_pixels, f"WITH {fx.GREY_SQL} SELECT image_id, x, y, v FROM grey")
 query("s07_palette_lookup", lambda s, d: fx.grey(s, d).join(F.broadcast(s.range(256).selectExpr("CAST(id AS INT) AS v", "CAST((id * 7) % 256 AS INT) AS r", "CAST(255 - id AS INT) AS g")), "v").select("image_id", "x", "y", "r", "g"), f"WITH {fx.GREY_SQL} SELECT image_id, x, y, v * 7 % 256 AS r, 255 - v AS g FROM grey")
 
 # --- shapes, from part -----------------------------------------------------------------------------------------------

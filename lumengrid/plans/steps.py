@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..operators import filters, geometry, point
-from ..sources import codecs
+from ..sources import codecs, images
 
 
 class InvalidPipelineStep(ValueError):
@@ -328,16 +328,12 @@ def _work(batches, operation: tuple):
     """Decodes, applies, encodes; a file's error becomes its row's code."""
     import pyarrow as pa
 
-    for batch in batches:
-        status, error, out = [], [], []
-        for content, kind in zip(batch.column("content").to_pylist(), batch.column("kind").to_pylist(), strict=True):
+    def rows():
+        for path, output, kind, content in images.each(batches, "path", "output_path", "kind", "content"):
             try:
                 image = codecs.decode(content or b"")
-                out.append(codecs.encode(codecs.Image.of(apply_operation(image.pixels, operation)), kind))
-                status.append("processed")
-                error.append(None)
+                yield path, output, "processed", None, codecs.encode(codecs.Image.of(apply_operation(image.pixels, operation)), kind)
             except ValueError as bad:
-                status.append("failed")
-                error.append(getattr(bad, "code", type(bad).__name__))
-                out.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("output_path"), pa.array(status, pa.string()), pa.array(error, pa.string()), pa.array(out, pa.binary())], names=["path", "output_path", "status", "error", "content"])
+                yield path, output, "failed", getattr(bad, "code", type(bad).__name__), None
+
+    yield from images.emitted(rows(), ["path", "output_path", "status", "error", "content"], [*[pa.string()] * 4, pa.binary()])

@@ -478,10 +478,15 @@ def decode(content: bytes, synthetic: bool = False) -> Image:
     raise CodecError("UnsupportedFormat")
 
 
+def check_size(image: Image, size: int) -> None:
+    """Whether so many bytes are those of an image of its size."""
+    if size != image.width * image.height * BYTES_PER_PIXEL[image.format]:
+        raise CodecError("InvalidDimensions")
+
+
 def encode(image: Image, kind: str) -> bytes:
     check(image.width, image.height)
-    if len(image.data) != image.width * image.height * BYTES_PER_PIXEL[image.format]:
-        raise CodecError("InvalidDimensions")
+    check_size(image, len(image.data))
     if kind not in ENCODERS:
         raise CodecError("UnsupportedFormat")
     return ENCODERS[kind](image)

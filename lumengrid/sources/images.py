@@ -46,20 +46,44 @@ def scan(spark: SparkSession, folder: str, pattern: str | None = None, recursive
     return reader.load(folder).select("path", "content")
 
 
+#: Bytes of pixels or files that one outgoing batch holds about; a batch of small files may hold very many pixels.
+BATCH_BYTES = 32 << 20
+
+
+def emitted(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size, as they come."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(v) for v in row if isinstance(v, (bytes, str)))
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate(kinds)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate(kinds)], names=names)
+
+
+def each(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """The values of the named columns, a row at a time, so that one file's bytes are copied at a time."""
+    for batch in batches:
+        columns = [batch.column(n) for n in names]
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in columns)
+
+
 def decode(files: DataFrame, synthetic: bool = False) -> DataFrame:
     """Images of (path, content); what cannot be decoded is a row with an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for content in batch.column(1).to_pylist():
+        def rows():
+            for path, content in each(batches, "path", "content"):
                 try:
                     i = codecs.decode(content or b"", synthetic)
-                    rows.append((i.width, i.height, i.format, i.data, None))
+                    yield path, i.width, i.height, i.format, i.data, None
                 except codecs.CodecError as bad:
-                    rows.append((None, None, None, None, bad.code))
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["path", "width", "height", "format", "data", "error"])
+                    yield path, None, None, None, None, bad.code
+
+        yield from emitted(rows(), ["path", "width", "height", "format", "data", "error"], [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()])
 
     return files.select("path", "content").mapInArrow(read, IMAGE)
 
@@ -70,17 +94,17 @@ def encode(images: DataFrame, kind: str) -> DataFrame:
     images = images if "error" in images.columns else images.withColumn("error", F.lit(None).cast("string"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if r["error"] is not None:
-                    rows.append((None, r["error"]))
+        def rows():
+            for path, width, height, fmt, data, error in each(batches, "path", "width", "height", "format", "data", "error"):
+                if error is not None:
+                    yield path, None, error
                     continue
                 try:
-                    rows.append((codecs.encode(codecs.Image(r["width"], r["height"], r["format"], r["data"]), kind), None))
+                    yield path, codecs.encode(codecs.Image(width, height, fmt, data), kind), None
                 except codecs.CodecError as bad:
-                    rows.append((None, bad.code))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["path", "content", "error"])
+                    yield path, None, bad.code
+
+        yield from emitted(rows(), ["path", "content", "error"], [pa.string(), pa.binary(), pa.string()])
 
     return images.select("path", "width", "height", "format", "data", "error").mapInArrow(write, "path string, content binary, error string")
 
@@ -89,16 +113,17 @@ def frames(files: DataFrame) -> DataFrame:
     """(path, frame, delay_cs, loops, width, height, data) of animations: one row a frame."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        def rows():
+            for path, content in each(batches, "path", "content"):
                 try:
                     a = codecs.decode_gif_animation(content or b"")
-                    rows += [(path, k, d, a.loops, i.width, i.height, i.data, None) for k, (i, d) in enumerate(zip(a.frames, a.delays, strict=True))]
                 except (codecs.CodecError, IndexError, ValueError) as bad:
-                    rows.append((path, None, None, None, None, None, None, getattr(bad, "code", "InvalidGIF")))
-            kinds = (pa.string(), *[pa.int32()] * 5, pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "frame", "delay_cs", "loops", "width", "height", "data", "error"])
+                    yield path, None, None, None, None, None, None, getattr(bad, "code", "InvalidGIF")
+                    continue
+                for k, (i, d) in enumerate(zip(a.frames, a.delays, strict=True)):
+                    yield path, k, d, a.loops, i.width, i.height, i.data, None
+
+        yield from emitted(rows(), ["path", "frame", "delay_cs", "loops", "width", "height", "data", "error"], [pa.string(), *[pa.int32()] * 5, pa.binary(), pa.string()])
 
     return files.select("path", "content").mapInArrow(read, "path string, frame int, delay_cs int, loops int, width int, height int, data binary, error string")
 
@@ -107,16 +132,15 @@ def explode_pixels(images: DataFrame, key: str = "image_id") -> DataFrame:
     """(image_id, x, y, r, g, b) of rgb images, and (…, v) rows of grey ones as equal channels, some rows of an image at a time."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                n = codecs.BYTES_PER_PIXEL[r["format"]]
-                px = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], n)
-                step = max(1, (1 << 18) // r["width"])
-                for top in range(0, r["height"], step):
-                    part = px[top : top + step].astype(np.int32)
-                    y, x = np.mgrid[top : top + part.shape[0], 0 : r["width"]].astype(np.int32)
-                    chans = [part[:, :, min(c, n - 1) if n != 4 else c].ravel() for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(x.size, r[key], np.int64)), pa.array(x.ravel()), pa.array(y.ravel()), *map(pa.array, chans)], names=["image_id", "x", "y", "r", "g", "b"])
+        for name, width, height, fmt, data in each(batches, key, "width", "height", "format", "data"):
+            n = codecs.BYTES_PER_PIXEL[fmt]
+            px = np.frombuffer(data, np.uint8).reshape(height, width, n)
+            step = max(1, (1 << 18) // width)
+            for top in range(0, height, step):
+                part = px[top : top + step].astype(np.int32)
+                y, x = np.mgrid[top : top + part.shape[0], 0:width].astype(np.int32)
+                chans = [part[:, :, min(c, n - 1) if n != 4 else c].ravel() for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(x.size, name, np.int64)), pa.array(x.ravel()), pa.array(y.ravel()), *map(pa.array, chans)], names=["image_id", "x", "y", "r", "g", "b"])
 
     return images.select(key, "width", "height", "format", "data").mapInArrow(spread, PIXELS)
 
@@ -156,15 +180,18 @@ def map_images(images: DataFrame, operation) -> DataFrame:
     """operation(pixels: numpy array) -> pixels, for every decoded image; the others pass with their error."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.drop_columns(["data"]).to_pylist()
-            for r, data in zip(rows, batch.column("data"), strict=True):  # pixels are read where they are in the batch
-                r["data"] = data.as_buffer() if data.is_valid else None
-                if r["error"] is None:
-                    i = codecs.Image.of(operation(codecs.Image(r["width"], r["height"], r["format"], r["data"]).pixels))
-                    r |= {"width": i.width, "height": i.height, "format": i.format, "data": i.data}
-            kinds = {"path": pa.string(), "width": pa.int32(), "height": pa.int32(), "format": pa.string(), "data": pa.binary(), "error": pa.string()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
+        def rows():
+            for batch in batches:
+                fields = [batch.column(n) for n in ("path", "width", "height", "format", "error")]
+                for k, data in enumerate(batch.column("data")):  # pixels are read where they are in the batch
+                    path, width, height, fmt, error = (f[k].as_py() for f in fields)
+                    if error is not None:
+                        yield path, width, height, fmt, data.as_py(), error
+                        continue
+                    i = codecs.Image.of(operation(codecs.Image(width, height, fmt, data.as_buffer()).pixels))
+                    yield path, i.width, i.height, i.format, i.data, None
+
+        yield from emitted(rows(), ["path", "width", "height", "format", "data", "error"], [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()])
 
     return images.select("path", "width", "height", "format", "data", "error").mapInArrow(work, IMAGE)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codecs import CodecError, tiff_fields
+from .images import each, emitted
 
 EXIF_DIRECTORY, GPS_DIRECTORY = 0x8769, 0x8825
 #: Names of the EXIF tags most asked for.
@@ -56,7 +57,12 @@ def exif_of_jpeg(content: bytes) -> dict[int, list]:
 
 
 def exif_rows(content: bytes) -> Iterator[tuple[int, str | None, float | None, str | None]]:
-    for tag, values in sorted(exif_of_jpeg(content).items()):
+    return tag_rows(exif_of_jpeg(content))
+
+
+def tag_rows(tags: dict[int, list]) -> Iterator[tuple[int, str | None, float | None, str | None]]:
+    """(tag, name, number, text) of each tag's first value."""
+    for tag, values in sorted(tags.items()):
         v = values[0] if values else None
         if isinstance(v, bytes):
             yield tag, EXIF_TAGS.get(tag), None, v.split(b"\0")[0].decode("latin-1")
@@ -165,3 +171,38 @@ def metadata_kind(path: Column) -> Column:
     """The reader for a path's extension."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     return F.when(ext.isin("jpg", "jpeg"), "exif").when(ext.isin("tif", "tiff"), "tiff").otherwise("none")
+
+
+def camera_files(files: DataFrame) -> DataFrame:
+    """(path, format, width, height, bits, make, pattern, error) of camera files (path, content)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for path, content in each(batches, "path", "content"):
+                try:
+                    i = raw_info(content or b"")
+                    yield path, i.format, i.width, i.height, i.bits, i.make, i.pattern, None
+                except (CodecError, struct.error) as bad:
+                    yield path, None, None, None, None, None, None, getattr(bad, "code", "UnsupportedRawFormat")
+
+        yield from emitted(rows(), ["path", "format", "width", "height", "bits", "make", "pattern", "error"], [pa.string(), pa.string(), *[pa.int32()] * 3, *[pa.string()] * 3])
+
+    return files.select("path", "content").mapInArrow(read, "path string, format string, width int, height int, bits int, make string, pattern string, error string")
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """The tags of every file that the reader for its extension finds, as exif() gives them; files of other kinds have none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for path, kind, content in each(batches, "path", "kind", "content"):
+                try:
+                    tags = exif_rows(content or b"") if kind == "exif" else tag_rows(parse_exif(content or b""))
+                    for row in list(tags):
+                        yield path, *row, None
+                except (CodecError, struct.error) as bad:
+                    yield path, None, None, None, None, getattr(bad, "code", "InvalidExifData")
+
+        yield from emitted(rows(), ["path", "tag", "name", "number", "text", "error"], [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string()])
+
+    return files.select("path", metadata_kind(F.col("path")).alias("kind"), "content").where("kind <> 'none'").mapInArrow(read, EXIF_SCHEMA)

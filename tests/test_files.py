@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -219,3 +220,27 @@ def test_pixels_round_trip(spark):
     made = spark.createDataFrame([(1, 5, 4, "rgb", bytearray(px.tobytes()))], "image_id long, width int, height int, format string, data binary")
     back = images.assemble_pixels(images.explode_pixels(made)).first()
     assert bytes(back["data"]) == px.tobytes() and (back["width"], back["height"]) == (5, 4)
+
+
+def test_jpeg_restart_intervals():
+    """The same scan with a marker after each unit, where predictions begin anew, decodes to the same pixels."""
+    from lumengrid.sources import jpeg
+
+    image = picture(8, 8, 1)
+    whole = codecs.encode(image, "jpeg")
+    scan = whole.index(b"\xff\xda")
+    head, stream = whole[:scan], whole[scan + 2 + struct.unpack_from(">H", whole, scan + 2)[0] : -2]
+    size = head.index(b"\xff\xc0") + 5
+    two = head[:size] + struct.pack(">HH", 8, 16) + head[size + 4 :] + b"\xff\xdd\x00\x04\x00\x01" + whole[scan : scan + 2 + struct.unpack_from(">H", whole, scan + 2)[0]] + stream + b"\xff\xd0" + stream + b"\xff\xd9"
+    back = codecs.decode(two).pixels
+    assert back.shape == (8, 16, 1) and np.array_equal(back[:, :8], codecs.decode(whole).pixels) and np.array_equal(back[:, 8:], back[:, :8])
+    assert len(jpeg.LUMA_AC) == sum(jpeg.LUMA_AC_LENGTHS) == len(set(jpeg.CHROMA_AC)) == 162
+
+
+def test_small_files_of_many_pixels(spark):
+    """Files of few bytes and many pixels leave in batches of bounded size."""
+    content = bytearray(codecs.encode(Image.of(np.zeros((2000, 2000, 3), np.uint8)), "png"))
+    files = spark.range(40).selectExpr("CAST(id AS STRING) AS path").repartition(1).withColumn("content", F.lit(content))
+    assert images.decode(files).where("error IS NULL").selectExpr("sum(length(data)) AS n").first()["n"] == 40 * 12_000_000
+    job = steps.BatchJob(root="/in").set_output("/out").set_operation("resize", width=4, height=4)
+    assert job.run(files).where("status = 'processed'").count() == 40
