@@ -117,12 +117,13 @@ class Odds:
     @staticmethod
     def of(docs: list[list[bytes]], labels: np.ndarray) -> Odds:
         tables = []
-        sets = [list(set(d)) for d in docs]
-        seen = [[np.array([word_bucket(w) for w in s], np.int64) for s in sets], [np.concatenate([b + k * BUCKETS for k, (b, _) in enumerate(gram_buckets(s))]) if s else np.zeros(0, np.int64) for s in sets]]
-        for width, each in zip((BUCKETS, BUCKETS * len(GRAMS)), seen, strict=True):
-            counts = np.zeros((2, width), np.float32)
-            for x, y in zip(each, labels, strict=True):
-                counts[int(y)][np.unique(x)] += 1
+        counted = [np.zeros((2, width), np.float32) for width in (BUCKETS, BUCKETS * len(GRAMS))]
+        for words, y in zip(docs, labels, strict=True):  # one document's n-grams at a time
+            own = list(set(words))
+            if own:
+                counted[0][int(y)][np.unique([word_bucket(w) for w in own])] += 1
+                counted[1][int(y)][np.unique(np.concatenate([b + k * BUCKETS for k, (b, _) in enumerate(gram_buckets(own))]))] += 1
+        for counts in counted:
             toxic, other = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
             odds = np.log((counts[1] + 0.5) / (toxic + 1)) - np.log((counts[0] + 0.5) / (other + 1))
             trust = counts.sum(0) / (counts.sum(0) + 4)
@@ -249,7 +250,8 @@ class Model:
 
 def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) -> Model:
     """A model from labelled texts, all of which are used, in the order given."""
-    docs, y = [words_of(t) for t in texts], np.array(labels, np.float64)
+    same: dict[bytes, bytes] = {}  # equal words are held once
+    docs, y = [[same.setdefault(w, w) for w in words_of(t)] for t in texts], np.array(labels, np.float64)
     keep = [i for i, d in enumerate(docs) if d]
     docs, y = [docs[i] for i in keep], y[keep]
     prior = float(np.mean(labels)) if len(labels) else 0.0
