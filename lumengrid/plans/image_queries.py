@@ -276,11 +276,11 @@ query(
     f"WITH {fx.RGB_SQL}, d AS (SELECT s.image_id, abs(s.r - t.r) + abs(s.g - t.g) + abs(s.b - t.b) AS total, greatest(abs(s.r - t.r), abs(s.g - t.g), abs(s.b - t.b)) AS most FROM rgb s JOIN rgb t ON t.image_id = s.image_id + 1 AND s.x = t.x AND s.y = t.y) "
     f"SELECT image_id, round(({D.div(D.f('sum(total)'), D.f('count(*) * 3'))})::DOUBLE, 4) AS avg_diff, max(most) AS max_diff, count(*) FILTER (total > 0) AS different_pixels, round(({D.f(100)} * {D.div(D.f('count(*) FILTER (total = 0)'), D.f('count(*)'))})::DOUBLE, 4) AS similarity FROM d GROUP BY image_id",
 )
-_corners = {"x0": "p_partkey % 17", "y0": "p_size % 11", "x1": "p_partkey * 3 % 29 + 0.25", "y1": "p_size % 7", "x2": "p_partkey % 31", "y2": "p_size * 5 % 23 + 0.5", "x3": "p_size % 13", "y3": "p_partkey * 7 % 19"}
+_box_corners = {"x0": "p_partkey % 17", "y0": "p_size % 11", "x1": "p_partkey * 3 % 29 + 0.25", "y1": "p_size % 7", "x2": "p_partkey % 31", "y2": "p_size * 5 % 23 + 0.5", "x3": "p_size % 13", "y3": "p_partkey * 7 % 19"}
 query(
     "h07_corner_box",
-    lambda s, d: geometry.corner_box(fx.table(s, d, "part").selectExpr("p_partkey", *[f"CAST({e} AS FLOAT) AS {c}" for c, e in _corners.items()]), ["x0", "x1", "x2", "x3"], ["y0", "y1", "y2", "y3"]).select("p_partkey", "left", "top", "box_width", "box_height"),
-    "SELECT p_partkey, least(x0, x1, x2, x3) AS left, least(y0, y1, y2, y3) AS top, trunc(greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3) + 1::FLOAT)::INT AS box_width, trunc(greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3) + 1::FLOAT)::INT AS box_height FROM (SELECT p_partkey, " + ", ".join(f"({e})::FLOAT AS {c}" for c, e in _corners.items()) + " FROM part)",
+    lambda s, d: geometry.corner_box(fx.table(s, d, "part").selectExpr("p_partkey", *[f"CAST({e} AS FLOAT) AS {c}" for c, e in _box_corners.items()]), ["x0", "x1", "x2", "x3"], ["y0", "y1", "y2", "y3"]).select("p_partkey", "left", "top", "box_width", "box_height"),
+    "SELECT p_partkey, least(x0, x1, x2, x3) AS left, least(y0, y1, y2, y3) AS top, trunc(greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3) + 1::FLOAT)::INT AS box_width, trunc(greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3) + 1::FLOAT)::INT AS box_height FROM (SELECT p_partkey, " + ", ".join(f"({e})::FLOAT AS {c}" for c, e in _box_corners.items()) + " FROM part)",
 )
 query(
     "h09_memory_statistics",
