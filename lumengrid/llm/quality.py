@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import few, lookup, sliced, stored
@@ -41,7 +41,8 @@ ORDER, BITS = 5, 21
 #: Characters of a piece, and bytes of text that a batch has about, or at least where there are fewer batches than cores.
 PIECE = 1_000_000
 BATCH_BYTES, LEAST_BATCH_BYTES = 64 << 20, 4 << 20
-SPREAD = 4
+#: Numbers tried for each partition, to find one that Spark's hash sends there.
+TRIED = 64
 BIN = 0.005
 SHORT_CHARS = 100
 REACH = 3.0
@@ -197,8 +198,16 @@ def digest(text: str) -> list[Column]:
     return [F.xxhash64(text).alias("text_1"), F.crc32(F.encode(text, "UTF-8")).alias("text_2")]
 
 
+def _even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """One number for each of n partitions that Spark's hash sends there: two longs a batch of texts come to the driver."""
+    part = F.pmod(F.hash("id"), F.lit(n))
+    rows = spark.range(TRIED * n).groupBy(part.alias("part")).agg(F.min("id").alias("id")).collect()
+    return np.sort(np.array([r["id"] for r in rows], np.int64))
+
+
 def _packed(docs: DataFrame, text: str, batches: int) -> DataFrame:
     """Pieces of the texts, compressed, each with its batch. Which batch a piece goes to follows from its first text."""
+    keys = _even_keys(docs.sparkSession, batches)
 
     def pack(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
@@ -207,15 +216,14 @@ def _packed(docs: DataFrame, text: str, batches: int) -> DataFrame:
             for at, (piece, which, lengths, begins) in enumerate(pieces(texts, PIECE)):
                 raw = piece.encode("utf-8", "surrogatepass")
                 columns = {
-                    "batch": pa.array([(int(one[which[0]]) + at) % batches], pa.int64()), "text_1": pa.array([one[which]], pa.list_(pa.int64())), "text_2": pa.array([two[which]], pa.list_(pa.int64())),
+                    "batch": pa.array([keys[(int(one[which[0]]) + at) % len(keys)]], pa.int64()), "text_1": pa.array([one[which]], pa.list_(pa.int64())), "text_2": pa.array([two[which]], pa.list_(pa.int64())),
                     "lengths": pa.array([lengths], pa.list_(pa.int64())), "begins": pa.array([begins], pa.list_(pa.int64())), "size": pa.array([len(raw)], pa.int64()), "piece": pa.array([pa.compress(raw, codec="zstd", asbytes=True)], pa.binary()),
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = docs.where(F.length(text) > 0).select(text, *digest(text))
     schema = "batch long, text_1 array<long>, text_2 array<long>, lengths array<long>, begins array<long>, size long, piece binary"
-    # Several times as many partitions as batches, so that few batches share one.
-    return rows.mapInArrow(pack, schema).repartition(SPREAD * batches, "batch")
+    return rows.mapInArrow(pack, schema).repartition(batches, "batch")
 
 
 def _grams_of(piece: bytes, size: int, lengths) -> Grams:
