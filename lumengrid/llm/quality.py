@@ -39,7 +39,7 @@ from .common import few, lookup, sliced, stored
 
 ORDER, BITS = 5, 21
 #: Characters of a piece, and bytes of text that a batch has about, or at least where there are fewer batches than cores.
-PIECE = 1_000_000
+PIECE = 1 << 18
 BATCH_BYTES, LEAST_BATCH_BYTES = 64 << 20, 4 << 20
 #: Numbers tried for each partition, to find one that Spark's hash sends there.
 TRIED = 64
