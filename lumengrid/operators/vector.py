@@ -90,10 +90,12 @@ def raster_circles(shapes_: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def line_steps(prefix: str = "") -> tuple[str, str]:
-    """Places of Bresenham's line at step k of max(dx, dy), in closed form: the error decides the minor step by halves."""
+    """Places of Bresenham's line at step k of max(dx, dy), in closed form: the error decides the minor step by halves.
+
+    A line of no length has one step, in place."""
     dx, dy = "abs(ex - bx)", "abs(ey - by)"
     x = f"bx + CASE WHEN bx < ex THEN 1 ELSE -1 END * CASE WHEN {dx} >= {dy} THEN k ELSE CAST((2 * k * CAST({dx} AS BIGINT) + {dy} - 1) div greatest(1, 2 * {dy}) AS INT) END"
-    y = f"by + CASE WHEN by < ey THEN 1 ELSE -1 END * CASE WHEN {dx} >= {dy} THEN CAST((2 * k * CAST({dy} AS BIGINT) + {dx} - 1) div greatest(1, 2 * {dx}) AS INT) ELSE k END"
+    y = f"by + CASE WHEN by < ey THEN 1 ELSE -1 END * CASE WHEN {dx} >= {dy} THEN CAST((2 * k * CAST({dy} AS BIGINT) + greatest(0, {dx} - 1)) div greatest(1, 2 * {dx}) AS INT) ELSE k END"
     return x, y
 
 
