@@ -23,3 +23,8 @@ def painted(df) -> dict:
 def test_lines_of_no_length_are_one_pixel_in_place(spark):
     rows = spark.createDataFrame([(k, 1, 7, float(x), float(y), float(x), float(y), 1.0, 1.0) for k, (x, y) in enumerate([(0, 0), (8, 16), (31, 31)])], "doc_id long, seq int, stroke int, x1 float, y1 float, x2 float, y2 float, sx float, sy float")
     assert {(r["doc_id"], r["px"], r["py"]) for r in vector.raster_lines(rows, 32, 32).collect()} == {(0, 0, 0), (1, 8, 16), (2, 31, 31)}
+
+
+def test_render_paints_lines_of_no_length_in_place(docs):
+    lines = vector.parse(docs)
+    assert painted(vector.render(vector.shapes(lines.where("kind <> 'svg'")), vector.view_box(lines), 4, 4)) == PIXELS
