@@ -28,3 +28,8 @@ def test_lines_of_no_length_are_one_pixel_in_place(spark):
 def test_render_paints_lines_of_no_length_in_place(docs):
     lines = vector.parse(docs)
     assert painted(vector.render(vector.shapes(lines.where("kind <> 'svg'")), vector.view_box(lines), 4, 4)) == PIXELS
+
+
+def test_canvas_holds_lines_of_no_length_in_place(docs):
+    white = {(x, y): (255, 255, 255) for x in range(4) for y in range(4)}
+    assert painted(vector.rasterise(docs, 4, 4)) == white | PIXELS
