@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bucket, few, lookup, runs, sliced, stored, word_blocks
+from .common import WordHashes, bucket, few, lookup, released, runs, sliced, stored, word_blocks
 from .components import components, spanning
 
 SHINGLE_WORDS = 5
@@ -110,7 +110,7 @@ def signed(docs: DataFrame, key: str, text: str, size: int, carry: dict[str, str
                 strings.append(forest.strings(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(strings, pa.list_(pa.int64())), *(batch.column(c) for c in carry)], names=["doc_id", "n_shingles", "h1", "h2", "strings", *carry])
 
-    return kept.mapInArrow(sign, ", ".join(["doc_id long, n_shingles long, h1 long, h2 long, strings array<long>", *(f"`{n}` {of[n]}" for n in carry)]))
+    return kept.mapInArrow(released(sign), ", ".join(["doc_id long, n_shingles long, h1 long, h2 long, strings array<long>", *(f"`{n}` {of[n]}" for n in carry)]))
 
 
 def digest_of(found: np.ndarray) -> tuple[int, int]:
@@ -149,7 +149,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.
         total += x @ y.T
     rare = np.flatnonzero(useful & (column < 0))
     sa, sb = np.cumsum(da) - da, np.cumsum(db) - db
-    cuts = np.unique(np.append(np.searchsorted(np.cumsum(pairs[rare]), np.arange(0, pairs[rare].sum(), 1 << 22)), len(rare)))
+    cuts = np.unique(np.append(np.searchsorted(np.cumsum(pairs[rare]), np.arange(0, pairs[rare].sum(), 1 << 20)), len(rare)))
     for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
         r = rare[begin:end]
         left_of = np.repeat(r, da[r])
@@ -193,7 +193,7 @@ def _sets(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) ->
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
     # Only numbers are sent to the texts; the strings meet the sets where these are dealt by id already.
     rows = texts.join(few(wanted.drop("strings")), "rep").select("id", "h1", "h2", "copies", "text")
-    return rows.mapInArrow(build, "id long, copies long, hashes binary").dropDuplicates(["id"]).join(wanted.select("id", "strings"), "id")
+    return rows.mapInArrow(released(build), "id long, copies long, hashes binary").dropDuplicates(["id"]).join(wanted.select("id", "strings"), "id")
 
 
 def _met(forest: DataFrame, k: int, new: bool) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +269,7 @@ def _verified(sets: DataFrame, units: DataFrame, k: int, similarity: Fraction) -
             missed = np.stack([np.bincount(i, 1 / chance(alike, at) - 1, total) for at in range(1, LONGEST + 1)], 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(ids[root]), pa.array(pairs.astype(np.int64)), pa.array(list(missed), pa.list_(pa.float64()))], names=["id", "links", "root", "pairs", "missed"])
 
-    return dealt.mapInArrow(verify, "id long, links long, root long, pairs long, missed array<double>").where("links > 0")
+    return dealt.mapInArrow(released(verify), "id long, links long, root long, pairs long, missed array<double>").where("links > 0")
 
 
 def forest_links(sets: DataFrame, forest: DataFrame, groups: DataFrame, similarity: Fraction, recall: float) -> tuple[list[DataFrame], int, float]:

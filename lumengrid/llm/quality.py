@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few, lookup, sliced, stored
+from .common import few, lookup, release, released, sliced, stored
 
 ORDER, BITS = 5, 21
 #: Characters of a piece, and bytes of text that a batch has about, or at least where there are fewer batches than cores.
@@ -164,7 +164,7 @@ def train(trusted: DataFrame, text: str = "text") -> Model:
                 grams = Grams(piece, lengths)
                 yield pa.RecordBatch.from_arrays([_long(grams.high), _long(grams.low), pa.array(np.bincount(grams.index, minlength=len(grams.high)))], names=["high", "low", "c"])
 
-    counted = trusted.select(text).mapInArrow(count, "high long, low long, c long").groupBy("high", "low").agg(F.sum("c").alias("c"))
+    counted = trusted.select(text).mapInArrow(released(count), "high long, low long, c long").groupBy("high", "low").agg(F.sum("c").alias("c"))
     tables = {ORDER: stored(counted, "grams5")}
     for k in range(ORDER - 1, 0, -1):
         high, low = _shortened(k)
@@ -223,7 +223,7 @@ def _packed(docs: DataFrame, text: str, batches: int) -> DataFrame:
 
     rows = docs.where(F.length(text) > 0).select(text, *digest(text))
     schema = "batch long, text_1 array<long>, text_2 array<long>, lengths array<long>, begins array<long>, size long, piece binary"
-    return rows.mapInArrow(pack, schema).repartition(batches, "batch")
+    return rows.mapInArrow(released(pack), schema).repartition(batches, "batch")
 
 
 def _grams_of(piece: bytes, size: int, lengths) -> Grams:
@@ -231,13 +231,18 @@ def _grams_of(piece: bytes, size: int, lengths) -> Grams:
 
 
 def asked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams and contexts that the probabilities of these five-grams may need, each once."""
+    """All n-grams and contexts that the probabilities of these five-grams may need, each once. Each length is made of
+    the distinct n-grams of the next, and is told apart by itself, so that little more than the result is held."""
     every = []
-    for k in range(1, ORDER + 1):
-        every.append(shortened(high, low, k))
-        if k > 1:
-            every.append(context(*every[-1]))
-    high, low = (np.concatenate([e[i] for e in every]) for i in (0, 1))
+    asked_for = high[:0], low[:0]
+    for k in range(ORDER, 0, -1):
+        high, low = _distinct(*shortened(high, low, k))
+        every.append(_distinct(*(np.concatenate([x, y]) for x, y in zip((high, low), asked_for, strict=True))))
+        asked_for = context(high, low)
+    return tuple(np.concatenate([e[i] for e in every]) for i in (0, 1))
+
+
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.unique(mixed(high, low), return_index=True)[1]
     return high[first], low[first]
 
@@ -261,7 +266,7 @@ def _questions(packed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(high), b)), _long(high), _long(low)], names=["batch", "high", "low"])
 
     # All columns, so that the pieces are dealt once for questions and scores.
-    return packed.mapInArrow(ask, "batch long, high long, low long")
+    return packed.mapInArrow(released(ask), "batch long, high long, low long")
 
 
 class Answers:
@@ -310,6 +315,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text", batch_bytes: int =
             each = told.log_probabilities(grams.high, grams.low)[grams.index]
             parts.append([np.array(one), np.array(two), np.add.reduceat(each, grams.starts), np.array(lengths), np.array(begins)])
         names = ["text_1", "text_2", "logp", "chars", "copies"]
+        del told
+        release()
         return pa.table([pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0), pa.float64() if i == 2 else pa.int64()) for i in range(5)], names=names)
 
     schema = "text_1 long, text_2 long, logp double, chars long, copies long"
