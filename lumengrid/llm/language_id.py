@@ -20,10 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, sliced, struct_array
+from .common import few, released, sliced, struct_array
 
 UND = "und"
 OUTPUT = "struct<lang_pred:string,score:double>"
@@ -111,17 +112,15 @@ class Grams:
         return found if len(s) <= PIECE else np.unique(found)
 
 
-def fit(texts: list[str], languages: list[str], settings: Settings = Settings()) -> Model:
-    """Landmarks and ridge weights from labelled texts; all of them are used, in the order given."""
-    names = sorted(set(languages))
-    if not names:
-        return Model([], settings.orders)
+def basis(texts: list[str], languages: list[str], names: list[str], settings: Settings) -> tuple[Model, np.ndarray] | None:
+    """A model of the landmarks, the first texts of each language, without weights yet, and the matrix that takes kernel
+    rows to the landmark space; nothing without a letter in any text."""
     grams = Grams(settings.orders)
     sets = [grams.distinct(t) for t in texts]
-    each = max(1, min(settings.landmarks_per_language, settings.max_landmarks // len(names)))
+    each = max(1, min(settings.landmarks_per_language, settings.max_landmarks // max(1, len(names))))
     chosen = [i for name in names for i in [j for j, x in enumerate(languages) if x == name and len(sets[j])][:each]]
     if not chosen:
-        return Model([], settings.orders)
+        return None
     model = Model(names, settings.orders, np.unique(np.concatenate([sets[i] for i in chosen])))
     scorer = Scorer(model)
     marks, sizes = scorer.presence([sets[i] for i in chosen])
@@ -129,7 +128,18 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
     kernel = scorer.kernel([sets[i] for i in chosen]).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel)
     good = values > 1e-6 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
+    return model, vectors[:, good] / np.sqrt(values[good])
+
+
+def fit(texts: list[str], languages: list[str], settings: Settings = Settings()) -> Model:
+    """Landmarks and ridge weights from labelled texts; all of them are used, in the order given."""
+    names = sorted(set(languages))
+    found = basis(texts, languages, names, settings)
+    if not found:
+        return Model([], settings.orders)
+    model, root = found
+    scorer, grams = Scorer(model), Grams(settings.orders)
+    sets = [grams.distinct(t) for t in texts]
     rows = [i for i in range(len(texts)) if len(sets[i])]
     phi = np.concatenate([scorer.kernel([sets[i] for i in rows[at : at + 256]]) for at in range(0, len(rows), 256)]).astype(np.float64) @ root
     target = np.array([[float(languages[i] == name) for name in names] for i in rows])
@@ -195,28 +205,96 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", settings:
 
 #: Ends of the length classes, in characters, and the held-out texts that a class needs for a floor of its own.
 CLASSES, LEAST_HELD = (100, 1000), 20
-#: A text is believed to be of a known language at this part of the least score of held-out texts.
-OF_LEAST = 0.8
+#: One labelled text in so many, by hash, is held out for the floors, of languages that have LEAST_HELD texts.
+HELD_OUT = 5
+#: A text is believed to be of a known language at this part of the score that all held-out texts but this share reach.
+OF_LEAST, MISSED = 0.8, 0.01
+BIN = 0.001
+
+
+def _class(text: Column) -> Column:
+    n = F.length(text)
+    return F.when(n < CLASSES[0], 0).when(n < CLASSES[1], 1).otherwise(2)
+
+
+def _sums(learned: DataFrame, model: Model, root: np.ndarray, weight: dict[str, float]) -> np.ndarray:
+    """phi' W phi and phi' W y, side by side, over all rows (t, l): phi the landmark space, W the weight of a language's
+    rows, y its column. One row of the matrices at a time is added up, in the order of tasks, so that reruns agree."""
+    shared = learned.sparkSession.sparkContext.broadcast((model, root, weight))
+    place = {name: k for k, name in enumerate(model.languages)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, root, weight = shared.value
+        scorer = Scorer(model)
+        total = np.zeros((root.shape[1], root.shape[1] + len(place)))
+        for batch in sliced(batches, scorer.block):
+            sets = [scorer.grams.distinct(t) for t in batch.column(0).to_pylist()]
+            rows = [(s, x) for s, x in zip(sets, batch.column(1).to_pylist(), strict=True) if len(s)]
+            if not rows:
+                continue
+            phi = scorer.kernel([s for s, _ in rows]).astype(np.float64) @ root
+            y = np.zeros((len(rows), len(place)))
+            y[np.arange(len(rows)), [place[x] for _, x in rows]] = 1
+            total += (phi * np.array([weight[x] for _, x in rows])[:, None]).T @ np.concatenate([phi, y], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(np.full(len(total), TaskContext.get().partitionId())), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "task", "v"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                total[i] = total.get(i, 0.0) + v.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["i", "v"])
+
+    parts = learned.select("t", "l").mapInArrow(released(add), "i long, task long, v array<double>")
+    rows = parts.repartition("i").sortWithinPartitions("i", "task").mapInArrow(join, "i long, v array<double>").collect()
+    out = np.zeros((root.shape[1], root.shape[1] + len(place)))
+    for r in rows:
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _floors(held: DataFrame, model: Model) -> tuple[float, ...]:
+    """By length class, and of all where a class has few, OF_LEAST of the score that all rows (t, l) but MISSED reach, of
+    those that are predicted right."""
+    # Who is right is filtered here: a filter in Spark would run the prediction once more, in workers of its own.
+    scored = held.select("l", _class(F.col("t")).alias("class"), predict(held, model, "t").alias("p"))
+    bins = scored.groupBy("class", (F.col("p")["lang_pred"] == F.col("l")).alias("right"), F.floor(F.col("p")["score"] / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    bins = [r for r in bins if r["right"]]
+
+    def floor(of: list) -> float:
+        at, n = np.array(sorted((r["bin"], r["n"]) for r in of)).T
+        return OF_LEAST * BIN * float(at[np.searchsorted(np.cumsum(n), MISSED * n.sum())])
+
+    every = floor(bins) if bins else 0.0
+    by = [[r for r in bins if r["class"] == c] for c in range(len(CLASSES) + 1)]
+    return tuple(floor(of) if sum(r["n"] for r in of) >= LEAST_HELD else every for of in by)
 
 
 def train_with_floors(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model:
-    """A model of four fifths of the sample, with the floors that the others' scores set, by length class."""
-    rows = sample(labelled, text, lang, settings)
-    held = [r for i, r in enumerate(rows) if i % 5 == 4]
-    rows = [r for i, r in enumerate(rows) if i % 5 != 4]
-    model = fit([t for t, _ in rows], [x for _, x in rows], settings)
-    names, scores = Scorer(model).predict([t for t, _ in held])
-    right = np.array([n == x for n, (_, x) in zip(names, held, strict=True)], bool)
-    of = np.searchsorted(CLASSES, [len(t) for t, _ in held], side="right")
-    every = OF_LEAST * scores[right].min() if right.any() else 0.0
-    model.floors = tuple(float(OF_LEAST * scores[right & (of == c)].min()) if (right & (of == c)).sum() >= LEAST_HELD else float(every) for c in range(len(CLASSES) + 1))
+    """A model with floors, by length class, from all labelled texts: one in HELD_OUT, by hash, sets the floors, and the
+    ridge weights are of all others. Only the landmarks are a few of these; a language is learned if any has a landmark."""
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
+    drawn = F.pmod(F.xxhash64("t", F.lit(settings.seed + 1)), F.lit(HELD_OUT)) == 0
+    counts = {r["l"]: (r["n"], r["held"]) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.count_if(drawn).alias("held")).collect()}
+    often = [x for x, (n, h) in counts.items() if n >= LEAST_HELD and h < n]
+    held = drawn & F.col("l").isin(often)
+    n = {x: c - (h if x in often else 0) for x, (c, h) in counts.items()}
+    marks = sample(rows.where(~held), "t", "l", settings)
+    found = basis([t for t, _ in marks], [x for _, x in marks], sorted(n), settings)
+    if not found:
+        return Model([], settings.orders)
+    model, root = found
+    every = sum(n.values())
+    sums = _sums(rows.where(~held), model, root, {x: every / len(n) / k for x, k in n.items()})
+    m = root.shape[1]
+    model.weights = (root @ np.linalg.solve(sums[:, :m] + settings.ridge * every * np.eye(m), sums[:, m:])).astype(np.float32)
+    model.floors = _floors(rows.where(held), model)
     return model
 
 
 def believed(found: Column, text: Column, model: Model) -> Column:
     """Whether a prediction, the struct of predict(), reaches the model's floor for the text's length."""
-    n = F.length(text)
-    floor = F.when(n < CLASSES[0], model.floors[0]).when(n < CLASSES[1], model.floors[1]).otherwise(model.floors[2])
+    floor = F.element_at(F.array(*map(F.lit, model.floors)), _class(text) + 1)
     return F.coalesce((found["lang_pred"] != UND) & (found["score"] >= floor), F.lit(False))
 
 
