@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bucket, sliced, struct_array, word_blocks
+from .common import WordHashes, bucket, released, sliced, struct_array, word_blocks
 
 WINDOW = 13
 #: Words of a shard at most, about.
@@ -297,12 +297,15 @@ def _merger():
 
 
 def _finder(shared):
-    @F.arrow_udf(OUTPUT)
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(shared.value)
         for batch in sliced(batches):
             yield _packed(scanner.scan(t.as_py() for t in batch))
 
+    @F.arrow_udf(OUTPUT)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(scanned)(batches)
+
     return find
 
 

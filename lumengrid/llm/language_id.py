@@ -302,11 +302,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A struct column lang_pred, score for each row of docs; the model has a few MB at most, by its settings."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf(OUTPUT)
-    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for batch in sliced(batches):
             names, scores = scorer.predict(batch.to_pylist())
             yield struct_array({"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
+    @F.arrow_udf(OUTPUT)
+    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(scored)(batches)
+
     return language(docs[text])

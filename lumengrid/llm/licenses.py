@@ -90,13 +90,10 @@ def words_in(text: str) -> list[bytes]:
 
 
 class Numbers(WordHashes):
-    """Word -> hash, all numbers being one word."""
+    """All numbers are one word."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = super().__missing__(b"0" if word.isdigit() else word)
-        if word.isdigit() and len(word) < 20:
-            self[word] = value
-        return value
+    def array(self, words: list[bytes]) -> np.ndarray:
+        return super().array(plain(words))
 
 
 _STOPS = np.sort(np.array([xxhash.xxh3_64_intdigest(w) for w in PLAIN], np.uint64))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
-from lumengrid.llm import common, jaccard_join, quality
+from lumengrid.llm import common, decontamination, jaccard_join, quality
 
 
 def test_questions_hold_little_more_than_their_result():
@@ -40,3 +42,20 @@ def test_workers_release_memory_at_the_end(monkeypatch):
     next(some)
     some.close()
     assert len(times) == 2
+
+
+def test_word_hashes_hold_nothing():
+    hashes = common.WordHashes()
+    tracemalloc.start()
+    for k in range(20):
+        hashes.array([b"w%d" % i for i in range(k * 10_000, (k + 1) * 10_000)])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1 << 20
+
+
+def test_scans_of_the_pipeline_release_memory(spark, monkeypatch):
+    times = []
+    monkeypatch.setattr(common, "release", lambda: times.append(1))
+    find = decontamination._finder(SimpleNamespace(value=decontamination.phrases([("1", "one two three")])))
+    assert [len(x) for x in find.func(iter([pa.array(["a one two three", None])]))] == [2] and times == [1]
