@@ -2,8 +2,8 @@
 
 A text's lines, and the overlapping stretches of 40 words of longer lines, are paragraphs. A multinomial logistic
 regression over the presence of word 1- to 3-grams, held sparsely as hashes, tells licence families from unknown; it is
-trained in numpy from the notices below, varied by cutting, dropping and replacing words, and from paragraphs of the
-corpus and of everyday sentences that speak of licences as the unknown class. Its log odds of any licence are calibrated
+trained in numpy from the notices below, varied by cutting, dropping and replacing words, and from all paragraphs of the
+corpus and everyday sentences that speak of licences as the unknown class. Its log odds of any licence are calibrated
 to a probability on varied notices and unknown paragraphs kept out of training, and that is held against a threshold set
 on the same unknown paragraphs. A predicted family is confirmed by comparing the paragraph with the family's notices: the
 shared share of word bigrams.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +28,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, WordHashes, sliced, struct_array
+from .common import WORD_TABLE, WordHashes, released, sliced, stored, struct_array
 
 STRETCH = 40
 #: Paragraphs that are classified at once.
 BLOCK = 2048
 #: The shared share of bigrams that confirms a family.
 CONFIRMED = 0.5
-#: Corpus paragraphs that train the unknown class, and those kept out of training, about; of the latter over 1,001, so
-#: that the threshold is not their largest score. They are drawn by their hash from all paragraphs of all texts.
-UNKNOWN_ROWS, HELD_ROWS = 1500, 4500
+#: One distinct paragraph in so many, by hash, is kept out of training for calibration and threshold.
+HELD_OUT = 5
+#: Paragraphs kept out of training, about, where the model is fitted on a draw.
+HELD_ROWS = 4500
+#: Different views of paragraphs that the driver fits with at most; more stay on the executors, which add up each step.
+NEAR_ROWS = 200_000
+#: Step to which log odds of paragraphs are rounded there, for calibration and threshold.
+MARGIN = 1e-4
 #: The share of unknown paragraphs that may pass the threshold.
 FALSE_ALARMS = 0.001
 UNKNOWN = "unknown"
+SPEAKS = re.compile(rb"licen|copyright")
 
 #: Notices by family.
 NOTICES: dict[str, list[str]] = {
@@ -207,66 +214,162 @@ def varied(notice: list[bytes], noise: list[bytes], rng: np.random.Generator) ->
 
 def resembling(words: list[bytes], notices: list[set[bytes]], content: frozenset[bytes]) -> bool:
     """Whether a paragraph speaks of licences or would be confirmed as one."""
-    return bool(re.search(rb"licen|copyright", b" ".join(words))) or not content.isdisjoint(words) and any(likeness(words, n) >= CONFIRMED for n in notices)
+    return bool(SPEAKS.search(b" ".join(words))) or not content.isdisjoint(words) and any(likeness(words, n) >= CONFIRMED for n in notices)
 
 
 def fit(unknown: list[list[bytes]], seed: int = 3, copies: int = 24, rounds: int = 250, apart: list[list[bytes]] | None = None) -> Model:
     """The model of the notices against everyday sentences and the given unknown paragraphs.
 
     Calibration and threshold are set on the paragraphs `apart`, or on a third of the unknown ones that is not trained on."""
-    rng = np.random.default_rng(seed)
-    families = sorted(NOTICES)
-    notices = {f: [words_in(n) for n in NOTICES[f]] for f in families}
-    content = frozenset(w for ns in notices.values() for n in ns for w in plain(n) if w not in PLAIN and w != b"0")
-    noise = [w for p in unknown for w in p] or words_in(" ".join(EVERYDAY))
-    rows = [(varied(n, noise, rng), k) for k, f in enumerate(families) for n in notices[f] for _ in range(copies)]
-    rows += [(n, k) for k, f in enumerate(families) for n in notices[f]]
-    # Of unknown paragraphs those weigh most that share words with notices; some of the others keep the prior right.
-    words = sorted(content)
-    bad = [words_in(s) for s in EVERYDAY] * 3 + [[words[int(i)] for i in rng.integers(0, len(words), 8)] for _ in range(150)]
-    # Paragraphs of words that no notice has, as a small corpus may hold too few to learn from.
-    bad += [[b"w%d" % k for k in rng.integers(0, 100_000, int(n))] for n in rng.integers(1, 40, 150)]
-    known = [pairs_of(n) for ns in notices.values() for n in ns]
-    unknown, apart = ([p for p in ps if not resembling(p, known, content)] if ps is not None else None for ps in (unknown, apart))
+    draft = Draft([w for p in unknown for w in p], seed, copies)
+    unknown, apart = ([p for p in ps if not resembling(p, draft.known, draft.content)] if ps is not None else None for ps in (unknown, apart))
     if apart is None:
         unknown, apart = [p for i, p in enumerate(unknown) if i % 3], unknown[::3]
-    held = apart + bad[::3]
-    rows += [(p, len(families)) for p in unknown] + [(p, len(families)) for i, p in enumerate(bad) if i % 3]
-    hashes = Numbers()
-    _, codes, _ = grams([p for p, k in rows if k < len(families)], hashes)
-    seen, times = np.unique(codes, return_counts=True)
-    features = np.intersect1d(seen[times >= 2], grams([n for ns in notices.values() for n in ns], hashes)[1])
-    model = Model(families, features, np.zeros((len(features) + 2, len(families) + 1)), bigrams={f: [pairs_of(n) for n in ns] for f, ns in notices.items()})
-    at, feature, value, other = model.sparse([p for p, _ in rows], hashes)
-    y = np.eye(len(families) + 1)[[k for _, k in rows]]
-    weight = (1 / np.maximum(1, y.sum(0)))[y.argmax(1)][:, None]
-    weight /= weight.mean()
-    by = np.argsort(feature, kind="stable")
-    begin = np.flatnonzero(np.append(True, np.diff(feature[by]) != 0))
-    velocity = np.zeros_like(model.weights)
-    for _ in range(rounds):
+    return draft.fitted(draft.points(unknown), draft.points(apart), rounds)
+
+
+@dataclass
+class Points:
+    """Paragraphs as the model sees them: (paragraph, feature) of each feature present, the number of n-grams of each
+    paragraph, and how many paragraphs each stands for."""
+
+    rows: np.ndarray
+    features: np.ndarray
+    sizes: np.ndarray
+    times: np.ndarray
+
+    def values(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As of Model.sparse()."""
+        sizes = np.maximum(1, self.sizes)
+        return self.rows, self.features, 1 / np.sqrt(sizes), 1 - np.bincount(self.rows, minlength=len(sizes)) / sizes
+
+    @property
+    def total(self) -> int:
+        return int(self.times.sum())
+
+    def gradient(self, model: Model, kinds: np.ndarray | int, weight: np.ndarray | float) -> np.ndarray:
+        """The gradient of the weighted loss, each paragraph being of its kind."""
+        at, feature, value, other = self.values()
         z = model.scores(at, feature, value, other)
-        z = np.exp(z - z.max(1, keepdims=True))
-        d = (z / z.sum(1, keepdims=True) - y) * weight / len(rows)
-        g = 1e-4 * model.weights
-        scaled = d * value[:, None]
-        g[feature[by[begin]]] += np.add.reduceat(scaled[at[by]], begin)
-        g[-2] += other @ scaled
-        g[-1] += d.sum(0)
-        velocity = 0.9 * velocity - 2.0 * g
-        model.weights = model.weights + velocity
-    fresh = [varied(n, noise, rng) for ns in notices.values() for n in ns for _ in range(8)]
-    m = odds(model.scores(*model.sparse(fresh + held, hashes)))
-    model.calibration = _calibrated(m, np.arange(len(m)) < len(fresh))
-    alarm = np.sort(model.classified(held, hashes)[1])
-    model.threshold = float(max(0.5, alarm[min(len(alarm) - 1, int(len(alarm) * (1 - FALSE_ALARMS)))]))
-    return model
-
-
-def _calibrated(m: np.ndarray, licence: np.ndarray) -> tuple[float, float]:
+        d = np.exp(z - z.max(1, keepdims=True))
+        d /= d.sum(1, keepdims=True)
+        d[np.arange(len(d)), kinds] -= 1
+        scaled = d * (self.times * weight)[:, None]
+        g = np.zeros_like(model.weights)
+        g[-1] = scaled.sum(0)
+        scaled *= value[:, None]
+        g[-2] = other @ scaled
+        if len(at):
+            by, begin = self.by_feature
+            g[feature[by[begin]]] += np.add.reduceat(scaled[at[by]], begin)
+        return g
+
+    @cached_property
+    def by_feature(self) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(self.features, kind="stable")
+        return by, np.flatnonzero(np.append(True, np.diff(self.features[by]) != 0))
+
+    def margins(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of any licence, and how many paragraphs have them."""
+        return odds(model.scores(*self.values())), self.times
+
+
+def _points(batch) -> Points:
+    """Of rows (size, features, times)."""
+    each = [np.frombuffer(x, np.int32) for x in batch["features"].to_pylist()]
+    lengths = np.array([len(x) for x in each], np.int64)
+    return Points(np.repeat(np.arange(len(each)), lengths), np.concatenate([*each, np.zeros(0, np.int32)]).astype(np.int64), batch["size"].to_numpy(), batch["times"].to_numpy())
+
+
+class FarPoints:
+    """As Points, of a stored table (size, features, times) of any number of rows, which stay on the executors."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.total = rows, rows.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+
+    def gradient(self, model: Model, kinds: int, weight: float) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum((_points(b).gradient(model, kinds, weight) for b in sliced(batches, BLOCK) if b.num_rows), np.zeros_like(model.weights))
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["g"])
+
+        parts = self.rows.mapInArrow(released(add), "g array<double>").collect()
+        return sum((np.array(r["g"]) for r in parts), np.zeros(model.weights.size)).reshape(model.weights.shape)
+
+    def margins(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """As of Points, the log odds rounded to MARGIN."""
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for points in (_points(b) for b in sliced(batches, BLOCK) if b.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in points.margins(model)], names=["m", "times"])
+
+        found = self.rows.mapInArrow(released(weigh), "m double, times long").groupBy(F.round(F.col("m") / MARGIN).cast("long").alias("m")).agg(F.sum("times").alias("times")).orderBy("m").collect()
+        return np.array([r["m"] for r in found], float) * MARGIN, np.array([r["times"] for r in found], np.int64)
+
+
+class Draft:
+    """What the model learns beside the corpus: notices, varied among words of noise, and everyday sentences."""
+
+    def __init__(self, noise: list[bytes], seed: int = 3, copies: int = 24):
+        rng = np.random.default_rng(seed)
+        families = sorted(NOTICES)
+        notices = {f: [words_in(n) for n in NOTICES[f]] for f in families}
+        self.content = frozenset(w for ns in notices.values() for n in ns for w in plain(n) if w not in PLAIN and w != b"0")
+        noise = noise or words_in(" ".join(EVERYDAY))
+        rows = [(varied(n, noise, rng), k) for k, f in enumerate(families) for n in notices[f] for _ in range(copies)]
+        rows += [(n, k) for k, f in enumerate(families) for n in notices[f]]
+        # Of unknown paragraphs those weigh most that share words with notices; some of the others keep the prior right.
+        words = sorted(self.content)
+        bad = [words_in(s) for s in EVERYDAY] * 3 + [[words[int(i)] for i in rng.integers(0, len(words), 8)] for _ in range(150)]
+        # Paragraphs of words that no notice has, as a small corpus may hold too few to learn from.
+        bad += [[b"w%d" % k for k in rng.integers(0, 100_000, int(n))] for n in rng.integers(1, 40, 150)]
+        self.known = [pairs_of(n) for ns in notices.values() for n in ns]
+        self.held = bad[::3]
+        rows += [(p, len(families)) for i, p in enumerate(bad) if i % 3]
+        self.rows, self.kinds = [p for p, _ in rows], np.array([k for _, k in rows])
+        hashes = Numbers()
+        _, codes, _ = grams([p for p, k in rows if k < len(families)], hashes)
+        seen, times = np.unique(codes, return_counts=True)
+        features = np.intersect1d(seen[times >= 2], grams([n for ns in notices.values() for n in ns], hashes)[1])
+        self.model = Model(families, features, np.zeros((len(features) + 2, len(families) + 1)), bigrams={f: [pairs_of(n) for n in ns] for f, ns in notices.items()})
+        self.fresh = [varied(n, noise, rng) for ns in notices.values() for n in ns for _ in range(8)]
+
+    def points(self, found: list[list[bytes]]) -> Points:
+        """The model's view of paragraphs, in their order."""
+        if not found:
+            return Points(*(np.zeros(0, np.int64) for _ in range(4)))
+        rows, codes, sizes = grams(found, Numbers())
+        known = _in(self.model.features, codes)
+        return Points(rows[known], np.searchsorted(self.model.features, codes[known]), sizes, np.ones(len(found), np.int64))
+
+    def fitted(self, unknown: Points | FarPoints, apart: Points | FarPoints, rounds: int = 250) -> Model:
+        """The model after gradient descent with all unknown points, calibration and threshold by those apart."""
+        model, none = self.model, len(self.model.families)
+        own = self.points(self.rows)
+        # Each kind weighs alike, and of one kind each paragraph.
+        counts = np.bincount(self.kinds, minlength=none + 1)
+        counts[none] += unknown.total
+        weight = 1 / counts / len(counts)
+        velocity = np.zeros_like(model.weights)
+        for _ in range(rounds):
+            g = 1e-4 * model.weights + own.gradient(model, self.kinds, weight[self.kinds])
+            if unknown.total:
+                g += unknown.gradient(model, none, weight[none])
+            velocity = 0.9 * velocity - 2.0 * g
+            model.weights = model.weights + velocity
+        fresh, n_fresh = self.points(self.fresh).margins(model)
+        m, times = (np.append(x, y) for x, y in zip(self.points(self.held).margins(model), apart.margins(model) if apart.total else ((), ()), strict=True))
+        model.calibration = _calibrated(np.append(fresh, m), np.arange(len(fresh) + len(m)) < len(fresh), np.append(n_fresh, times))
+        slope, offset = model.calibration
+        order, total = np.argsort(m), int(times.sum())
+        place = min(total - 1, int(total * (1 - FALSE_ALARMS)))
+        least = m[order[np.searchsorted(np.cumsum(times[order]), place, side="right")]]
+        model.threshold = float(max(0.5, 1 / (1 + np.exp(-np.clip(slope * least + offset, -30, 30)))))
+        return model
+
+
+def _calibrated(m: np.ndarray, licence: np.ndarray, times: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve, both sides weighing alike, with targets drawn in from 0 and 1."""
-    n, k = max(1, int(licence.sum())), max(1, int((~licence).sum()))
-    target, weight = np.where(licence, (n + 1) / (n + 2), 1 / (k + 2)), np.where(licence, 0.5 / n, 0.5 / k)
+    n, k = max(1, int(times[licence].sum())), max(1, int(times[~licence].sum()))
+    target, weight = np.where(licence, (n + 1) / (n + 2), 1 / (k + 2)), times * np.where(licence, 0.5 / n, 0.5 / k)
     x, w = np.stack([m, np.ones(len(m))], 1), np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -276,9 +379,65 @@ def _calibrated(m: np.ndarray, licence: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.05)), float(w[1])
 
 
-def train(docs: DataFrame, text: str = "text", rows: int = UNKNOWN_ROWS, held: int = HELD_ROWS, seed: int = 17) -> Model:
-    """A model whose unknown class comes from a bounded sample of the corpus: distinct paragraphs, drawn by their hash
-    from all texts and all their places, about `rows` to train and `held` to set calibration and threshold."""
+def train(docs: DataFrame, text: str = "text", rows: int | None = None, held: int = HELD_ROWS, seed: int = 17, near: int = NEAR_ROWS) -> Model:
+    """A model whose unknown class is every distinct paragraph of docs, from all texts and all their places: one in
+    HELD_OUT, by its hash, sets calibration and threshold, and all others train. With `rows`, it is fitted on a draw in
+    their place, of about so many to train and `held` for the rest."""
+    if rows is not None:
+        return _train_on_draw(docs, text, rows, held, seed)
+    draft = Draft([b"w%d" % k for k in range(5000)])
+    found = seen(docs, draft, text, seed)
+    few_rows = found.limit(near + 1).count() <= near
+    parts = [found.where(F.col("apart") == apart).select("size", "features", "times") for apart in (False, True)]
+    return draft.fitted(*[_points(p.orderBy("size", "features").toArrow()) if few_rows else FarPoints(p) for p in parts])
+
+
+def seen(docs: DataFrame, draft: Draft, text: str = "text", seed: int = 17) -> DataFrame:
+    """(apart, size, features, times) of all distinct paragraphs that resemble no notice, as the model sees them: most
+    hold few n-grams of notices, so that many look alike."""
+    shared = docs.sparkSession.sparkContext.broadcast((draft.model.features, draft.known, draft.content))
+
+    def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, notices, content = shared.value
+        pairs, hashes = _pair_codes(notices), Numbers()
+
+        def of(held: list[list[bytes]]) -> pa.RecordBatch:
+            joined = [b" ".join(p) for p in held]
+            rows, codes, sizes = grams(held, hashes)
+            # With less than two bigrams of notices no likeness is enough.
+            like = np.bincount(rows[_in(pairs, codes)], minlength=len(held)) >= 2
+            keep = [not (resembling(p, notices, content) if x else SPEAKS.search(j)) for p, j, x in zip(held, joined, like, strict=True)]
+            known = _in(features, codes)
+            rows, place = rows[known], np.searchsorted(features, codes[known]).astype(np.int32)
+            place, cut = place[np.lexsort((place, rows))], np.searchsorted(rows, np.arange(len(held) + 1))
+            h = np.array([xxhash.xxh3_64_intdigest(j, seed) for j in joined], np.uint64).view(np.int64)
+            seen_ = pa.array([place[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(sizes.astype(np.int64)), seen_], names=["h", "size", "features"]).filter(pa.array(keep, pa.bool_()))
+
+        for batch in sliced(batches):
+            held: list[list[bytes]] = []
+            for words in (p for t in batch.column(0) for p in paragraphs(t.as_py())):
+                held.append(words)
+                if len(held) >= BLOCK:
+                    yield of(held)
+                    held = []
+            if held:
+                yield of(held)
+
+    each = docs.select(text).mapInArrow(released(view), "h long, size long, features binary").distinct()
+    apart = F.pmod("h", F.lit(HELD_OUT)) == 0
+    return stored(each.groupBy(apart.alias("apart"), "size", "features").agg(F.count(F.lit(1)).alias("times")), "paragraphs")
+
+
+def _pair_codes(notices: list[set[bytes]]) -> np.ndarray:
+    """The hashes of all bigrams of notices, sorted, as grams() makes them."""
+    hashes = Numbers()
+    two = np.array([hashes.array(b.split()) for n in notices for b in n if b" " in b], np.uint64)
+    return np.unique((two[:, 0] * _MIX + two[:, 1]) ^ (two[:, 0] >> np.uint64(29)))
+
+
+def _train_on_draw(docs: DataFrame, text: str, rows: int, held: int, seed: int) -> Model:
+    """As train(), on distinct paragraphs drawn by their hash from all texts and all their places."""
     lines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + F.length(text) / F.lit(120) + 1
     total = docs.agg(F.coalesce(F.sum(lines), F.lit(0.0))).first()[0]
     below = int(min(1.0, 1.2 * (rows + held) / max(1.0, total)) * ((1 << 64) - 1))
