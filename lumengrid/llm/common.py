@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +23,9 @@ HOT_ROWS, HOT_KEYS = 1000, 100_000
 #: Rows of a few numbers each, 32 MB or so, that are sent to every task at most.
 BROADCAST_ROWS = 500_000
 
+#: Stored tables after each of which the driver collects its garbage.
+TABLES_HELD = 4
+
 #: Words are runs of digits, a-z and everything beyond ASCII, after lower-casing A-Z.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -59,7 +64,15 @@ def released(work: Callable) -> Callable:
     return run
 
 
+def collect_driver(spark: SparkSession) -> None:
+    """Lets the driver drop what it has of queries that ended: their plans, broadcast blocks and shuffle files go only
+    when its heap is collected, and a heap that is not grows with the queries of a stage until it is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _OWN_DIRS: dict[str, str] = {}
+_TABLES = itertools.count(1)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,6 +100,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     system.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if next(_TABLES) % TABLES_HELD == 0:
+        collect_driver(spark)
     return out
 
 

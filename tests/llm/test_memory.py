@@ -59,3 +59,12 @@ def test_scans_of_the_pipeline_release_memory(spark, monkeypatch):
     monkeypatch.setattr(common, "release", lambda: times.append(1))
     find = decontamination._finder(SimpleNamespace(value=decontamination.phrases([("1", "one two three")])))
     assert [len(x) for x in find.func(iter([pa.array(["a one two three", None])]))] == [2] and times == [1]
+
+
+def test_driver_collects_its_garbage_while_tables_are_stored(spark):
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep")]
+    whole = lambda: sum(b.getCollectionCount() for b in beans)
+    before = whole()
+    for _ in range(8):
+        common.discard(common.stored(spark.range(3), "test"))
+    assert whole() >= before + 2
